@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import fingerprints, mixing, packing, sstable, urls
+from gradus.llm import caps, fingerprints, mixing, packing, sstable, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,11 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.encode_and_read(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_url_filter, op4_mixing, op6_token_output)}
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_url_filter, op4_mixing, op6_token_output, op10_near_vectors)}
 
 ORACLES: dict[str, str] = {}
 
@@ -79,3 +83,20 @@ SELECT doc_id, size, q.source_size, target,
        (size * (whole + CASE WHEN ((h1 + seed * h2) % 268435456) / 268435456.0::DOUBLE < part THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d2 JOIN q ON d2.source IS NOT DISTINCT FROM q.source JOIN best ON best.source IS NOT DISTINCT FROM q.source
 """
+
+ORACLES["op10_near_vectors"] = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS n, vec_id, label, embedding::DOUBLE[] AS e, list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) AS s
+  FROM embeddings),
+link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e)
+  WHERE a.s > 0 AND b.s > 0 AND list_inner_product(a.e, b.e) / (sqrt(a.s) * sqrt(b.s)) >= 0.98),
+reach AS (
+  SELECT x, y FROM link
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least.y, vec_id)) AS component_id, vec_id <= coalesce(least.y, vec_id) AS kept
+FROM v LEFT JOIN n ON n.x = vec_id LEFT JOIN least ON least.x = vec_id
+"""
