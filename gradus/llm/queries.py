@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import caps, fingerprints, mixing, packing, sstable, urls
+from gradus.llm import caps, fingerprints, forest, mixing, packing, sstable, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +37,15 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.encode_and_read(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_url_filter, op4_mixing, op6_token_output, op10_near_vectors)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_url_filter, op4_mixing, op6_token_output, op9_near_documents, op10_near_vectors)}
 
 ORACLES: dict[str, str] = {}
 
@@ -100,3 +104,24 @@ n AS (SELECT x, count(*) AS n FROM link GROUP BY x)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least.y, vec_id)) AS component_id, vec_id <= coalesce(least.y, vec_id) AS kept
 FROM v LEFT JOIN n ON n.x = vec_id LEFT JOIN least ON least.x = vec_id
 """
+
+ORACLES["op9_near_documents"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x1C-\x20]+') AS w FROM documents),
+s AS (
+  SELECT n, list_distinct(list_transform(range(greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g
+  FROM d WHERE len(w) > 0),
+x AS (SELECT n, len(g) AS size, unnest(g) AS g FROM s),
+p AS (SELECT a.n AS a, b.n AS b, count(*) AS shared, any_value(a.size) + any_value(b.size) AS total FROM x a JOIN x b ON a.g = b.g AND a.n <> b.n GROUP BY ALL),
+link AS (
+  SELECT a, b FROM p WHERE shared * 5 >= (total - shared) * 4
+  UNION
+  SELECT a.n, b.n FROM d a JOIN d b ON a.text = b.text AND a.n <> b.n),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a, min(d.doc_id) AS low FROM reach JOIN d ON d.n = b GROUP BY a),
+c AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+o AS (SELECT text, min(doc_id) AS copy_of FROM d GROUP BY text)
+SELECT d.doc_id, o.copy_of, coalesce(c.n, 0)::BIGINT AS n_links, least(d.doc_id, coalesce(least.low, d.doc_id)) AS class_id,
+       d.doc_id <= coalesce(least.low, d.doc_id) AS kept
+FROM d JOIN o ON o.text = d.text LEFT JOIN c ON c.a = d.n LEFT JOIN least ON least.a = d.n
+"""
