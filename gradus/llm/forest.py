@@ -179,6 +179,35 @@ def _chunked(groups: DataFrame, key: str, n: str, chunk: int) -> DataFrame:
 
 
 def near_documents(docs: DataFrame, cut: float = 0.8, recall: float = 0.9999, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, copy_of, n_links, class_id and kept of every document; see classes()."""
+    return classes(docs, cut, recall, chunk).drop("h", "g", "class")
+
+
+def one_of_each(docs: DataFrame, cut: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """The documents with one of each class: that of the smallest doc_id (null last, then by text hash), once.
+
+    What decides is a table of one id and hash a class, broadcast only if counted
+    to hold at most BROADCAST_MEMBERS rows.
+    """
+    spark = docs.sparkSession
+    found = Scratch(spark, "classes").save(classes(docs, cut, recall), "classes")
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), "h", "g")
+    chosen = found.groupBy("class").agg(F.min(key).alias("k")).select(F.col("k.d").alias("c_id"), F.col("k.h").alias("c_h"), F.col("k.g").alias("c_g"))
+    chosen = Scratch(spark, "classes").save(chosen, "chosen")
+    n = chosen.count()
+    columns = docs.columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.select(F.col("doc_id").cast("long").alias("r_id"), F.xxhash64(text).alias("r_h"), F.xxhash64(F.lit("g"), text).alias("r_g"), *(F.col(c).alias(f"own_{i}") for i, c in enumerate(columns)))
+    same = lambda a: F.col(f"{a}_id").eqNullSafe(F.col("c_id")) & (F.col(f"{a}_h") == F.col("c_h")) & (F.col(f"{a}_g") == F.col("c_g"))
+    right = F.broadcast(chosen) if n <= BROADCAST_MEMBERS else chosen
+    out = named.join(right, same("r"), "left_semi")
+    ids = found.select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), F.col("g").alias("r_g"))
+    if ids.join(right, same("r"), "left_semi").count() > n:  # the very rows repeat
+        out = out.dropDuplicates(["r_id", "r_h", "r_g"])
+    return out.select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(columns)))
+
+
+def classes(docs: DataFrame, cut: float = 0.8, recall: float = 0.9999, chunk: int = CHUNK) -> DataFrame:
     """Documents linked by Jaccard likeness >= cut of their sets of five-word shingles.
 
     Equal texts are first made one with a weight. A signature of 256 bins gives
@@ -198,7 +227,7 @@ def near_documents(docs: DataFrame, cut: float = 0.8, recall: float = 0.9999, ch
     under five words is one shingle. Rows of equal doc_id and text are copies,
     of equal doc_id and other text different texts. A null doc_id never names a
     class unless all its members are null. An empty table gives no rows; other
-    columns are ignored.
+    columns are ignored. h, g (the text's hashes) and class (a key) are for joins.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "forest")
@@ -234,6 +263,6 @@ def near_documents(docs: DataFrame, cut: float = 0.8, recall: float = 0.9999, ch
     known = same.select("id", "g", "weight", "least").join(links, "id", "left").join(linked.toDF("id", "class"), "id", "left")
     known = scratch.save(known.withColumn("class", F.coalesce("class", "id")), "known")
     least = known.groupBy("class").agg(F.min("least").alias("class_id"))
-    known = known.join(least, "class").select(F.col("id").alias("h"), "g", F.col("least").alias("copy_of"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "class_id")
+    known = known.join(least, "class").select(F.col("id").alias("h"), "g", F.col("least").alias("copy_of"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "class", "class_id")
     out = sketched.select("doc_id", "h", "g").join(known, ["h", "g"])
-    return out.select("doc_id", "copy_of", "n_links", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "copy_of", "n_links", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"), "h", "g", "class")

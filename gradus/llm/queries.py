@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradus.llm import caps, fingerprints, forest, mixing, packing, sstable, urls
+from gradus.llm import caps, fingerprints, forest, mixing, packing, repeats, sstable, toxicity, unigram, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +34,24 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.encode_and_read(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(_table(spark, sf_dir, "documents"), text_back=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_documents(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +60,13 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_url_filter, op4_mixing, op6_token_output, op9_near_documents, op10_near_vectors)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_fingerprints, op3_url_filter, op4_mixing, op5_token_counts,
+        op6_token_output, op7_repeats, op8_toxicity, op9_near_documents, op10_near_vectors,
+    )
+}
 
 ORACLES: dict[str, str] = {}
 
