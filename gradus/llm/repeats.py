@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus.llm._groups import grouped
-from gradus.llm._words import POWERS, mix, prefix_hash, slices, span_hash, strings
+from gradus.llm._words import BASE, POWERS, mix, prefix_hash, slices, span_hash, strings
 from gradus.plans.scratch import Scratch, partitions
 
 WINDOW, SEED = 50, 18
 FLUSH = 400_000
+#: Windows of a segment, and windows (of all occurrences) that a shard looks at together.
+MOST, TOGETHER = 64, 2_000_000
 #: A document: its id (null is the least) and the hash of its text, so that rows of one id stay apart.
 DOC = [("doc", "<i8"), ("text", "<i8")]
 SPAN = [*DOC, ("pos", "<u4"), ("len", "<u4")]
@@ -96,6 +98,10 @@ def segments(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     edge = offsets[:-1][whole]
     begin[edge] = True
     start = np.flatnonzero(begin)
+    # periodic text keeps one name for long: its segment is cut, so that none has more than MOST windows
+    reach = np.minimum(np.append(start[1:], len(valid)), np.append(np.flatnonzero(~valid), len(valid))[np.searchsorted(np.flatnonzero(~valid), start)])
+    parts = -(-(reach - start) // MOST)
+    start = np.repeat(start, parts) + MOST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     text = np.searchsorted(offsets, start, "right") - 1
     stop = np.minimum(np.append(start[1:], len(buf)), offsets[text + 1] - WINDOW + 1) + WINDOW - 1
     return {"doc": text, "pos": start - offsets[text], "len": stop - start, "name": least[start], "same": span_hash(prefix, start, stop)}
@@ -259,13 +265,15 @@ def _sort(buckets: int):
             np.minimum.at(least, kind, np.repeat(seg["doc"], windows))
             least = least[kind]  # earliest document with this window
             held = load([raws[i] for i in np.flatnonzero(kinds == HELD)], SEGMENT)
-            order = np.lexsort((seg["same"], seg["name"]))
-            key = lambda c: np.rec.fromarrays([c["name"], c["same"]], names="a,b")
-            which = order[np.searchsorted(key(seg)[order], key(held))]
+            own_key, held_key = (mix(c["same"] + c["name"].astype(np.uint64) * np.uint64(BASE)) for c in (seg, held))
+            order = np.argsort(own_key)
+            which = order[np.searchsorted(own_key[order], held_key)]
+            steps = np.cumsum(windows[which]) // TOGETHER
+            edges = [0, *(np.flatnonzero(steps[1:] != steps[:-1]) + 1).tolist(), len(which)]
             out: list[dict] = []
-            for lo in range(0, len(which), 100_000):
-                w = which[lo : lo + 100_000]
-                part = {k: v[lo : lo + 100_000] for k, v in held.items()}
+            for lo, hi in zip(edges, edges[1:]):
+                w = which[lo:hi]
+                part = {k: v[lo:hi] for k, v in held.items()}
                 n = windows[w]
                 owner = np.repeat(np.arange(len(w)), n)
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
