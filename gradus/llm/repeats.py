@@ -104,7 +104,8 @@ def segments(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     start = np.repeat(start, parts) + MOST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     text = np.searchsorted(offsets, start, "right") - 1
     stop = np.minimum(np.append(start[1:], len(buf)), offsets[text + 1] - WINDOW + 1) + WINDOW - 1
-    return {"doc": text, "pos": start - offsets[text], "len": stop - start, "name": least[start], "same": span_hash(prefix, start, stop)}
+    # least hashes are small numbers: mixed again, they spread over the shards
+    return {"doc": text, "pos": start - offsets[text], "len": stop - start, "name": mix(least[start] + np.uint64(1)), "same": span_hash(prefix, start, stop)}
 
 
 def _deal(shards: int):
