@@ -15,7 +15,7 @@ from gradus.llm._words import prefix_hash, slices, span_hash, strings
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 20, 8, 12, (1, 2, 3)
 #: Most labelled rows that are learned from (those of the least hash of doc_id).
-SAMPLE = 12000
+SAMPLE = 8000
 #: A bucket has an embedding of its own if so many learned texts hold it.
 LEAST_TEXTS = 4
 EPOCHS, RATE, BATCH, DECAY = 6, 0.05, 64, 1e-4
@@ -167,21 +167,21 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     An embedding's first part starts as its bucket's shrunk log odds, the rest at random.
     """
     rng = np.random.default_rng(seed)
-    raw = [t.encode() for t in texts]
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    offsets = np.cumsum([0, *map(len, raw)])
-    parts = [word_hashes(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in slices(offsets)]
-    h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-    counts = np.concatenate([np.diff(p[1]) for p in parts]) if parts else np.zeros(0, np.int64)
-    first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    y = np.array(labels, np.float32)
-    n = len(texts)
+    n, y, counts, hashes = len(texts), np.array(labels, np.float32), np.zeros(len(texts), np.int64), []
     kept_back = np.arange(n) % 5 == 4
-    text_of = np.repeat(np.arange(n), counts)
-    pair = np.unique(_bucket(h) * max(1, n) + text_of)
-    bucket, text_of = np.divmod(pair, max(1, n))
-    learned = ~kept_back[text_of]
-    bucket, text_of = bucket[learned], text_of[learned]
+    bucket, text_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        own = word_hashes(raw, np.array([0, len(raw)]))[0]
+        hashes.append(own)
+        counts[i] = len(own)
+        if not kept_back[i]:
+            bucket.append(np.unique(_bucket(own)))
+            text_of.append(np.full(len(bucket[-1]), i))
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    del hashes
+    first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    bucket, text_of = np.concatenate(bucket), np.concatenate(text_of)
     held = np.bincount(bucket, minlength=BUCKETS)
     toxic = np.bincount(bucket, weights=y[text_of], minlength=BUCKETS)
     known = np.flatnonzero(held >= LEAST_TEXTS)
@@ -218,6 +218,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         own = kept_back & (language == k)
         if y[own].sum() >= 10 and (1 - y[own]).sum() >= 10:
             m.offset[k] = _threshold(logit[own], y[own])
+    m.tables = None  # made again where they are used
     return m
 
 
