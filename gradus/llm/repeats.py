@@ -37,26 +37,35 @@ MOST, TOGETHER = 64, 2_000_000
 #: A document: its id (null is the least) and the hash of its text, so that rows of one id stay apart.
 DOC = [("doc", "<i8"), ("text", "<i8")]
 SPAN = [*DOC, ("pos", "<u4"), ("len", "<u4")]
-SEGMENT = [*SPAN, ("name", "<u4"), ("same", "<u8")]
-RAW = [("name", "<u4"), ("same", "<u8"), ("doc", "<i8"), ("len", "<u4")]
+#: A segment's name within its shard and 48 bits of its hash: 80 bits tell it from others.
+SEGMENT = [*SPAN, ("name", "<u4"), ("same", "48")]
+RAW = [("name", "<u4"), ("same", "48"), ("doc", "<i8"), ("len", "<u4")]
+
+
+def _kept(kind: str) -> tuple[str, int]:
+    """numpy type and bytes kept of it."""
+    return ("<u8", 6) if kind == "48" else (kind, np.dtype(kind).itemsize)
 
 
 def dump(columns: dict[str, np.ndarray], dtype: list) -> bytes:
     """Columns byte plane by byte plane, compressed."""
-    n = len(columns[dtype[0][0]])
-    planes = [np.ascontiguousarray(columns[k].astype(t)).view(np.uint8).reshape(n, -1).T.tobytes() for k, t in dtype]
+    n, planes = len(columns[dtype[0][0]]), []
+    for k, kind in dtype:
+        t, size = _kept(kind)
+        planes.append(np.ascontiguousarray(columns[k].astype(t)).view(np.uint8).reshape(n, -1).T[:size].tobytes())
     return struct.pack("<Q", n) + zstandard.compress(b"".join(planes), 1)
 
 
 def load(raws: list[bytes], dtype: list) -> dict[str, np.ndarray]:
-    parts: dict[str, list] = {k: [np.zeros(0, t)] for k, t in dtype}
+    parts: dict[str, list] = {k: [np.zeros(0, _kept(t)[0])] for k, t in dtype}
     for raw in raws:
         (n,) = struct.unpack_from("<Q", raw)
-        body, at = zstandard.decompress(raw[8:], n * sum(np.dtype(t).itemsize for _, t in dtype) or 1), 0
-        for k, t in dtype:
-            size = np.dtype(t).itemsize
-            planes = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n)
-            parts[k].append(np.ascontiguousarray(planes.T).view(t).ravel())
+        body, at = zstandard.decompress(raw[8:], n * sum(_kept(t)[1] for _, t in dtype) or 1), 0
+        for k, kind in dtype:
+            t, size = _kept(kind)
+            planes = np.zeros((n, np.dtype(t).itemsize), np.uint8)
+            planes[:, :size] = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n).T
+            parts[k].append(planes.view(t).ravel())
             at += n * size
     return {k: np.concatenate(v) for k, v in parts.items()}
 
@@ -105,7 +114,7 @@ def segments(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     text = np.searchsorted(offsets, start, "right") - 1
     stop = np.minimum(np.append(start[1:], len(buf)), offsets[text + 1] - WINDOW + 1) + WINDOW - 1
     # least hashes are small numbers: mixed again, they spread over the shards
-    return {"doc": text, "pos": start - offsets[text], "len": stop - start, "name": mix(least[start] + np.uint64(1)), "same": span_hash(prefix, start, stop)}
+    return {"doc": text, "pos": start - offsets[text], "len": stop - start, "name": mix(least[start] + np.uint64(1)), "same": span_hash(prefix, start, stop) >> np.uint64(16)}
 
 
 def _deal(shards: int):
@@ -144,6 +153,7 @@ def _bucket(columns: dict[str, np.ndarray], buckets: int) -> np.ndarray:
 
 #: What a row of the shards' output holds.
 DROP, FETCH, HELD = 0, 1, 2
+PACKED = "kind long, at long, raw binary"
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -343,30 +353,39 @@ def without_repeats(docs: DataFrame, text_back: bool = True) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     n = partitions(spark)
-    shards, buckets = 2 * n, 4 * n
+    shards, buckets = n, 4 * n
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"), *(F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns) if c != "text")
     )
-    dealt = named.select("doc", "text_hash", "text").mapInArrow(_deal(shards), "shard long, raw binary").repartition(n, "shard").sortWithinPartitions("shard")
-    met = scratch.save(dealt.mapInArrow(_meet(buckets), "kind long, at long, raw binary"), "met")
-    scratch.release()
-
     own = [c for c in named.columns if c.startswith("own_")]
     # copies of one text differ in doc, so they spread
     placed = named.withColumn("bucket", F.pmod(F.col("doc").bitwiseXOR(F.col("text_hash")), F.lit(buckets)))
-    base = placed.select("bucket", F.lit(9).cast("long").alias("kind"), F.col("text").cast("binary").alias("raw"), "doc", "text_hash")
-    asked = met.where(F.col("kind") == FETCH).select(F.col("at").alias("bucket"), "kind", "raw", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("text_hash"))
-    both = base.unionByName(asked).repartition(n, "bucket").sortWithinPartitions("bucket")
-    fetched = scratch.save(both.mapInArrow(_fetch, "kind long, at long, raw binary"), "fetched")
+    none = F.lit(None).cast("long")
+
+    def sorted_by(df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(n, key).sortWithinPartitions(key)
+
+    def texts(*more: str) -> DataFrame:
+        return placed.select("bucket", F.lit(9).cast("long").alias("kind"), F.col("text").cast("binary").alias("raw"), "doc", "text_hash", *more)
+
+    def meet() -> DataFrame:
+        return sorted_by(named.select("doc", "text_hash", "text").mapInArrow(_deal(shards), "shard long, raw binary"), "shard").mapInArrow(_meet(buckets), PACKED)
+
+    def fetch() -> DataFrame:
+        asked = met.where(F.col("kind") == FETCH).select(F.col("at").alias("bucket"), "kind", "raw", none.alias("doc"), none.alias("text_hash"))
+        return sorted_by(texts().unionByName(asked), "bucket").mapInArrow(_fetch, PACKED)
+
+    # no name holds a finished step's plan, so its shuffle files can go before the next
+    met = scratch.save(meet(), "met")
+    scratch.release()
+    fetched = scratch.save(fetch(), "fetched")
     scratch.release()
     shard = fetched.union(met.where(F.col("kind") == HELD)).select(F.col("at").alias("shard"), "kind", "raw")
-    late = scratch.save(shard.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_sort(buckets), "kind long, at long, raw binary"), "sorted")
+    late = scratch.save(sorted_by(shard, "shard").mapInArrow(_sort(buckets), PACKED), "sorted")
     drops = met.where(F.col("kind") == DROP).union(late).select(F.col("at").alias("bucket"), "kind", "raw")
-    base = placed.select("bucket", F.lit(9).cast("long").alias("kind"), F.col("text").cast("binary").alias("raw"), "doc", "text_hash", *own)
-    both = base.unionByName(drops, allowMissingColumns=True).repartition(n, "bucket").sortWithinPartitions("bucket")
     schema = "n_bytes long, n_removed long, n_spans long, kept string" + "".join(f", {c} {named.schema[c].dataType.simpleString()}" for c in own)
-    out = both.mapInArrow(_apply(text_back, len(own)), schema)
+    out = sorted_by(texts(*own).unionByName(drops, allowMissingColumns=True), "bucket").mapInArrow(_apply(text_back, len(own)), schema)
     results = ["n_bytes", "n_removed", "n_spans", "kept"]
     return out.select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns) if c != "text" and c not in results), *results)
 
