@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,11 @@ class Scratch:
             remove(self.spark, self.path(name))
 
     def release(self) -> None:
-        """Let Spark delete the shuffle files of finished jobs now."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark delete the shuffle files of finished jobs now (its cleaner works in the background)."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:
