@@ -58,19 +58,22 @@ def form_runs(derts: DataFrame) -> DataFrame:
     return with_runs(derts).groupBy(*KEY, "fork", "seg").agg(*_run_sums())
 
 
-def range_gate(filters: Filters = DEFAULT, depth: int = 1) -> Column:
-    return (F.col("M") - F.col("Rdn") * F.lit(filters.ave_M) * F.col("L") > F.lit(filters.ave_M * depth)) & (F.col("L") > 2)
+def range_gate(filters: Filters = DEFAULT, depth: int = 1, prefix: str = "") -> Column:
+    L, M, Rdn = (F.col(prefix + c) for c in ("L", "M", "Rdn"))
+    return (M - Rdn * F.lit(filters.ave_M) * L > F.lit(filters.ave_M * depth)) & (L > 2)
 
 
-def derivation_gate(filters: Filters = DEFAULT, depth: int = 1) -> Column:
-    return (F.abs("D") - (F.col("L") - F.col("Rdn")) * F.lit(filters.ave_D) * F.col("L") > F.lit(filters.ave_D * depth)) & (F.col("L") > 1)
+def derivation_gate(filters: Filters = DEFAULT, depth: int = 1, prefix: str = "") -> Column:
+    L, D, Rdn = (F.col(prefix + c) for c in ("L", "D", "Rdn"))
+    return (F.abs(D) - (L - Rdn) * F.lit(filters.ave_D) * L > F.lit(filters.ave_D * depth)) & (L > 1)
 
 
 def _members(derts: DataFrame, gate: Column) -> tuple[DataFrame, Window]:
     run = [*KEY, "fork", "seg"]
     whole = Window.partitionBy(*run)
     order = whole.orderBy("pos")
-    sums = {"L": F.count("*").over(whole), "D": F.sum("d").over(whole), "M": F.sum("m").over(whole), "Rdn": F.sum(F.col("mrdn").cast("long")).over(whole) + 1}
+    # column names ignore case, so a run's sums get a prefix beside its derts' m and d
+    sums = {"run_L": F.count("*").over(whole), "run_D": F.sum("d").over(whole), "run_M": F.sum("m").over(whole), "run_Rdn": F.sum(F.col("mrdn").cast("long")).over(whole) + 1}
     members = with_runs(derts).withColumns(sums).where(gate).withColumn("at", F.row_number().over(order) - 1)
     return members, order
 
@@ -81,7 +84,7 @@ def _child(kind: str) -> Column:
 
 def range_compare(derts: DataFrame, filters: Filters = DEFAULT, depth: int = 1) -> DataFrame:
     """In qualifying runs every second element against the one taken before; p and d accumulate, m = ave * rng - |d|."""
-    members, order = _members(derts, range_gate(filters, depth))
+    members, order = _members(derts, range_gate(filters, depth, "run_"))
     taken = members.where("at % 2 = 0").withColumn("prior", F.lag("i").over(order)).where("prior is not null")
     rd = F.col("d") + F.col("i") - F.col("prior")
     rm = F.lit(filters.ave * (depth + 1)) - F.abs(rd)
@@ -90,7 +93,7 @@ def range_compare(derts: DataFrame, filters: Filters = DEFAULT, depth: int = 1)
 
 def derivative_compare(derts: DataFrame, filters: Filters = DEFAULT, depth: int = 1, compat_mrdn0: bool = False) -> DataFrame:
     """In qualifying runs consecutive |d|: p, d of them, m = min - |d / 2| - ave_min; i is the signed d."""
-    members, order = _members(derts, derivation_gate(filters, depth))
+    members, order = _members(derts, derivation_gate(filters, depth, "run_"))
     now = members.withColumn("own", F.abs("d")).withColumn("prior", F.lag("own").over(order)).where("prior is not null")
     dd = F.col("own") - F.col("prior")
     md = F.least("own", "prior") - F.abs(dd / 2) - F.lit(filters.ave_min)
@@ -110,7 +113,7 @@ def run_levels(derts: DataFrame, filters: Filters = DEFAULT, depth: int = 3) ->
 
 def exclusive_levels(derts: DataFrame, filters: Filters = DEFAULT) -> DataFrame:
     """The older variant's second level: range increment only of match runs, derivation only of difference runs; m accumulates."""
-    members, order = _members(derts, range_gate(filters))
+    members, order = _members(derts, range_gate(filters, prefix="run_"))
     taken = members.where("fork = 'm' and at % 2 = 0").withColumn("prior", F.lag("i").over(order)).where("prior is not null")
     rd = F.col("d") + F.col("i") - F.col("prior")
     rm = F.col("m") + F.lit(filters.ave) - F.abs(F.col("i") - F.col("prior"))
