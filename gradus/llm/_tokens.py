@@ -11,7 +11,7 @@ import pyarrow as pa
 
 from gradus.llm._words import HashIndex, Ragged, pieces, prefix_hash, slices, span_hash, strings
 
-MOST_PIECES = 1_500_000
+MOST_PIECES = 800_000
 #: Letters below this are the same in every Unicode version.
 _OLD = "ɐ"
 
