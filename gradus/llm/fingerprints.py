@@ -51,6 +51,12 @@ def signatures(shingle: np.ndarray, doc: np.ndarray, n: int, bins: int = BINS) -
     return densify(table.reshape(n, bins))
 
 
+def low_bits(table: np.ndarray, bits: int) -> np.ndarray:
+    """Low bits of every bin's value, mixed with the bin, so that bins that borrow one value agree by chance one by one."""
+    own = np.arange(table.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mix(table ^ own) & np.uint64(2**bits - 1)).astype(np.uint8)
+
+
 def text_shingles(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     start, end, first = words(buf, offsets)
     return shingles(span_hash(prefix_hash(buf), start, end), first, width)
@@ -66,7 +72,7 @@ def fingerprint_arrays(buf: np.ndarray, offsets: np.ndarray, bins: int = BINS, b
             shingle, doc = text_shingles(buf[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
             table = signatures(shingle, doc, to - at, bins)
             some[at:to] = table[:, 0] != _EMPTY
-            low[at:to] = table & np.uint64(2**bits - 1)
+            low[at:to] = low_bits(table, bits)
     low[~some] = 0
     return low, some
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gradus.llm._groups import grouped, matrix, roots
 from gradus.llm._words import BASE, mix, slices, strings
-from gradus.llm.fingerprints import signatures, text_shingles
+from gradus.llm.fingerprints import low_bits, signatures, text_shingles
 from gradus.operators.components import connected_components
 from gradus.plans.scratch import Scratch, partitions
 
@@ -69,7 +69,7 @@ def _sketch(cut: float, recall: float):
                         prefixes.append(at_depth[i, [k - 1 for k in keep]].ravel().view(np.int64))
                     flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                     ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                    low = (sig[:, :SKETCH] & np.uint64(255)).astype(np.uint8)
+                    low = low_bits(sig[:, :SKETCH], 8)
                     part = b.slice(lo, hi - lo)
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array([x.tobytes() for x in low], pa.binary())],
