@@ -233,7 +233,7 @@ def centroids(spark: SparkSession, nodes: DataFrame, seeds: DataFrame, links: Da
     """Overlapping centroid clusters: each seed gathers its linked nodes, becomes their match-weighted mean, and compares its frontier again.
 
     Members are weighted by c * m / sum(c * m). Rounds are fixed; each is written to
-    the shared folder. Returns (centroid, node_id, m) of the last round.
+    the shared folder. Returns (centroid, node_id, match) of the last round.
     """
     scratch = Scratch(spark, "centroids")
     near = ends(links.select("group", "a", "b")).select("group", "node_id", "other").union(nodes.select("group", "node_id", "node_id"))
@@ -245,8 +245,8 @@ def centroids(spark: SparkSession, nodes: DataFrame, seeds: DataFrame, links: Da
         reach = front.join(near.select("group", F.col("node_id").alias("member"), "other"), ["group", "member"]).select("group", F.col("centroid").alias("a"), F.col("other").alias("b")).distinct()
         means = current.select("group", F.col("centroid").alias("node_id"), *features)
         compared = _compare_tables(reach, means, nodes)
-        out = scratch.save(compared.where(F.col("m") > filters.ave_node * F.col("r")).select("group", F.col("a").alias("centroid"), F.col("b").alias("node_id"), "m"), f"round{k}")
-        weighed = out.join(nodes, ["group", "node_id"]).withColumn("w", F.col("c") * F.col("m"))
+        out = scratch.save(compared.where(F.col("m") > filters.ave_node * F.col("r")).select("group", F.col("a").alias("centroid"), F.col("b").alias("node_id"), F.col("m").alias("match")), f"round{k}")
+        weighed = out.join(nodes, ["group", "node_id"]).withColumn("w", F.col("c") * F.col("match"))
         current = scratch.save(weighed.groupBy("group", "centroid").agg(*((F.sum(F.col(f) * F.col("w")) / F.sum("w")).alias(f) for f in features)), f"means{k}")
         front = out.select("group", "centroid", F.col("node_id").alias("member"))
     return out

@@ -36,11 +36,26 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Folders of this process's runs, oldest first.
+CREATED: list[str] = []
+
+
+def remove_since(spark: SparkSession, mark: int) -> None:
+    """Remove the folders made after CREATED held ``mark`` of them; for callers that have written their result."""
+    while len(CREATED) > mark:
+        remove(spark, CREATED.pop())
+
+
 class Scratch:
-    """Named intermediate tables of one run of an operator."""
+    """Named intermediate tables of one run of an operator.
+
+    A result that is still to be computed may read them, so only who has written
+    the result may remove them (drop, remove_since).
+    """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        CREATED.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
