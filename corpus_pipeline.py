@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm import forest, mixing, packing, repeats, toxicity
-from gradus.plans.scratch import Scratch
+from gradus.plans.scratch import CREATED, Scratch, remove_since
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
+        mark = len(CREATED)
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        remove_since(spark, mark)  # the stage's own intermediate tables
     return docs
