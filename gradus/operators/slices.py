@@ -270,4 +270,4 @@ def inner_dx(derts: DataFrame) -> DataFrame:
     change = F.coalesce(~joined, F.lit(True)).cast("long")
     before: Column = F.when(joined, F.lag("dx4").over(w))
     named = derts.withColumn("c", change).withColumn("prior", before).withColumn("seg", F.sum("c").over(w) - 1)
-    return named.groupBy("frame_id", "y", "seg").agg(F.coalesce(F.sum(F.col("dx4") - F.col("prior")), F.lit(0)).cast("long").alias("Ddx4"), F.coalesce(F.sum(signed_min("prior", "dx4")), F.lit(0)).cast("long").alias("Mdx4"))
+    return named.groupBy("frame_id", "y", "seg").agg(F.coalesce(F.sum(F.col("dx4") - F.col("prior")), F.lit(0)).cast("long").alias("Ddx4"), F.coalesce(F.sum(F.when(F.col("prior").isNotNull(), signed_min("prior", "dx4"))), F.lit(0)).cast("long").alias("Mdx4"))

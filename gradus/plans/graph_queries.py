@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.filters import Filters
-from gradus.operators import blobs, graph, slices, stencil
-from gradus.plans.grid_queries import _SUMS, _blobs, _derts
+from gradus.operators import blobs, graph, hierarchy, params, slices, stencil
+from gradus.plans.grid_queries import _DERT, _SEG, _SUMS, _blobs, _derts
 from gradus.plans.scratch import Scratch
+from gradus.plans.sequence_queries import EVENTS, _event_runs
 
 EDGES = Filters(ave_g=15, ave_G=15, ave_I=5, ave_dangle=0.8, ave_slice_m=5, ave_slice_d=1)
 GRAPH = Filters(ave_g=15, ave_node=5.0, max_dist=6)
@@ -188,7 +189,7 @@ def _tiles(spark, sf):
 
 
 def focus_map(spark, sf):
-    return graph.focus_map(_tiles(spark, sf), 0.5, 2)
+    return graph.focus_map(_tiles(spark, sf), 0.5, 2).withColumn("focus", F.round(F.col("focus") * 100).cast("long"))
 
 
 def frame_expansion(spark, sf):
@@ -204,13 +205,68 @@ def drift_segments(spark, sf):
     return graph.drift_segments(levels, 4.0)
 
 
+def l3_levels(spark, sf):
+    return hierarchy.sequence_levels(spark, _event_runs(spark, sf), Filters(ave=35, pp_M=1, ave_params=(0.5, -60, -60, -60)), levels=4)
+
+
+def l2_spliced_runs(spark, sf):
+    runs = _event_runs(spark, sf)
+    low = Filters(ave=35, ave_splice=0.5)
+    return hierarchy.splice_runs(runs, params.cross_compare(runs, low, defining_step1=True), low)
+
+
+def l2_derivations(spark, sf):
+    return hierarchy.derivation_of_comparisons(params.cross_compare(_event_runs(spark, sf), EVENTS), EVENTS)
+
+
+def _clusters(spark, sf):
+    nodes, links = _graph(spark, sf)
+    members = graph.connectivity_clusters(spark, nodes, links, GRAPH)
+    return nodes, links, Scratch(spark, "clusters").save(members, "members")
+
+
+def cluster_forks(spark, sf):
+    _, links, members = _clusters(spark, sf)
+    return hierarchy.fork_sums(links, members)
+
+
+def combined_forks(spark, sf):
+    _, links, members = _clusters(spark, sf)
+    return hierarchy.combined_forks(hierarchy.fork_sums(links, members))
+
+
+def traced_edges(spark, sf):
+    nodes, links, members = _clusters(spark, sf)
+    return hierarchy.trace_edges(spark, nodes, links, members, 20.0)
+
+
+def _level_values(spark, sf):
+    return _tiles(spark, sf).groupBy("group", F.col("ty").cast("long").alias("level")).agg(F.count("*").alias("c"), F.round(F.sum("v"), 3).alias("m"), F.round(F.max("v"), 3).alias("d"))
+
+
+def level_order(spark, sf):
+    return hierarchy.level_order(_level_values(spark, sf))
+
+
+def compared_hierarchies(spark, sf):
+    return hierarchy.compare_hierarchies(_level_values(spark, sf))
+
+
+def weighted_overlap(spark, sf):
+    """Suppliers as sets of the parts they ship in large quantities."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity >= 49")
+    sets = items.groupBy(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("member")).agg(F.count("*").alias("w"))
+    return hierarchy.weighted_overlap(sets).select("a", "b", F.col("shared").cast("long").alias("shared"), F.round("overlap", 6).alias("overlap"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         edge_maxima, edge_slices, slice_links, slice_link_pairs, pp_clusters, interpolated_points, segment_slices, segment_chains, segment_dx,
         pair_range, pair_range_links, link_rims, link_decay, link_gates, link_derivatives, link_errors, link_weights, link_sums, link_bands, link_gaps, link_sectors,
         node_maxima, node_cosines, node_projection, node_aggregate, exemplars, conn_clusters, merged_nodes, centroids, fuzzy_centroids, node_levels,
-        focus_map, frame_expansion, operator_metrics, drift_segments,
+        focus_map, frame_expansion, operator_metrics, drift_segments, l3_levels, l2_spliced_runs, l2_derivations, cluster_forks, combined_forks, traced_edges,
+        level_order, compared_hierarchies, weighted_overlap,
     )
 }
 
@@ -249,4 +305,27 @@ own AS (SELECT *, node_id // 1024 * 1024 AS root FROM node),
 a AS (SELECT "group", root, count(*) AS n_members, sum(c) AS C, sum(M * c) / sum(c) AS M, sum(I * c) / sum(c) AS I, sum(G * c) / sum(c) AS G, sum(y * c) / sum(c) AS cy, sum(x * c) / sum(c) AS cx, max(span) AS own_span FROM own GROUP BY ALL),
 s AS (SELECT o."group", o.root, sum(sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) * o.c) / sum(o.c) AS span FROM own o JOIN a USING ("group", root) GROUP BY ALL)
 SELECT "group", root, n_members, C, round(M, 4) AS M, round(I, 4) AS I, round(G, 4) AS G, round(cy, 4) AS cy, round(cx, 4) AS cx, round(CASE WHEN n_members = 1 THEN own_span ELSE span END, 4) AS span FROM a JOIN s USING ("group", root)""",
+    "weighted_overlap": """WITH s AS (SELECT l_suppkey AS set_id, l_partkey AS member, count(*) AS w FROM lineitem WHERE l_quantity >= 49 GROUP BY ALL),
+t AS (SELECT set_id, sum(w) AS t FROM s GROUP BY set_id),
+p AS (SELECT x.set_id AS a, y.set_id AS b, sum(x.w) AS shared FROM s x JOIN s y ON x.member = y.member AND x.set_id < y.set_id GROUP BY ALL)
+SELECT a, b, shared::BIGINT AS shared, round(shared / CASE WHEN ta.t + tb.t - 2 * shared = 0 THEN 1e-7::DOUBLE ELSE ta.t + tb.t - 2 * shared END, 6) AS overlap
+FROM p JOIN t ta ON ta.set_id = a JOIN t tb ON tb.set_id = b""",
+    "segment_slices": f"""{_SEG} SELECT b.frame_id, b.y, a.lo AS a_lo, b.lo, b.n - a.n AS dL, least(b.n, a.n) AS mL, b.I - a.I AS dI, least(b.I, a.I) AS mI, abs((b.lo + b.hi) - (a.lo + a.hi))::BIGINT AS shift2
+FROM seg a JOIN seg b ON a.frame_id = b.frame_id AND b.y = a.y + 1 AND a.s = b.s AND a.lo <= b.hi + 1 AND b.lo <= a.hi + 1""",
+    "segment_dx": f"""{_SEG}, pr AS (SELECT *, lag(dx4) OVER (PARTITION BY frame_id, y, seg ORDER BY x) AS prior FROM sn)
+SELECT frame_id, y, seg::BIGINT AS seg, coalesce(sum(dx4 - prior), 0)::BIGINT AS Ddx4, coalesce(sum(CASE WHEN prior IS NULL THEN NULL WHEN (prior < 0) <> (dx4 < 0) THEN -least(abs(prior), abs(dx4)) ELSE least(abs(prior), abs(dx4)) END), 0)::BIGINT AS Mdx4
+FROM pr GROUP BY ALL""",
+    "interpolated_points": f"""{_EDGE}, pt AS (SELECT DISTINCT frame_id, blob_id, y + 0.25::DOUBLE AS py, x + 0.5::DOUBLE AS px FROM ep WHERE (y + x) % 7 = 0),
+c AS (SELECT pt.*, e.i, (1 - abs(e.y - py)) * (1 - abs(e.x - px)) AS k FROM pt JOIN ep e ON e.frame_id = pt.frame_id AND e.blob_id = pt.blob_id AND e.y BETWEEN floor(py) AND floor(py) + 1 AND e.x BETWEEN floor(px) AND floor(px) + 1)
+SELECT frame_id, blob_id, py, px, round(sum(i * k) / sum(k) * 1000)::BIGINT AS i FROM c GROUP BY ALL""",
+    "focus_map": f"""WITH {_DERT}, t AS (SELECT frame_id AS "group", y // 8 AS ty, x // 8 AS tx, sum(g - {stencil.DEFAULT.ave_g / 2}) AS v FROM dert GROUP BY ALL)
+SELECT "group", (ty + oy)::INT AS ty, (tx + ox)::INT AS tx, round(sum(v * power(0.5::DOUBLE, greatest(abs(oy), abs(ox)))) * 100)::BIGINT AS focus FROM t, range(-2, 3) AS a(oy), range(-2, 3) AS b(ox) WHERE oy <> 0 OR ox <> 0 GROUP BY ALL""",
+    "link_gaps": f"""{_NODE}, o AS (SELECT *, coalesce(dist - lag(dist) OVER w > 0.05::DOUBLE, true)::INT AS c FROM pair WINDOW w AS (PARTITION BY "group" ORDER BY dist, a, b)),
+s AS (SELECT *, sum(c) OVER (PARTITION BY "group" ORDER BY dist, a, b) - 1 AS seg FROM o)
+SELECT "group", seg::BIGINT AS seg, count(*) AS n, min(dist) AS lo, max(dist) AS hi FROM s GROUP BY ALL""",
+    "node_maxima": f"""{_NODE}, en AS (SELECT "group", a AS node_id, b AS other FROM pair UNION ALL SELECT "group", b, a FROM pair)
+SELECT e."group", e.node_id, count(*) AS n FROM en e JOIN node p ON p.node_id = e.node_id JOIN node q ON q.node_id = e.other GROUP BY ALL HAVING max(q.M) <= any_value(p.M)""",
+    "link_sectors": f"""{_NODE}, en AS (SELECT "group", a AS node_id, b AS other, dist FROM pair UNION ALL SELECT "group", b, a, dist FROM pair),
+s AS (SELECT e.*, ((floor(atan2(q.y - p.y, q.x - p.x) / (2 * pi() / 8))::INT % 8) + 8) % 8 AS sector FROM en e JOIN node p ON p.node_id = e.node_id JOIN node q ON q.node_id = e.other)
+SELECT "group", node_id, sector, other, dist FROM s QUALIFY row_number() OVER (PARTITION BY "group", node_id, sector ORDER BY dist, other) = 1""",
 }

@@ -66,7 +66,7 @@ def px_angle(spark, sf):
 
 def px_gradient_of_gradient(spark, sf):
     derts = stencil.gradient_2x2(_pixels(spark, sf)).select("frame_id", "y", "x", "dy", "dx")
-    return stencil.gradient_of_gradient(derts).select("frame_id", "y", "x", *(F.round(c, 6).alias(c) for c in ("dgy", "dgx", "gg")))
+    return _thousandths(stencil.gradient_of_gradient(derts), "dgy", "dgx", "gg")
 
 
 def px_filter_bank(spark, sf):
@@ -242,4 +242,9 @@ FROM adj JOIN blob p ON p.frame_id = adj.frame_id AND p.blob_id = a JOIN blob q
 m AS (SELECT frame_id, y, x, y + [0, 1, 1, 1, 0, -1, -1, -1][k + 1] AS ty, x + [1, 1, 0, -1, -1, -1, 0, 1][k + 1] AS tx FROM t),
 c AS (SELECT frame_id, ty AS y, tx AS x, count(*) AS n_in FROM m GROUP BY ALL)
 SELECT m.*, coalesce(n_in, 0) AS n_in FROM m LEFT JOIN c USING (frame_id, y, x)""",
+    "px_gradient_of_gradient": f"""WITH {_UNIT}, d AS (SELECT frame_id, y, x, g10 - g01 * (u10 * u01 + v10 * v01) AS d0, g11 - g00 * (u11 * u00 + v11 * v00) AS d1 FROM q),
+e AS (SELECT frame_id, y, x, (d1 + d0) / 2 AS dgy, (d1 - d0) / 2 AS dgx FROM d)
+SELECT frame_id, y, x, {_k('dgy', 'dgy')}, {_k('dgx', 'dgx')}, {_k('sqrt(dgy * dgy + dgx * dgx)', 'gg')} FROM e""",
+    "blob_direction": f"""{_LABEL.replace(f"dy4 * dy4 + dx4 * dx4 < {(4 * GRID.ave_g) ** 2} AS s", "abs(dy4) > abs(dx4) AS s")}
+SELECT frame_id, blob_id, count(*) AS area, any_value(s) AS s FROM lab GROUP BY ALL""",
 }
