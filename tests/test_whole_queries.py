@@ -24,3 +24,15 @@ def test_weighted_overlap_of_all_line_items(spark, tmp_path):
     got = {(r.a, r.b): (r.shared, r.overlap) for r in graph_queries.weighted_overlap(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
+
+
+def test_a_point_at_every_edge_pixel(spark):
+    sf = "/root/testdata/sf0.001"
+    value = {(r.frame_id, r.blob_id, r.y, r.x): r.i for r in graph_queries._edge_pixels(spark, sf).collect()}
+    want = {}
+    for frame, blob, y, x in value:
+        near = [((1 - dy) * (1 - dx), value[frame, blob, y + oy, x + ox]) for oy, dy in ((0, 0.25), (1, 0.75)) for ox, dx in ((0, 0.5), (1, 0.5)) if (frame, blob, y + oy, x + ox) in value]
+        want[frame, blob, y + 0.25, x + 0.5] = 1000 * sum(k * v for k, v in near) / sum(k for k, _ in near)
+    got = {(r.frame_id, r.blob_id, r.py, r.px): r.i for r in graph_queries.interpolated_points(spark, sf).collect()}
+    assert got.keys() == want.keys() and len(want) > 100
+    assert all(abs(got[k] - want[k]) < 0.501 for k in want)
