@@ -18,6 +18,7 @@ from gradus.filters import DEFAULT, Filters
 from gradus.functions.compare import angle_match, direct_match, inverse_match
 from gradus.operators.components import connected_components
 from gradus.operators.stencil import PIXEL, ring_compare
+from gradus.plans.scratch import Scratch, rounds
 
 STRIDE = 65536
 FRAME = 1 << 33
@@ -171,15 +172,16 @@ def blob_graphs(spark: SparkSession, links: DataFrame) -> DataFrame:
     return out.withColumn("n", F.count("*").over(Window.partitionBy("frame_id", "graph_id")))
 
 
-def intra_blob(spark: SparkSession, pixels: DataFrame, derts: DataFrame, filters: Filters = DEFAULT, depth: int = 2) -> DataFrame:
+def intra_blob(spark: SparkSession, pixels: DataFrame, derts: DataFrame, filters: Filters = DEFAULT, depth: int | None = None) -> DataFrame:
     """Blobs of all depths: inside + blobs of low gradient the kernel's radius grows by one a depth and pixels are clustered again.
 
     All blobs of a depth at once; root is the blob of the depth above. A blob
-    qualifies if s and G < ave * area + ave_r * olp, with olp = 1 + 1.5 a depth.
+    qualifies if s and G < ave * area + ave_r * olp, with olp = 1 + 1.5 a depth. Ends when none qualifies (or at ``depth``).
     """
-    out, level, olp = [], label_by_frame(derts).withColumn("root", F.lit(-1).cast("long")), 1.0
+    scratch = Scratch(spark, "intra")
+    out, level, olp = [], scratch.save(label_by_frame(derts).withColumn("root", F.lit(-1).cast("long")), "level1"), 1.0
     # each depth keeps the first level's derivatives; the ring is added to them
-    for k in range(1, depth + 1):
+    for k in rounds(last=depth):
         sums = level.groupBy("frame_id", "root", "blob_id").agg(F.first("s").alias("s"), F.count("*").alias("area"), F.sum(F.round(F.col("g") * 1000).cast("long")).alias("G1000"), F.sum("i").alias("I"))
         out.append(sums.withColumn("depth", F.lit(k)))
         if k == depth:
@@ -189,7 +191,9 @@ def intra_blob(spark: SparkSession, pixels: DataFrame, derts: DataFrame, filters
         ringed = ring_compare(pixels, derts, k + 1, filters, olp + 1.5).join(inner.withColumnRenamed("blob_id", "root"), PIXEL)
         # pixels of different roots must not join: a root is a frame of its own here
         own = ringed.select(F.col("frame_id").alias("f"), F.xxhash64("frame_id", "root").alias("frame_id"), "y", "x", "i", "g", "s", "root")
-        level = label_by_frame(own).select(F.col("f").alias("frame_id"), "y", "x", "i", "g", "s", "root", "blob_id")
+        level = scratch.save(label_by_frame(own).select(F.col("f").alias("frame_id"), "y", "x", "i", "g", "s", "root", "blob_id"), f"level{k + 1}")
+        if level.isEmpty():
+            break
         olp += 1.5
     return reduce(DataFrame.unionByName, out)
 

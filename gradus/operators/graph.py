@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gradus.filters import DEFAULT, Filters
 from gradus.functions.compare import guarded, signed_min, wrapped
 from gradus.operators.components import connected_components
-from gradus.plans.scratch import Scratch
+from gradus.plans.scratch import Scratch, rounds
 
 PARAMS = ("M", "D", "C", "I", "G", "A", "L", "S", "E")
 #: Weights of the nine parameters, by name (fixed values).
@@ -337,13 +337,13 @@ def focus_map(values: DataFrame, decay: float, reach: int) -> DataFrame:
     return sent.groupBy("group", "ty", "tx").agg(F.sum("v").alias("focus"))
 
 
-def expand_frame(spark: SparkSession, values: DataFrame, start: tuple[int, int], ave: float, decay: float = 0.5, rounds: int = 16) -> DataFrame:
+def expand_frame(spark: SparkSession, values: DataFrame, start: tuple[int, int], ave: float, decay: float = 0.5) -> DataFrame:
     """Tiles reached from the start over four neighbours whose focus exceeds ave, with the round they were reached in."""
     scratch = Scratch(spark, "frame")
     focus = scratch.save(focus_map(values, decay, 1).where(F.col("focus") > ave), "focus")
     got = values.select("group").distinct().select("group", F.lit(start[0]).alias("ty"), F.lit(start[1]).alias("tx"), F.lit(0).alias("round"))
     four = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((-1, 0), (0, 1), (1, 0), (0, -1))))
-    for k in range(1, rounds + 1):
+    for k in rounds():
         edge = got.where(F.col("round") == k - 1).withColumn("o", F.explode(four)).select("group", (F.col("ty") + F.col("o.y")).alias("ty"), (F.col("tx") + F.col("o.x")).alias("tx")).distinct()
         new = edge.join(focus, ["group", "ty", "tx"], "left_semi").join(got, ["group", "ty", "tx"], "left_anti").withColumn("round", F.lit(k))
         new = scratch.save(new, f"round{k}")
@@ -376,10 +376,10 @@ def drift_segments(levels: DataFrame, ave: float) -> DataFrame:
     return levels.withColumn("_c", cut).withColumn("seg", F.sum("_c").over(w) - 1).groupBy("group", "seg").agg(F.min("level").alias("first"), F.count("*").alias("n"), F.sum("v").alias("v"))
 
 
-def node_levels(spark: SparkSession, nodes: DataFrame, filters: Filters = DEFAULT, levels: int = 3) -> DataFrame:
-    """Compare, cluster, aggregate, repeat: membership of every level (level, group, node_id, root). Stops when a level has no cluster."""
+def node_levels(spark: SparkSession, nodes: DataFrame, filters: Filters = DEFAULT, levels: int | None = None) -> DataFrame:
+    """Compare, cluster, aggregate, repeat: membership of every level (level, group, node_id, root). Stops when a level has no cluster (or at ``levels``)."""
     scratch, out = Scratch(spark, "levels"), None
-    for k in range(1, levels + 1):
+    for k in rounds(last=levels):
         links = scratch.save(compare_nodes(range_pairs(nodes, filters.max_dist * k), nodes), f"links{k}")
         members = scratch.save(connectivity_clusters(spark, nodes, links, filters).withColumn("level", F.lit(k)), f"members{k}")
         out = members if out is None else out.unionByName(members)

@@ -11,20 +11,20 @@ from gradus.filters import DEFAULT, Filters
 from gradus.functions.compare import guarded, signed_min
 from gradus.operators import graph, params
 from gradus.operators.components import connected_components
-from gradus.plans.scratch import Scratch
+from gradus.plans.scratch import Scratch, rounds
 
 
-def sequence_levels(spark: SparkSession, runs: DataFrame, filters: Filters = DEFAULT, levels: int = 4) -> DataFrame:
+def sequence_levels(spark: SparkSession, runs: DataFrame, filters: Filters = DEFAULT, levels: int | None = None) -> DataFrame:
     """The second level's comparison applied again to its own groups.
 
     A group is the sequence of runs of one (line, path, fork, param, sign); its path
     names the groups above it. Only groups of at least three runs whose summed
     match exceeds 4 * ave are taken up, so levels don't grow by eight each time.
-    Ends at ``levels`` or when no group qualifies.
+    Ends when no group qualifies (or at ``levels``).
     """
     scratch, out = Scratch(spark, "levels"), []
     current = runs.select("line_id", F.lit("").alias("path"), "fork", "seg", "L", "I", "D", "M", "Rdn", "x0")
-    for level in range(2, levels + 1):
+    for level in rounds(2, levels):
         # every group is a line of its own; a map leads back to what it stands for
         keyed = current.withColumn("own", F.xxhash64("line_id", "path"))
         names = keyed.select("own", "line_id", "path").distinct()

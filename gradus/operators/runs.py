@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.filters import DEFAULT, Filters
+from gradus.plans.scratch import Scratch, rounds
 
 KEY = ["line_id", "parent"]
 DERT = ["i", "p", "d", "m", "mrdn"]
@@ -100,14 +101,21 @@ def derivative_compare(derts: DataFrame, filters: Filters = DEFAULT, depth: int
     return now.select("line_id", _child("d"), (F.col("at") - 1).cast("long").alias("pos"), F.col("d").alias("i"), (F.col("own") + F.col("prior")).alias("p"), dd.alias("d"), md.alias("m"), (F.lit(False) if compat_mrdn0 else md < 0).alias("mrdn"))
 
 
-def run_levels(derts: DataFrame, filters: Filters = DEFAULT, depth: int = 3) -> DataFrame:
-    """Runs of all levels down to ``depth``, both kinds of increment at each; a column depth instead of nested layers."""
+def run_levels(derts: DataFrame, filters: Filters = DEFAULT, depth: int | None = None) -> DataFrame:
+    """Runs of all levels, both kinds of increment at each, until no run qualifies (or down to ``depth``); a column depth instead of nested layers.
+
+    Each level is written to the shared folder.
+    """
+    scratch = Scratch(derts.sparkSession, "runs")
     level, out = derts.withColumn("m", F.col("m").cast("double")), []
-    for k in range(1, depth + 1):
+    for k in rounds(last=depth):
         out.append(form_runs(level).withColumn("depth", F.lit(k)))
-        if k < depth:
-            wide = [f.withColumn("m", F.col("m").cast("double")) for f in (range_compare(level, filters, k), derivative_compare(level, filters, k))]
-            level = wide[0].unionByName(wide[1])
+        if k == depth:
+            break
+        wide = [f.withColumn("m", F.col("m").cast("double")) for f in (range_compare(level, filters, k), derivative_compare(level, filters, k))]
+        level = scratch.save(wide[0].unionByName(wide[1]), f"level{k + 1}")
+        if level.isEmpty():
+            break
     return reduce(DataFrame.unionByName, out)
 
 

@@ -180,7 +180,7 @@ def fuzzy_centroids(spark, sf):
 
 
 def node_levels(spark, sf):
-    return graph.node_levels(spark, _nodes(spark, sf), GRAPH, levels=3)
+    return graph.node_levels(spark, _nodes(spark, sf), GRAPH)
 
 
 def _tiles(spark, sf):
@@ -206,7 +206,7 @@ def drift_segments(spark, sf):
 
 
 def l3_levels(spark, sf):
-    return hierarchy.sequence_levels(spark, _event_runs(spark, sf), Filters(ave=35, pp_M=1, ave_params=(0.5, -60, -60, -60)), levels=4)
+    return hierarchy.sequence_levels(spark, _event_runs(spark, sf), Filters(ave=35, pp_M=1, ave_params=(0.5, -60, -60, -60)))
 
 
 def l2_spliced_runs(spark, sf):

@@ -121,7 +121,7 @@ def blob_graphs(spark, sf):
 
 
 def blob_intra(spark, sf):
-    return blobs.intra_blob(spark, _pixels(spark, sf), _derts(spark, sf), GRID, depth=3)
+    return blobs.intra_blob(spark, _pixels(spark, sf), _derts(spark, sf), GRID)
 
 
 def blob_direction(spark, sf):

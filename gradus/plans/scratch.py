@@ -79,5 +79,16 @@ class Scratch:
             time.sleep(0.3)
 
 
+#: Rounds after which a loop that should have ended by itself fails.
+MOST_ROUNDS = 1000
+
+
+def rounds(first: int = 1, last: int | None = None):
+    """first, first + 1, … to ``last`` where one is given; else until the caller's loop ends, and an error after MOST_ROUNDS."""
+    yield from range(first, first + MOST_ROUNDS if last is None else last + 1)
+    if last is None:
+        raise RuntimeError(f"not done after {MOST_ROUNDS} rounds")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

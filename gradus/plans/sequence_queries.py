@@ -110,7 +110,7 @@ def l1_der2_runs(spark, sf):
 
 
 def l1_levels(spark, sf):
-    return runs.run_levels(runs.adjacent_compare(event_lines(spark, sf), LOW), LOW, depth=3)
+    return runs.run_levels(runs.adjacent_compare(event_lines(spark, sf), LOW), LOW)
 
 
 def l1_exclusive(spark, sf):

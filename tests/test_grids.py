@@ -131,3 +131,9 @@ def test_aggregate_keeps_mass(spark):
     member = spark.createDataFrame([(k, k // 3) for k in range(6)], "node_id long, root long")
     got = graph.aggregate_nodes(nodes, member).collect()
     assert sum(r.C for r in got) == 21 and all(r.M == 2.0 and r.n_members == 3 for r in got)
+
+
+def test_a_frame_expands_along_its_whole_path(spark):
+    tiles = [(0, 0, x, 1.0) for x in range(40)]
+    got = graph.expand_frame(spark, spark.createDataFrame(tiles, "group long, ty int, tx int, v double").repartition(2), (0, 0), 0.9)
+    assert {(r.tx, r.round) for r in got.where("ty = 0").collect()} >= {(x, x) for x in range(39)}

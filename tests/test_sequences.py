@@ -99,3 +99,13 @@ def test_streamed_runs_equal_batch_runs(spark, tmp_path):
             assert got == want
         else:
             assert got <= want  # files may be read in another order; what is late never cuts a run differently
+
+
+def test_levels_end_when_nothing_qualifies(spark):
+    derts = runs.adjacent_compare(line_table(spark, [2**k for k in range(12)], [3] * 40), Filters(ave=35))
+    low = Filters(ave=35, ave_M=-30, ave_D=1)
+    whole = runs.run_levels(derts, low).cache()
+    deepest = whole.agg(F.max("depth")).first()[0]
+    again = runs.run_levels(derts, low, deepest + 1)
+    assert deepest > 3 and again.count() == whole.count()
+    assert runs.run_levels(derts, low, 3).exceptAll(whole).isEmpty()
