@@ -6,8 +6,10 @@
 2. A shard keeps names that occur twice. Where all segments of a name are equal
    the earliest document decides at once; the texts of other segments, each
    distinct one once, are fetched from their documents.
-3. A shard's distinct segments are suffix-sorted to a depth of 50 bytes; suffixes
-   with a common prefix of 50 share a class, whose earliest document decides.
+3. A shard's names are dealt to parts of bounded bytes (a frequent name may exceed
+   them). A part's distinct segments are sorted by external induced sorting;
+   neighbours with a common-prefix value of 50 share a class, whose earliest
+   document decides.
 4. Removed stretches go back to their documents.
 
 Segments travel as compressed columns of many rows, so a table row moves for
@@ -27,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus.llm._groups import grouped
+from gradus.llm.induced import BLOCK, ORDERED, Queue, Sorter, Store, Tape, tuples
 from gradus.llm._words import BASE, POWERS, mix, prefix_hash, slices, span_hash, strings
 from gradus.plans.scratch import Scratch, partitions
 
 WINDOW, SEED = 50, 18
 FLUSH = 400_000
+#: Text bytes that a shard of windows and a bucket of documents stand for; bytes of a sorted part, and memory of its sort.
+SHARD_BYTES, BUCKET_BYTES, PART_BYTES, SORT_MEMORY = 16 << 20, 8 << 20, 2 << 20, 32 << 20
 #: Windows of a segment, and windows (of all occurrences) that a shard looks at together.
 MOST, TOGETHER = 64, 2_000_000
 #: A document: its id (null is the least) and the hash of its text, so that rows of one id stay apart.
@@ -168,8 +173,11 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _meet(buckets: int):
-    """A shard's segments → stretches to drop (by document), segments to fetch (by document), mixed segments (by shard)."""
+def _meet(buckets: int, part_bytes: int):
+    """A shard's segments → stretches to drop (by document), segments to fetch (by document), mixed segments (by part).
+
+    Names that must be sorted are dealt to as many parts as hold ``part_bytes`` each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 1):
@@ -190,10 +198,15 @@ def _meet(buckets: int):
             rows = []
             drop = take(s, later)
             rows += [(DROP, b, dump(c, SPAN)) for b, c in split(drop, _bucket(drop, buckets))]
-            fetch = take(s, first[mixed[first]])
-            rows += [(FETCH, b, struct.pack("<q", shard) + dump(c, SEGMENT)) for b, c in split(fetch, _bucket(fetch, buckets))]
-            if mixed.any():
-                rows.append((HELD, shard, dump(take(s, mixed), SEGMENT)))
+            fetch, held = take(s, first[mixed[first]]), take(s, mixed)
+            parts = 1 + int(fetch["len"].sum()) // part_bytes
+            for kind, columns in ((FETCH, fetch), (HELD, held)):
+                for part, own in split(columns, (columns["name"].astype(np.int64) * parts) >> 32):
+                    at = shard << 24 | part
+                    if kind == HELD:
+                        rows.append((HELD, at, dump(own, SEGMENT)))
+                    else:
+                        rows += [(FETCH, b, struct.pack("<q", at) + dump(c, SEGMENT)) for b, c in split(own, _bucket(own, buckets))]
             if rows:
                 yield _rows(rows)
 
@@ -213,92 +226,123 @@ def _by_document(columns: dict[str, np.ndarray]) -> dict[tuple[int, int], np.nda
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's documents and requests → the segments' texts, by shard."""
+    """A bucket's documents and requests → the segments' texts, by part."""
     for t in grouped(batches, 1):
         raws = t.filter(pa.compute.equal(t.column("kind"), FETCH)).column("raw").to_pylist()
         if not raws:
             continue
         parts = [load([r[8:]], SEGMENT) for r in raws]
         want = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-        want["shard"] = np.repeat([struct.unpack_from("<q", r)[0] for r in raws], [len(p["pos"]) for p in parts])
+        want["part"] = np.repeat([struct.unpack_from("<q", r)[0] for r in raws], [len(p["pos"]) for p in parts])
         at = _by_document(want)
         texts: list[bytes] = [b""] * len(want["pos"])
         for doc, text_hash, raw in _documents(t):
             for i in at.get((doc, text_hash), ()):
                 texts[i] = raw[want["pos"][i] : want["pos"][i] + want["len"][i]]
-        order = np.argsort(want["shard"], kind="stable")
-        shard = want["shard"][order]
+        order = np.argsort(want["part"], kind="stable")
+        part = want["part"][order]
         rows = []
-        for p in np.split(order, np.flatnonzero(shard[1:] != shard[:-1]) + 1):
+        for p in np.split(order, np.flatnonzero(part[1:] != part[:-1]) + 1):
             head = dump(take(want, p), RAW)
-            rows.append((FETCH, int(want["shard"][p[0]]), struct.pack("<Q", len(head)) + head + zstandard.compress(b"".join(texts[i] for i in p), 1)))
+            rows.append((FETCH, int(want["part"][p[0]]), struct.pack("<Q", len(head)) + head + zstandard.compress(b"".join(texts[i] for i in p), 1)))
         yield _rows(rows)
 
 
-def suffix_classes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Classes of the suffixes at ``at`` with a common prefix of 50 bytes, numbered in suffix order.
+class Classes:
+    """Suffixes with a common prefix of 50 bytes share a class; the earliest document of each, by position.
 
-    Ranks by 8 bytes are doubled to 16 and 32; two overlapping ranks of 32 make 50.
+    Gets suffixes in order with the length of the prefix shared with the one
+    before. What it keeps of them is on tapes and in a queue by position.
     """
-    padded = np.concatenate([buf, np.zeros(WINDOW, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(buf) + WINDOW - 8]
-    rank = np.unique(words.copy().view(">u8").ravel().astype(np.uint64), return_inverse=True)[1].astype(np.uint64)
-    for step in (8, 16):
-        pair = (rank[:-step] << np.uint64(32)) | rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-    pair = (rank[at] << np.uint64(32)) | rank[at + WINDOW - 32]
-    return np.unique(pair, return_inverse=True)[1]
-
 
-def _sort(buckets: int):
-    """A shard's distinct segments and all occurrences of them → stretches to drop, by document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, 1):
-            kinds = np.asarray(t.column("kind"))
-            raws = t.column("raw").to_pylist()
-            heads, texts = [], []
-            for r in (raws[i] for i in np.flatnonzero(kinds == FETCH)):
-                (n,) = struct.unpack_from("<Q", r)
-                head = load([r[8 : 8 + n]], RAW)
-                heads.append(head)
-                texts.append(zstandard.decompress(r[8 + n :], int(head["len"].sum()) or 1))
-            if not heads:
-                continue
-            seg = {k: np.concatenate([h[k] for h in heads]) for k in heads[0]}
-            buf = np.frombuffer(b"".join(texts), np.uint8)
-            begin = np.cumsum(seg["len"].astype(np.int64)) - seg["len"]
-            windows = seg["len"].astype(np.int64) - WINDOW + 1
-            base = np.cumsum(windows) - windows
-            at = np.arange(windows.sum()) + np.repeat(begin - base, windows)
-            kind = suffix_classes(buf, at)
-            least = np.full(kind.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, kind, np.repeat(seg["doc"], windows))
-            least = least[kind]  # earliest document with this window
-            held = load([raws[i] for i in np.flatnonzero(kinds == HELD)], SEGMENT)
-            own_key, held_key = (mix(c["same"] + c["name"].astype(np.uint64) * np.uint64(BASE)) for c in (seg, held))
-            order = np.argsort(own_key)
-            which = order[np.searchsorted(own_key[order], held_key)]
+    def __init__(self, store: Store, n: int, begin: np.ndarray, windows: np.ndarray, doc: np.ndarray):
+        self.store, self.begin, self.windows, self.doc = store, begin, windows, doc
+        width = max(BLOCK, n // 256 + 1)
+        self.by_place = Queue(store, np.append(np.arange(0, n + 1, width), n + 1), ORDERED)
+        self.earliest = Tape(store, "<i8")
+        self.number, self.least = -1, np.iinfo(np.int64).max
+
+    def add(self, pos: np.ndarray, shared: np.ndarray) -> None:
+        kind = self.number + np.cumsum((shared < WINDOW) | (np.arange(len(pos)) + self.number < 0))
+        if not len(pos):
+            return
+        owner = np.searchsorted(self.begin, pos, "right") - 1
+        starts = pos - self.begin[owner] < self.windows[owner]  # else fewer than 50 bytes of its segment are left
+        doc = np.where(starts, self.doc[owner], np.iinfo(np.int64).max)
+        least = np.full(kind[-1] - max(self.number, 0) + 1, np.iinfo(np.int64).max)
+        least[0] = self.least
+        np.minimum.at(least, kind - max(self.number, 0), doc)
+        self.earliest.append(least[:-1])
+        self.number, self.least = int(kind[-1]), int(least[-1])
+        self.by_place.push(tuples(ORDERED, pos[starts], kind[starts], 0))
+
+    def finish(self) -> Tape:
+        """The earliest document of every window, in the order of their places."""
+        self.earliest.append(np.array([self.least]))
+        self.earliest.finish()
+        out = Tape(self.store, "<i8")
+        for a in self.by_place.sorted_parts():
+            out.append(self.earliest.gather(a["pos"].astype(np.int64)))
+        self.earliest.drop()
+        return out.finish()
+
+
+def earliest_documents(store: Store, text: Tape, begin: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> Tape:
+    """For each window of segments laid one after the other on a tape, the earliest document that has it."""
+    classes = Classes(store, text.n, begin, windows, doc)
+    Sorter(store, WINDOW, max(1, store.memory // 32)).sort(text, classes.add)
+    return classes.finish()
+
+
+def _sort(buckets: int, folder: str, memory: int):
+    """A part's distinct segments and all occurrences of them → stretches to drop, by document."""
+
+    def part_drops(t: pa.Table, store: Store) -> Iterator[pa.RecordBatch]:
+        heads, text = [], Tape(store, np.uint8)
+        for r in t.filter(pa.compute.equal(t.column("kind"), FETCH)).column("raw"):
+            r = r.as_py()
+            (n,) = struct.unpack_from("<Q", r)
+            heads.append(load([r[8 : 8 + n]], RAW))
+            text.append(np.frombuffer(zstandard.decompress(r[8 + n :], int(heads[-1]["len"].sum()) or 1), np.uint8))
+        if not heads:
+            return
+        text.finish()
+        seg = {k: np.concatenate([h[k] for h in heads]) for k in heads[0]}
+        windows = seg["len"].astype(np.int64) - WINDOW + 1
+        base = np.cumsum(windows) - windows
+        least = earliest_documents(store, text, np.cumsum(seg["len"].astype(np.int64)) - seg["len"], windows, seg["doc"])
+        own_key = mix(seg["same"] + seg["name"].astype(np.uint64) * np.uint64(BASE))
+        order = np.argsort(own_key)
+        own_key = own_key[order]
+        for r in t.filter(pa.compute.equal(t.column("kind"), HELD)).column("raw"):
+            held = load([r.as_py()], SEGMENT)
+            which = order[np.searchsorted(own_key, mix(held["same"] + held["name"].astype(np.uint64) * np.uint64(BASE)))]
             steps = np.cumsum(windows[which]) // TOGETHER
             edges = [0, *(np.flatnonzero(steps[1:] != steps[:-1]) + 1).tolist(), len(which)]
-            out: list[dict] = []
             for lo, hi in zip(edges, edges[1:]):
                 w = which[lo:hi]
                 part = {k: v[lo:hi] for k, v in held.items()}
                 n = windows[w]
                 owner = np.repeat(np.arange(len(w)), n)
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                gone = least[np.repeat(base[w], n) + inner] < part["doc"][owner]
+                gone = least.gather(np.repeat(base[w], n) + inner) < part["doc"][owner]
                 start = gone.copy()
                 start[1:] &= ~gone[:-1] | (owner[1:] != owner[:-1])
                 stop = gone.copy()
                 stop[:-1] &= ~gone[1:] | (owner[1:] != owner[:-1])
                 a, z = np.flatnonzero(start), np.flatnonzero(stop)
                 own = owner[a]
-                out.append({"doc": part["doc"][own], "text": part["text"][own], "pos": part["pos"][own] + inner[a], "len": inner[z] - inner[a] + WINDOW})
-            drop = {k: np.concatenate([o[k] for o in out]) for k in out[0]} if out else None
-            if drop is not None and len(drop["pos"]):
-                yield _rows([(DROP, b, dump(c, SPAN)) for b, c in split(drop, _bucket(drop, buckets))])
+                drop = {"doc": part["doc"][own], "text": part["text"][own], "pos": part["pos"][own] + inner[a], "len": inner[z] - inner[a] + WINDOW}
+                if len(own):
+                    yield _rows([(DROP, b, dump(c, SPAN)) for b, c in split(drop, _bucket(drop, buckets))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 1):
+            store = Store(folder, memory)
+            try:
+                yield from part_drops(t, store)
+            finally:
+                store.close()
 
     return run
 
@@ -338,7 +382,7 @@ def _apply(text_back: bool, extra: int):
     return run
 
 
-def without_repeats(docs: DataFrame, text_back: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, text_back: bool = True, part_bytes: int = PART_BYTES, memory: int = SORT_MEMORY) -> DataFrame:
     """Every document with its n_bytes, n_removed, n_spans and ``kept`` in addition to its own columns.
 
     A byte goes if a 50-byte string over it also starts in a document of smaller
@@ -348,12 +392,15 @@ def without_repeats(docs: DataFrame, text_back: bool = True) -> DataFrame:
 
     Null text is empty; null doc_ids count as one smallest id; rows of equal
     doc_id don't remove from each other; an empty table gives no rows. Own columns
-    named like the results are replaced.
+    named like the results are replaced. Shards and buckets follow the bytes of
+    the texts. A sorted part holds ``part_bytes`` of distinct segments unless one
+    name has more; beyond ``memory`` its lists and queues go to the shared folder.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     n = partitions(spark)
-    shards, buckets = n, 4 * n
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    shards, buckets = max(n, size // SHARD_BYTES), max(4 * n, size // BUCKET_BYTES)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"), *(F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns) if c != "text")
@@ -370,7 +417,7 @@ def without_repeats(docs: DataFrame, text_back: bool = True) -> DataFrame:
         return placed.select("bucket", F.lit(9).cast("long").alias("kind"), F.col("text").cast("binary").alias("raw"), "doc", "text_hash", *more)
 
     def meet() -> DataFrame:
-        return sorted_by(named.select("doc", "text_hash", "text").mapInArrow(_deal(shards), "shard long, raw binary"), "shard").mapInArrow(_meet(buckets), PACKED)
+        return sorted_by(named.select("doc", "text_hash", "text").mapInArrow(_deal(shards), "shard long, raw binary"), "shard").mapInArrow(_meet(buckets, part_bytes), PACKED)
 
     def fetch() -> DataFrame:
         asked = met.where(F.col("kind") == FETCH).select(F.col("at").alias("bucket"), "kind", "raw", none.alias("doc"), none.alias("text_hash"))
@@ -381,8 +428,8 @@ def without_repeats(docs: DataFrame, text_back: bool = True) -> DataFrame:
     scratch.release()
     fetched = scratch.save(fetch(), "fetched")
     scratch.release()
-    shard = fetched.union(met.where(F.col("kind") == HELD)).select(F.col("at").alias("shard"), "kind", "raw")
-    late = scratch.save(sorted_by(shard, "shard").mapInArrow(_sort(buckets), PACKED), "sorted")
+    part = fetched.union(met.where(F.col("kind") == HELD)).select(F.col("at").alias("part"), "kind", "raw")
+    late = scratch.save(sorted_by(part, "part").mapInArrow(_sort(buckets, scratch.path("sort"), memory), PACKED), "sorted")
     drops = met.where(F.col("kind") == DROP).union(late).select(F.col("at").alias("bucket"), "kind", "raw")
     schema = "n_bytes long, n_removed long, n_spans long, kept string" + "".join(f", {c} {named.schema[c].dataType.simpleString()}" for c in own)
     out = sorted_by(texts(*own).unionByName(drops, allowMissingColumns=True), "bucket").mapInArrow(_apply(text_back, len(own)), schema)

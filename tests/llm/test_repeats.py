@@ -82,3 +82,15 @@ def test_segments_hold_every_window_once():
 def test_cut_merges():
     assert cut(b"0123456789", np.array([4, 1, 2]), np.array([2, 2, 2])) == (b"06789"[:1] + b"6789", 5, 1)
     assert cut(b"abc", np.array([], int), np.array([], int)) == (b"abc", 0, 0)
+
+
+def test_everything_spills(spark, monkeypatch):
+    from gradus.llm import induced
+
+    rows = corpus(3, 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(induced, "BLOCK", 1 << 9)
+    got = without_repeats(df, text_back=False, part_bytes=1 << 30, memory=64).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in got) == brute(rows)
+    got = without_repeats(df, text_back=False, part_bytes=100).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in got) == brute(rows)
