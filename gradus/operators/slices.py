@@ -233,14 +233,14 @@ def slice_clusters(spark: SparkSession, links: DataFrame, filters: Filters = DEF
 
 
 def cluster_sums(clusters: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
-    """Sums, box and number of slices of each cluster, its inner links' m and d, and how many links cross its border."""
+    """Sums, box and number of slices of each cluster, its inner links' m and d (link_m, link_d), and how many links cross its border."""
     slices = found.where("kind = 'slice'")
     whole = slices.join(clusters, [*EDGE, "slice_id"])
     key = [*EDGE, "cluster_id"]
     out = whole.groupBy(*key).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("I", "G", "Dy", "Dx", "M", "D", "L")), F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("yn"), F.max("x").alias("xn"))
     side = lambda c: clusters.select(*EDGE, F.col("slice_id").alias(c), F.col("cluster_id").alias(f"k_{c}"))
     met = links.join(side("a"), [*EDGE, "a"], "left").join(side("b"), [*EDGE, "b"], "left")
-    inner = met.where("k_a = k_b").groupBy(*EDGE, F.col("k_a").alias("cluster_id")).agg(F.sum("m").alias("m"), F.sum("d").alias("d"))
+    inner = met.where("k_a = k_b").groupBy(*EDGE, F.col("k_a").alias("cluster_id")).agg(F.sum("m").alias("link_m"), F.sum("d").alias("link_d"))
     ends = met.where("k_a is distinct from k_b").select(*EDGE, F.explode(F.array("k_a", "k_b")).alias("cluster_id")).where("cluster_id is not null")
     border = ends.groupBy(*key).agg(F.count("*").alias("n_border"))
     return out.join(inner, key, "left").join(border, key, "left").na.fill(0, ["n_border"])

@@ -305,7 +305,7 @@ own AS (SELECT *, node_id // 1024 * 1024 AS root FROM node),
 a AS (SELECT "group", root, count(*) AS n_members, sum(c) AS C, sum(M * c) / sum(c) AS M, sum(I * c) / sum(c) AS I, sum(G * c) / sum(c) AS G, sum(y * c) / sum(c) AS cy, sum(x * c) / sum(c) AS cx, max(span) AS own_span FROM own GROUP BY ALL),
 s AS (SELECT o."group", o.root, sum(sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) * o.c) / sum(o.c) AS span FROM own o JOIN a USING ("group", root) GROUP BY ALL)
 SELECT "group", root, n_members, C, round(M, 4) AS M, round(I, 4) AS I, round(G, 4) AS G, round(cy, 4) AS cy, round(cx, 4) AS cx, round(CASE WHEN n_members = 1 THEN own_span ELSE span END, 4) AS span FROM a JOIN s USING ("group", root)""",
-    "weighted_overlap": """WITH s AS (SELECT l_suppkey AS set_id, l_partkey AS member, count(*) AS w FROM lineitem WHERE l_quantity >= 49 GROUP BY ALL),
+    "weighted_overlap": """WITH s AS (SELECT l_suppkey AS set_id, l_partkey AS member, count(*) AS w FROM lineitem GROUP BY ALL),
 t AS (SELECT set_id, sum(w) AS t FROM s GROUP BY set_id),
 p AS (SELECT x.set_id AS a, y.set_id AS b, sum(x.w) AS shared FROM s x JOIN s y ON x.member = y.member AND x.set_id < y.set_id GROUP BY ALL)
 SELECT a, b, shared::BIGINT AS shared, round(shared / CASE WHEN ta.t + tb.t - 2 * shared = 0 THEN 1e-7::DOUBLE ELSE ta.t + tb.t - 2 * shared END, 6) AS overlap
@@ -315,7 +315,7 @@ FROM seg a JOIN seg b ON a.frame_id = b.frame_id AND b.y = a.y + 1 AND a.s = b.s
     "segment_dx": f"""{_SEG}, pr AS (SELECT *, lag(dx4) OVER (PARTITION BY frame_id, y, seg ORDER BY x) AS prior FROM sn)
 SELECT frame_id, y, seg::BIGINT AS seg, coalesce(sum(dx4 - prior), 0)::BIGINT AS Ddx4, coalesce(sum(CASE WHEN prior IS NULL THEN NULL WHEN (prior < 0) <> (dx4 < 0) THEN -least(abs(prior), abs(dx4)) ELSE least(abs(prior), abs(dx4)) END), 0)::BIGINT AS Mdx4
 FROM pr GROUP BY ALL""",
-    "interpolated_points": f"""{_EDGE}, pt AS (SELECT DISTINCT frame_id, blob_id, y + 0.25::DOUBLE AS py, x + 0.5::DOUBLE AS px FROM ep WHERE (y + x) % 7 = 0),
+    "interpolated_points": f"""{_EDGE}, pt AS (SELECT DISTINCT frame_id, blob_id, y + 0.25::DOUBLE AS py, x + 0.5::DOUBLE AS px FROM ep),
 c AS (SELECT pt.*, e.i, (1 - abs(e.y - py)) * (1 - abs(e.x - px)) AS k FROM pt JOIN ep e ON e.frame_id = pt.frame_id AND e.blob_id = pt.blob_id AND e.y BETWEEN floor(py) AND floor(py) + 1 AND e.x BETWEEN floor(px) AND floor(px) + 1)
 SELECT frame_id, blob_id, py, px, round(sum(i * k) / sum(k) * 1000)::BIGINT AS i FROM c GROUP BY ALL""",
     "focus_map": f"""WITH {_DERT}, t AS (SELECT frame_id AS "group", y // 8 AS ty, x // 8 AS tx, sum(g - {stencil.DEFAULT.ave_g / 2}) AS v FROM dert GROUP BY ALL)

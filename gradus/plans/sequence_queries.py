@@ -275,8 +275,8 @@ SELECT line_id, fork, rseg::BIGINT AS rseg, count(*) AS n_runs, sum(L)::BIGINT A
 SELECT a.line_id, a.fork, a.sign_fork, a.param AS param_a, a.seg AS seg_a, b.param AS param_b, b.seg AS seg_b, (least(a.hi, b.hi) - greatest(a.lo, b.lo))::BIGINT AS overlap, (b.L - a.L)::BIGINT AS dL
 FROM sp a JOIN sp b ON a.line_id = b.line_id AND a.fork = b.fork AND a.sign_fork = b.sign_fork AND a.o < b.o AND greatest(a.lo, b.lo) < least(a.hi, b.hi)
 WHERE (least(a.hi, b.hi) - greatest(a.lo, b.lo)) / ((a.L + b.L) / 2.0::DOUBLE) > 0.5""",
-    "l2_search_range": f"""{_DERPS} SELECT a.line_id, a.fork, a.param, a.pos, (b.pos - a.pos)::INT AS dist, a.i + b.i AS p, b.i - a.i AS d, {EVENTS.pp_M} - abs(b.i - a.i) AS m
-FROM derp a JOIN derp b ON a.line_id = b.line_id AND a.fork = b.fork AND a.param = b.param AND b.pos > a.pos AND b.pos - a.pos < 3""",
+    "l2_search_range": f"""{_DERPS}, k AS (SELECT *, unnest([1, 2]) AS dist, unnest([lead(i, 1) OVER w, lead(i, 2) OVER w]) AS j FROM derp WINDOW w AS (PARTITION BY line_id, fork, param ORDER BY pos))
+SELECT line_id, fork, param, pos, dist::INT AS dist, i + j AS p, j - i AS d, {EVENTS.pp_M} - abs(j - i) AS m FROM k WHERE j IS NOT NULL""",
     "l2_fixed_range": f"""{_DERPS}, k AS (SELECT line_id, fork, param, pos, lead(pos, 2) OVER w AS other, lead(i, 2) OVER w - i AS d FROM derp WINDOW w AS (PARTITION BY line_id, fork, param ORDER BY pos)),
 e AS (SELECT line_id, fork, param, unnest([pos, other]) AS pos, d, {EVENTS.pp_M} - abs(d) AS m FROM k WHERE other IS NOT NULL)
 SELECT line_id, fork, param, pos, count(*) AS n, round(avg(d), 4) + 0.0 AS d, round(avg(m), 4) + 0.0 AS m FROM e GROUP BY ALL""",
