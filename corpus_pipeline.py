@@ -20,10 +20,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes over 50-byte strings of earlier documents go; n_chars follows."""
-    left = repeats.without_repeats(docs)
-    own = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
-    return left.select(*(own.get(c, F.col(c)).alias(c) for c in docs.columns))
+    """Bytes over 50-byte strings of earlier documents go; n_chars, where there is one, follows."""
+    named = docs.select("doc_id", "text", *(F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")))
+    left = repeats.without_repeats(named)
+    columns = {c: F.col(f"own_{i}") for i, c in enumerate(docs.columns)} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return left.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
