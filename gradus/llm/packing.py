@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from gradus.llm._tokens import encoded
 from gradus.plans.scratch import partitions
 
+#: Pairs are looked at among items up to this many places apart in their part.
+PAIRED, FAR = 8, np.iinfo(np.int64).max
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -64,14 +66,71 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return parts
 
 
+def settled(parts: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]] | None:
+    """Parts with the overflow of over-full ones exchanged for room of others; None where some stays.
+
+    One or two items change places with none, one or two of another part so that the whole overflow falls; where
+    nothing does, the overflow passes to another part. The exchanges are at most four a part.
+    """
+    nothing, k = len(sizes), len(parts)
+    size = np.append(np.array(sizes, np.int64), 0)
+    part_of = np.empty(nothing, np.int64)
+    for p, items in enumerate(parts):
+        part_of[items] = p
+    room = capacity - np.bincount(part_of, size[:-1], k).astype(np.int64)
+
+    def sets(pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two items (or nothing) each, and their part."""
+        a, b = [np.arange(nothing), np.full(k, nothing)], [np.full(nothing + k, nothing)]
+        if pairs:
+            order = np.argsort(part_of, kind="stable")
+            for gap in range(1, PAIRED):
+                i = np.flatnonzero(part_of[order[gap:]] == part_of[order[:-gap]])
+                a.append(order[i])
+                b.append(order[i + gap])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return a, b, np.where(a < nothing, part_of[np.minimum(a, nothing - 1)], np.arange(len(a)) - nothing)
+
+    steps = 0
+    while room[p := int(room.argmin())] < 0:
+        steps += 1
+        if steps > 4 * k:
+            return None
+        for pairs in (False, True):
+            a, b, part = sets(pairs)
+            sums = size[a] + size[b]
+            own = np.flatnonzero((part == p) & (a < nothing))
+            moved = sums[own][:, None] - sums
+            left = np.maximum(-room[p] - moved, 0) + np.maximum(moved - room[part], 0) - np.maximum(-room[part], 0)
+            left[:, part == p] = FAR
+            if left.min() < -room[p]:
+                break
+        else:  # it stays as much: another part, made up otherwise, takes the overflow
+            left[moved < -room[p]] = FAR
+        i, j = np.unravel_index(int(left.argmin()), left.shape)
+        if left[i, j] == FAR:
+            return None
+        i, by, q = own[i], moved[i, j], int(part[j])
+        room[p] += by
+        room[q] -= by
+        part_of[[x for x in (a[i], b[i]) if x < nothing]] = q
+        part_of[[x for x in (a[j], b[j]) if x < nothing]] = p
+    order = np.argsort(part_of, kind="stable")
+    return [x.tolist() for x in np.split(order, np.cumsum(np.bincount(part_of, minlength=k))[:-1]) if len(x)]
+
+
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Parts of at most ``capacity``: the fewest that differencing can fill, one more whenever a part overflows."""
+    """Parts of at most ``capacity``: the fewest that differencing can fill, one more whenever a part overflows.
+
+    An overflow is first put into other parts' room by exchanges.
+    """
     k = max(1, -(-sum(sizes) // capacity))
-    while True:
-        parts = differencing(sizes, k)
-        if all(sum(sizes[i] for i in p) <= capacity for p in parts):
+    while sizes:
+        parts = settled(differencing(sizes, k), sizes, capacity)
+        if parts is not None:
             return parts
         k += 1
+    return []
 
 
 def _assign(capacity: int, batch: int):
