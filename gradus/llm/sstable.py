@@ -28,7 +28,7 @@ from gradus.plans.scratch import Scratch, partitions
 
 MAGIC = b"GRADSST1"
 FOOTER = struct.Struct("<QQQQQQI8s")
-BLOCK_BYTES = 1 << 16
+BLOCK_BYTES = 1 << 14
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
@@ -69,8 +69,8 @@ def _bloom_places(key: bytes, bits: int) -> list[int]:
 class TableWriter:
     """Writes entries that come by ascending key; equal keys may follow each other."""
 
-    def __init__(self, sink, width: int):
-        self.sink, self.width = sink, width
+    def __init__(self, sink, width: int, block_bytes: int = BLOCK_BYTES):
+        self.sink, self.width, self.block_bytes = sink, width, block_bytes
         self.at, self.block, self.last = 0, bytearray(), b""
         self.index: list[tuple[bytes, int, int]] = []
         self.keys: list[bytes] = []
@@ -91,7 +91,7 @@ class TableWriter:
         self.last = key
         self.keys.append(key)
         self.n_ids += len(ids)
-        if len(self.block) >= BLOCK_BYTES:
+        if len(self.block) >= self.block_bytes:
             self._end_block()
 
     def _end_block(self) -> None:
@@ -176,7 +176,7 @@ class TableReader:
         return found
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shards: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Encode whole texts and write them as shards in ascending doc_id order.
 
     Returns one row a shard that isn't empty: shard (their order is the ids'),
@@ -196,7 +196,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
             for i, ids in encoded(b, "text", tokenizer):
                 if writer is None:
                     wide = max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) > 65536
-                    writer = TableWriter(open_uri(path, "w"), 4 if wide else 2)
+                    writer = TableWriter(open_uri(path, "w"), 4 if wide else 2, block_bytes)
                 writer.add(names[i], np.append(ids, np.uint32(end_id)))
         if writer:
             writer.close()

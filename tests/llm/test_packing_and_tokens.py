@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers as P
@@ -20,9 +21,13 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, start long, sequence_id long")
 
 
+@cache
+def tokenizer(name):
+    return Tokenizer.from_file(P.path(name))
+
+
 def ids_of(name, text, end):
-    t = Tokenizer.from_file(P.path(name))
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+    return np.array([*tokenizer(name).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 def test_pack_covers_every_id_once(docs):
