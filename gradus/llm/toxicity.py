@@ -229,7 +229,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[int]]:
     """At most ``most`` labelled texts that aren't held out; one label a doc_id (the larger), nulls left out."""
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(most)
     chosen = [(r["doc_id"], r["toxic"]) for r in known.collect()]
     right = docs.sparkSession.createDataFrame(chosen, "l_id long, toxic int")

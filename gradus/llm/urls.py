@@ -39,6 +39,12 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def node_of(url: Column) -> Column:
+    """Host, path and query: what a link names. The fragment stays on the page."""
+    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    return F.concat(host_of(url), path_of(url), query)
+
+
 def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """Name of the longest rule that fits, else null. Rules are a short fixed list and become one expression."""
     out = F.lit(None).cast("string")
@@ -63,19 +69,20 @@ def absolute(link: Column, url: Column) -> Column:
         F.when(link.contains("://"), link)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
         .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(root, path_of(url), link))
+        .when(link.startswith("#"), url)
         .otherwise(beside)
     )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) host + path of a page and of what it redirects to or calls canonical."""
+    """(a, b) host + path + query of a page and of what it redirects to or calls canonical."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     head = pages.where(F.col("url").isNotNull() & (html.contains("anonical") | html.contains("ANONICAL") | html.rlike("(?i)http-equiv")))
     links = F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))
     found = head.select("url", F.explode(links).alias("link")).where("link <> ''")
     target = absolute(F.col("link"), F.col("url"))
-    node = lambda u: F.concat(host_of(u), path_of(u))
-    return found.select(node(F.col("url")).alias("a"), node(target).alias("b"), host_of(F.col("url")).alias("ah"), path_of(F.col("url")).alias("ap"), host_of(target).alias("bh"), path_of(target).alias("bp")).where("a <> '' and b <> '' and a <> b")
+    return found.select(node_of(F.col("url")).alias("a"), node_of(target).alias("b"), host_of(F.col("url")).alias("ah"), path_of(F.col("url")).alias("ap"), host_of(target).alias("bh"), path_of(target).alias("bp")).where("a <> '' and b <> '' and a <> b")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow") -> DataFrame:
@@ -83,7 +90,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "
 
     The longest rule that fits a page decides it. A page without a rule is
     blocked if any url in its alias class (connected by redirects and canonical
-    links, urls taken as host + path) is blocked by a rule of its own; rules that
+    links, urls taken as host + path + query) is blocked by a rule of its own; rules that
     allow hold against that. Other pages get ``default``.
 
     Null, malformed or empty urls have empty host and path and no rule; null
@@ -94,16 +101,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
     # no url is no :// : the extractions then give empty strings
-    judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
     judged = judged.withColumn("rule", longest_rule(F.col("host"), F.col("path"), rules))
     edges = scratch.save(link_edges(pages.select("url", "html")).distinct(), "edges")
     own = verdict_of(F.col("rule"), rules)
     if edges.isEmpty():
-        return judged.withColumn("verdict", F.coalesce(own, F.lit(default)))
+        return judged.select("page_id", "host", "path", "rule", F.coalesce(own, F.lit(default)).alias("verdict"))
     component = scratch.save(connected_components(spark, edges.select("a", "b"), scratch=scratch), "component")
     ends = edges.select(F.col("a").alias("node"), F.col("ah").alias("h"), F.col("ap").alias("p")).union(edges.select("b", "bh", "bp")).distinct()
     seeds = ends.where(verdict_of(longest_rule(F.col("h"), F.col("p"), rules), rules) == "block").select("node")
     bad = component.join(seeds, "node", "left_semi").select("component").distinct()
     blocked = component.join(bad, "component", "left_semi").select(F.col("node").alias("alias")).distinct().withColumn("spread", F.lit("block"))
-    out = judged.join(blocked, F.concat("host", "path") == F.col("alias"), "left")
+    out = judged.join(blocked, F.col("node") == F.col("alias"), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce(own, F.col("spread"), F.lit(default)).alias("verdict"))

@@ -321,3 +321,25 @@ def test_code_lists_the_best_directions():
     full = (turned[:, code.spans[0][0] : code.spans[0][1]] @ a)[:, :, None] + (turned[:, code.spans[1][0] : code.spans[1][1]] @ b)[:, None, :]
     best = np.sort(np.argsort(-full.reshape(20, -1), axis=1)[:, :12], axis=1)
     assert (code.decode(v, 12) == best).all() and each == b.shape[1]
+
+
+def test_query_strings_are_pages_of_their_own(spark):
+    link = "<link rel='canonical' href='{}'>"
+    rows = [
+        (1, "http://shop.org/item?id=1", link.format("http://bad.net/x")),
+        (2, "http://shop.org/item?id=2", "no link"),
+        (3, "http://shop.org/item?id=1#top", None),
+        (4, "http://shop.org/list", link.format("?id=9")),
+        (5, "http://shop.org/list?id=9", link.format("//bad.net/y")),
+        (6, "http://shop.org/item", ""),
+    ]
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow"}
+
+
+def test_boolean_labels(spark):
+    texts = spark.createDataFrame([(i, "vile slur" if i % 2 else "kind word") for i in range(60)], "doc_id long, text string")
+    number = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    same = number.selectExpr("doc_id", "toxic = 1 as toxic")
+    a, b = ({r.doc_id: r.score for r in toxicity.score(texts, labels).collect()} for labels in (number, same))
+    assert a == b and len(a) == 60

@@ -29,3 +29,11 @@ def test_run_gives_the_last_stage(spark):
 def test_stages_call_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "suffix_array_dedup", "source_mixing", "packing"]
     assert all((toxicity, forest, repeats, mixing))
+
+
+def test_repeats_stage_keeps_own_columns(spark):
+    long = "all of this text stands in several of the documents, word for word and letter for letter"
+    docs = spark.createDataFrame([(1, long, "k1", 7), (2, "x " + long, "k2", 8)], "doc_id long, text string, kept string, n_bytes int")
+    out = corpus_pipeline.drop_repeats(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, long, "k1", 7), (2, "x ", "k2", 8)]
