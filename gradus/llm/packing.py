@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from gradus.llm._tokens import encoded
 from gradus.plans.scratch import partitions
 
-#: Pairs are looked at among items up to this many places apart in their part.
-PAIRED, FAR = 8, np.iinfo(np.int64).max
+#: Pairs are looked at among items up to this many places apart in their part; an overflow is passed on so many times.
+PAIRED, PASSES, FAR = 8, 32, np.iinfo(np.int64).max
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -70,7 +70,7 @@ def settled(parts: list[list[int]], sizes: list[int], capacity: int) -> list[lis
     """Parts with the overflow of over-full ones exchanged for room of others; None where some stays.
 
     One or two items change places with none, one or two of another part so that the whole overflow falls; where
-    nothing does, the overflow passes to another part. The exchanges are at most four a part.
+    nothing does, the overflow passes to another part, at most PASSES times.
     """
     nothing, k = len(sizes), len(parts)
     size = np.append(np.array(sizes, np.int64), 0)
@@ -91,11 +91,8 @@ def settled(parts: list[list[int]], sizes: list[int], capacity: int) -> list[lis
         a, b = np.concatenate(a), np.concatenate(b)
         return a, b, np.where(a < nothing, part_of[np.minimum(a, nothing - 1)], np.arange(len(a)) - nothing)
 
-    steps = 0
+    passed = 0
     while room[p := int(room.argmin())] < 0:
-        steps += 1
-        if steps > 4 * k:
-            return None
         for pairs in (False, True):
             a, b, part = sets(pairs)
             sums = size[a] + size[b]
@@ -106,6 +103,9 @@ def settled(parts: list[list[int]], sizes: list[int], capacity: int) -> list[lis
             if left.min() < -room[p]:
                 break
         else:  # it stays as much: another part, made up otherwise, takes the overflow
+            passed += 1
+            if passed > PASSES:
+                return None
             left[moved < -room[p]] = FAR
         i, j = np.unravel_index(int(left.argmin()), left.shape)
         if left[i, j] == FAR:
