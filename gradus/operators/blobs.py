@@ -20,8 +20,8 @@ from gradus.operators.components import connected_components
 from gradus.operators.stencil import PIXEL, ring_compare
 from gradus.plans.scratch import Scratch, rounds
 
-STRIDE = 65536
-FRAME = 1 << 33
+#: Places are y * STRIDE + x, so y and x may be any non-negative int; across frames keys are (frame_id, place).
+STRIDE = 1 << 31
 
 
 def row_segments(derts: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def row_segments(derts: DataFrame) -> DataFrame:
     w = Window.partitionBy("frame_id", "y").orderBy("x")
     new = F.coalesce((F.col("s") != F.lag("s").over(w)) | (F.col("x") != F.lag("x").over(w) + 1), F.lit(True))
     cut = derts.withColumn("_new", new.cast("long")).withColumn("seg", F.sum("_new").over(w) - 1)
-    return cut.groupBy("frame_id", "y", "seg", "s").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.sum("i").alias("I")).withColumn("seg_id", F.col("frame_id") * FRAME + F.col("y") * STRIDE + F.col("lo"))
+    return cut.groupBy("frame_id", "y", "seg", "s").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.sum("i").alias("I")).withColumn("seg_id", F.col("y") * STRIDE + F.col("lo"))
 
 
 def segment_links(segments: DataFrame) -> DataFrame:
@@ -43,13 +43,14 @@ def segment_links(segments: DataFrame) -> DataFrame:
 def label_by_segments(spark: SparkSession, derts: DataFrame) -> DataFrame:
     """blob_id of every pixel: components over row segments, for frames of any size."""
     segs = row_segments(derts)
-    edges = segment_links(segs).select("a", "b").union(segs.select("seg_id", "seg_id"))
-    found = connected_components(spark, edges)
+    key = lambda c: F.struct("frame_id", F.col(c).alias("id"))
+    edges = segment_links(segs).select(key("a").alias("a"), key("b").alias("b")).union(segs.select(key("seg_id"), key("seg_id")))
+    found = connected_components(spark, edges).select(F.col("node.frame_id").alias("frame_id"), F.col("node.id").alias("seg_id"), F.col("component.id").alias("blob_id"))
     w = Window.partitionBy("frame_id", "y").orderBy("x")
     new = F.coalesce((F.col("s") != F.lag("s").over(w)) | (F.col("x") != F.lag("x").over(w) + 1), F.lit(True))
     start = F.last(F.when(new, F.col("x")), ignorenulls=True).over(w)
-    own = derts.withColumn("seg_id", F.col("frame_id") * FRAME + F.col("y") * STRIDE + start)
-    return own.join(found, own["seg_id"] == found["node"]).withColumn("blob_id", F.col("component") - F.col("frame_id") * FRAME).drop("seg_id", "node", "component")
+    own = derts.withColumn("seg_id", F.col("y") * STRIDE + start)
+    return own.join(found, ["frame_id", "seg_id"]).drop("seg_id")
 
 
 def _label_frame(y: np.ndarray, x: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -166,9 +167,9 @@ def blob_graphs(spark: SparkSession, links: DataFrame) -> DataFrame:
     ends = links.select("frame_id", "a", "m").union(links.select("frame_id", F.col("b").alias("a"), "m")).groupBy("frame_id", "a").agg(F.sum("m").alias("M"))
     side = lambda c: ends.select("frame_id", F.col("a").alias(c), F.col("M").alias(f"M_{c}"))
     kept = links.join(side("a"), ["frame_id", "a"]).join(side("b"), ["frame_id", "b"]).where("M_a + M_b > 0")
-    edges = kept.select((F.col("frame_id") * FRAME + F.col("a")).alias("a"), (F.col("frame_id") * FRAME + F.col("b")).alias("b"))
-    found = connected_components(spark, edges)
-    out = found.select(F.floor(F.col("node") / FRAME).alias("frame_id"), F.pmod("node", F.lit(FRAME)).alias("blob_id"), F.pmod("component", F.lit(FRAME)).alias("graph_id"))
+    key = lambda c: F.struct("frame_id", F.col(c).alias("blob_id"))
+    found = connected_components(spark, kept.select(key("a").alias("a"), key("b").alias("b")))
+    out = found.select("node.*", F.col("component.blob_id").alias("graph_id"))
     return out.withColumn("n", F.count("*").over(Window.partitionBy("frame_id", "graph_id")))
 
 

@@ -47,17 +47,30 @@ class Forest:
             self.parent[a] = b
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values; structs as tuples, which compare as Spark compares structs."""
+    if pa.types.is_struct(column.type):
+        return list(zip(*(c.to_pylist() for c in column.flatten())))
+    return column.to_pylist()
+
+
+def _column(values: list, type_: pa.DataType) -> pa.Array:
+    if pa.types.is_struct(type_):
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*values), type_)], fields=list(type_))
+    return pa.array(values, type_)
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest, schema = Forest(), None
     for batch in batches:
         schema = batch.schema
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for a, b in zip(_values(batch.column(0)), _values(batch.column(1))):
             forest.union(a, b)
     nodes = list(forest.parent)
     for at in range(0, len(nodes), 50_000):
         part = nodes[at : at + 50_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part, schema.field(0).type), pa.array([forest.find(x) for x in part], schema.field(1).type)],
+            [_column(part, schema.field(0).type), _column([forest.find(x) for x in part], schema.field(1).type)],
             schema=schema,
         )
 
@@ -90,7 +103,7 @@ def connected_components(
     """(node, component) for every node of an edge; component is its smallest node.
 
     Edges with a null end are ignored; loops make a node a component of its own;
-    repeated edges and an empty table are fine.
+    repeated edges and an empty table are fine. A node may be a struct of values that aren't null.
     """
     scratch = scratch or Scratch(spark, "components")
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")

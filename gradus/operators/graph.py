@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gradus.filters import DEFAULT, Filters
 from gradus.functions.compare import guarded, signed_min, wrapped
+from gradus.operators.blobs import STRIDE
 from gradus.operators.components import connected_components
 from gradus.plans.scratch import Scratch, rounds
 
@@ -26,11 +27,21 @@ WEIGHT = {"M": 10, "D": 10, "C": 20, "I": 5, "G": 20, "A": 20, "L": 2, "S": 1, "
 AVE_D = 20
 
 
+def node_name(frame: str, blob: str) -> Column:
+    """A blob's name over all frames: frame_id * 2^33 + y * 2^16 + x of its first pixel where they fit (frame ids under
+    2^29, y under 2^17, x under 2^16), which rises with frame and place; else a negative hash of 63 bits (among 10^9
+    such blobs 0.05 pairs are expected to share one).
+    """
+    f, y, x = F.col(frame), F.floor(F.col(blob) / STRIDE), F.pmod(F.col(blob), F.lit(STRIDE))
+    fits = (f >= 0) & (f < 1 << 29) & (y < 1 << 17) & (x < 1 << 16)
+    return F.when(fits, f * (1 << 33) + y * (1 << 16) + x).otherwise(-1 - F.shiftrightunsigned(F.xxhash64(f, blob), 1))
+
+
 def nodes_from_blobs(blobs: DataFrame, ave_g: float) -> DataFrame:
     """A node a blob: centre, area as c, match against the average gradient."""
     per = lambda c: F.col(c) / F.col("area")
     return blobs.select(
-        F.col("frame_id").alias("group"), (F.col("frame_id") * (1 << 33) + F.col("blob_id")).alias("node_id"), per("Y").alias("y"), per("X").alias("x"),
+        F.col("frame_id").alias("group"), node_name("frame_id", "blob_id").alias("node_id"), per("Y").alias("y"), per("X").alias("x"),
         F.col("area").cast("double").alias("c"), F.lit(1.0).alias("r"), F.sqrt(F.col("area").cast("double")).alias("span"), F.col("area").cast("double").alias("n"),
         (F.lit(1000 * ave_g) * F.col("area") - F.col("G1000")).cast("double").alias("M"), F.col("G1000").cast("double").alias("D"), F.col("I").cast("double").alias("I"), F.col("G1000").cast("double").alias("G"),
         F.col("Dy4").cast("double").alias("dy"), F.col("Dx4").cast("double").alias("dx"),
@@ -206,14 +217,14 @@ def prediction_error(links: DataFrame) -> DataFrame:
 
 
 def feature_weights(links: DataFrame, rounds: int = 12) -> DataFrame:
-    """Weights of each link's nine matches and nine differences: inverse deviation from their weighted mean, mean 1, iterated."""
+    """Weights of each link's nine matches and nine differences: inverse deviation from their weighted mean, mean 1, iterated until the link's own weights have settled."""
 
     @F.pandas_udf("array<double>")
     def fit(*cols: pd.Series) -> pd.Series:
         v = np.abs(np.stack([c.to_numpy(float) for c in cols], 1)).reshape(-1, 2, 9)
         total = v.sum(1, keepdims=True)
         total[total == 0] = 1e-7
-        w = np.ones_like(v)
+        w, settled = np.ones_like(v), np.zeros(len(v), bool)
         for _ in range(rounds):
             share = v / total * w
             mean = share.mean(2, keepdims=True)
@@ -221,9 +232,10 @@ def feature_weights(links: DataFrame, rounds: int = 12) -> DataFrame:
             safe = np.where(share == 0, 1e-7, share)
             inverse = np.minimum(share / mean, mean / safe)
             new = inverse / np.maximum(inverse.mean(2, keepdims=True), 1e-7)
-            if np.abs(new - w).sum((1, 2)).max(initial=0) < 1e-6:
+            settled |= np.abs(new - w).sum((1, 2)) < 1e-6
+            if settled.all():
                 break
-            w = new
+            w = np.where(settled[:, None, None], w, new)
         return pd.Series(list(w.reshape(-1, 18)))
 
     return links.select("group", "a", "b", fit(*(F.col(f"{p}_{k}") for p in "md" for k in PARAMS)).alias("weights"))

@@ -174,5 +174,6 @@ def linked_clusters(spark, derps: DataFrame, rng: int = 1, filters: Filters = DE
     links = derps.select(*LINE, "param", "pos", "i", F.lead("pos", rng).over(w).alias("other"), F.lead("i", rng).over(w).alias("j")).where("other is not null")
     good = links.where(inverse_match(F.col("j") - F.col("i"), filters.pp_M) > 0)
     good = good.join(ends, [*LINE, "param", "pos"]).join(ends.withColumnRenamed("pos", "other"), [*LINE, "param", "other"])
-    name = lambda c: F.concat_ws("|", F.lpad(F.col("line_id").cast("string"), 19, "0"), "fork", "param", F.lpad(F.col(c).cast("string"), 10, "0"))
-    return connected_components(spark, good.select(name("pos").alias("a"), name("other").alias("b")))
+    name = lambda c: F.struct(*LINE, "param", F.col(c).alias("pos"))
+    found = connected_components(spark, good.select(name("pos").alias("a"), name("other").alias("b")))
+    return found.select("node.*", F.col("component.pos").alias("first"))

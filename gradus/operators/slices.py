@@ -1,14 +1,13 @@
 """Edges cut into slices across the gradient, their links and clusters of links.
 
-An edge is a negative blob of high gradient. Growth of slices is greedy (the
-strongest maximum first, ties by position), so an edge is one task; all steps
-after it are joins and grouped sums.
+An edge is a negative blob of high gradient. Slices of stronger maxima go before
+weaker ones (ties by position), so an edge is one task, which works on arrays;
+all steps after it are joins and grouped sums.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gradus.filters import DEFAULT, Filters
 from gradus.functions.compare import signed_min, wrapped
+from gradus.operators.blobs import STRIDE
 from gradus.operators.components import connected_components
 from gradus.operators.stencil import PIXEL
 
@@ -50,119 +50,178 @@ def interpolate(points: DataFrame, pixels: DataFrame, value: str = "i") -> DataF
     return met.groupBy(*points.columns).agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias(value))
 
 
-def angle_likeness(a: tuple[float, float], b: tuple[float, float]) -> tuple[float, float]:
-    """(0 … 1, -0.5 … 0.5) likeness and signed difference of two vectors' angles."""
-    d = math.atan2(*a) - math.atan2(*b)
-    d -= 2 * math.pi * round(d / (2 * math.pi))
-    return (math.cos(d) + 1) / 2, d / (2 * math.pi)
+def angle_likeness(ay, ax, by, bx):
+    """(0 … 1, -0.5 … 0.5) likeness and signed difference of the angles of vectors, by arrays."""
+    d = np.arctan2(ay, ax) - np.arctan2(by, bx)
+    d -= 2 * np.pi * np.round(d / (2 * np.pi))
+    return (np.cos(d) + 1) / 2, d / (2 * np.pi)
 
 
-def crossed(p1, p2, p3, p4) -> bool:
-    """Whether the segments p1 p2 and p3 p4 meet (touching counts)."""
+def crossed(p1, p2, p3, p4):
+    """Whether the segments p1 p2 and p3 p4 meet (touching counts); points are (y, x), numbers or arrays."""
 
-    def side(a, b, c) -> float:
+    def side(a, b, c):
         return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
 
-    return side(p1, p2, p3) * side(p1, p2, p4) <= 0 and side(p3, p4, p1) * side(p3, p4, p2) <= 0
+    return (side(p1, p2, p3) * side(p1, p2, p4) <= 0) & (side(p3, p4, p1) * side(p3, p4, p2) <= 0)
+
+
+#: A step of a walk: its place, the value there, its match with and difference from the step before.
+STEP = np.dtype([("walk", int), ("k", int), ("pixel", int), ("y", float), ("x", float), *((c, float) for c in ("I", "G", "Dy", "Dx", "M", "D"))])
 
 
 class _Edge:
-    """One edge's pixels and what grows on them."""
+    """One edge's pixels, sorted by place, as arrays.
+
+    A pixel's place is its number in the edge's box with a margin of two, so that neighbours never wrap.
+    """
 
     def __init__(self, pdf: pd.DataFrame, filters: Filters):
         self.f = filters
-        self.at = {(int(y), int(x)): (float(i), float(g), dy / 4, dx / 4) for y, x, i, g, dy, dx in zip(pdf.y, pdf.x, pdf.i, pdf.g, pdf.dy4, pdf.dx4)}
-        self.owner: dict[tuple[int, int], int] = {}
-
-    def axis(self, yx) -> tuple[float, float]:
-        _, g, dy, dx = self.at[yx]
-        return dy / max(g, 1e-7), dx / max(g, 1e-7)
-
-    def maxima(self) -> list[tuple[int, int]]:
-        out = []
-        for yx, (_, g, _, _) in self.at.items():
-            ay, ax = self.axis(yx)
-            near = [(round(yx[0] + s * ay), round(yx[1] + s * ax)) for s in (-1, 1)]
-            if all(n not in self.at or self.at[n][1] <= g for n in near):
-                out.append(yx)
-        return sorted(out, key=lambda p: (-self.at[p][1], p))
-
-    def value(self, y: float, x: float):
-        if (y, x) in self.at:
-            return self.at[y, x]
-        fy, fx, total, out = math.floor(y), math.floor(x), 0.0, np.zeros(4)
-        for cy in {fy, math.ceil(y)}:
-            for cx in {fx, math.ceil(x)}:
-                if (cy, cx) in self.at:
-                    k = (1 - abs(cy - y)) * (1 - abs(cx - x))
-                    total += k
-                    out += k * np.array(self.at[cy, cx])
-        return tuple(out / total) if total else None
-
-    def grow(self, seed: tuple[int, int], name: int) -> dict:
-        """A slice: unit steps along both directions of the axis while pixels match the one before."""
-        ay, ax = self.axis(seed)
-        self.owner[seed] = name
-        i, g, dy, dx = self.at[seed]
-        sums = np.array([i, g, dy, dx, 0.0, 0.0, 1.0])
-        ends = []
-        for sy, sx in ((-ay, -ax), (ay, ax)):
-            (y, x), prior = seed, self.at[seed]
-            while True:
-                ny, nx = y + sy, x + sx
-                cell = (round(ny), round(nx))
-                if cell not in self.at or cell in self.owner or (sy == 0 and sx == 0):
-                    break
-                now = self.value(ny, nx)
-                if now is None:
-                    break
-                likeness, turn = angle_likeness(prior[2:], now[2:])
-                m = min(prior[0], now[0]) + min(prior[1], now[1]) + likeness
-                if likeness < self.f.ave_dangle or m < self.f.ave_I + self.f.ave_G + self.f.ave_dangle:
-                    break
-                self.owner[cell] = name
-                d = abs(prior[0] - now[0]) + abs(prior[1] - now[1]) + turn
-                sums += np.array([now[0], now[1], now[2], now[3], m, d, 1.0])
-                (y, x), prior = (ny, nx), now
-            ends.append((float(y), float(x)))
-        centre = ((ends[0][0] + ends[1][0]) / 2, (ends[0][1] + ends[1][1]) / 2)
-        return {"name": name, "yx": centre, "axis": (ay, ax), "ends": ends, "sums": np.maximum(sums, 1e-7)}
-
-    def links(self, slices: dict[int, dict]) -> set[tuple[int, int]]:
-        """Slices that meet when all grow over the edge at once, by steps to four neighbours.
-
-        Cells claimed in the same round go to the slice of the smallest name.
+        y, x = pdf.y.to_numpy(np.int64), pdf.x.to_numpy(np.int64)
+        self.y0, self.x0 = y.min() - 2, x.min() - 2
+        self.y_most, self.wide = y.max() + 2, x.max() + 3 - self.x0
+        place = (y - self.y0) * self.wide + x - self.x0
+        order = np.argsort(place)
+        self.place, self.y, self.x = place[order], y[order], x[order]
+        self.values = np.stack([pdf.i, pdf.g, pdf.dy4 / 4, pdf.dx4 / 4], 1).astype(float)[order]
+        self.axis = self.values[:, 2:] / np.maximum(self.values[:, 1:2], 1e-7)
+
+    def at(self, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Numbers of the pixels at whole places, -1 outside the edge."""
+        y, x = y.astype(np.int64), x.astype(np.int64)
+        inside = (y >= self.y0) & (y <= self.y_most) & (x >= self.x0) & (x < self.x0 + self.wide)
+        key = np.where(inside, (y - self.y0) * self.wide + x - self.x0, -1)
+        n = np.minimum(np.searchsorted(self.place, key), len(self.place) - 1)
+        return np.where(self.place[n] == key, n, -1)
+
+    def interpolated(self, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Values between the existing ones of four corners; not a number where there is none."""
+        total, out = np.zeros(len(y)), np.zeros((len(y), 4))
+        fy, fx = np.floor(y), np.floor(x)
+        for cy, ky in ((fy, 1 - y + fy), (fy + 1, y - fy)):
+            for cx, kx in ((fx, 1 - x + fx), (fx + 1, x - fx)):
+                n = self.at(cy, cx)
+                k = np.where(n >= 0, ky * kx, 0.0)
+                total += k
+                out += k[:, None] * self.values[n]
+        return np.where(total[:, None] > 0, out / np.where(total > 0, total, 1.0)[:, None], np.nan)
+
+    def maxima(self) -> np.ndarray:
+        """Pixels that neither neighbour along the axis exceeds, the strongest first, ties by place."""
+        g, top = self.values[:, 1], np.ones(len(self.place), bool)
+        for sign in (-1, 1):
+            n = self.at(np.rint(self.y + sign * self.axis[:, 0]), np.rint(self.x + sign * self.axis[:, 1]))
+            top &= (n < 0) | (g[n] <= g)
+        found = np.flatnonzero(top)
+        return found[np.argsort(-g[found], kind="stable")]
+
+    def walks(self, seeds: np.ndarray) -> np.ndarray:
+        """Steps of where each seed's slice could reach if it were alone, all seeds a step a round.
+
+        Walk 2k goes against the axis of seed k, walk 2k + 1 along it; step 0 is the seed itself (walk 2k has it).
+        A walk ends where the rounded place is outside the edge or was on the walk before, or where a value doesn't
+        match the one before it.
         """
-        owner, front, met = dict(self.owner), dict(self.owner), set()
-        while front:
-            claims: dict[tuple[int, int], int] = {}
-            for (y, x), name in front.items():
-                for n in ((y - 1, x), (y, x + 1), (y + 1, x), (y, x - 1)):
-                    if n not in self.at:
-                        continue
-                    if n in owner:
-                        if owner[n] != name:
-                            met.add((min(owner[n], name), max(owner[n], name)))
-                    else:
-                        claims[n] = min(name, claims.get(n, name))
-            owner.update(claims)
-            front = claims
-        near: dict[int, set[int]] = {k: set() for k in slices}
-        for a, b in met:
-            near[a].add(b)
-            near[b].add(a)
-        reach = {k: [(s["ends"][0][0] - s["axis"][0], s["ends"][0][1] - s["axis"][1]), (s["ends"][1][0] + s["axis"][0], s["ends"][1][1] + s["axis"][1])] for k, s in slices.items()}
-        for k in sorted(slices):
-            for a, b in combinations(sorted(near[k]), 2):
-                if a not in near[k] or b not in near[k]:
-                    continue
-                if crossed(slices[a]["yx"], slices[k]["yx"], *reach[b]):
-                    near[a].discard(k)
-                    near[k].discard(a)
-                elif crossed(slices[k]["yx"], slices[b]["yx"], *reach[a]):
-                    near[b].discard(k)
-                    near[k].discard(b)
-        return {(a, b) for a in near for b in near[a] if (slices[a]["yx"], a) > (slices[b]["yx"], b)}
+        f, need = self.f, self.f.ave_I + self.f.ave_G + self.f.ave_dangle
+        walk = np.arange(2 * len(seeds))
+        seed = np.repeat(seeds, 2)
+        step = np.where(walk % 2, 1, -1)[:, None] * self.axis[seed]
+        y, x, prior, pixel = self.y[seed].astype(float), self.x[seed].astype(float), self.values[seed], seed
+        zero = np.zeros(len(seeds))
+        rows = [(walk[::2], zero.astype(int), seeds, y[::2], x[::2], *prior[::2].T, zero, zero)]
+        live, k = np.abs(step).max(1, initial=0) > 0, 0
+        while live.any():
+            walk, step, prior, pixel, k = walk[live], step[live], prior[live], pixel[live], k + 1
+            y, x = y[live] + step[:, 0], x[live] + step[:, 1]
+            # unit steps along a line come back to a rounded place only in the very next step
+            next_ = self.at(np.rint(y), np.rint(x))
+            now = self.interpolated(y, x)
+            like, turn = angle_likeness(prior[:, 2], prior[:, 3], now[:, 2], now[:, 3])
+            m = np.minimum(prior[:, :2], now[:, :2]).sum(1) + like
+            d = np.abs(prior[:, :2] - now[:, :2]).sum(1) + turn
+            live = (next_ >= 0) & (next_ != pixel) & (like >= f.ave_dangle) & (m >= need)
+            rows.append(tuple(c[live] for c in (walk, np.full(len(walk), k), next_, y, x, *now.T, m, d)))
+            prior, pixel = now, next_
+        columns = [np.concatenate(c) for c in zip(*rows)]
+        order = np.lexsort((columns[1], columns[0]))
+        out = np.empty(len(order), STEP)
+        for name, c in zip(STEP.names, columns):
+            out[name] = c[order]
+        return out
+
+    def grown(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The walks' steps that remain when stronger seeds go first, and each pixel's seed (-1: none).
+
+        A pixel goes to the first walk that still reaches it; a walk ends before a pixel of an earlier one, and a seed
+        on an earlier walk is dropped with both its walks. Cuts depend only on earlier walks, so the first k walks are
+        right after k rounds at most: repeating until nothing changes ends at the one solution.
+        """
+        steps = self.walks(seeds)
+        walk, pixel = steps["walk"], steps["pixel"]
+        begin = np.flatnonzero(np.r_[True, walk[1:] != walk[:-1]])
+        group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(walk)]))
+        seed_at = np.searchsorted(walk, walk // 2 * 2)  # the seed's own step
+        kept, none = np.ones(len(walk), bool), 2 * len(seeds)
+        while True:
+            owner = np.full(len(self.place), none)
+            np.minimum.at(owner, pixel[kept], walk[kept])
+            lost = np.cumsum(owner[pixel] < walk)
+            before = np.r_[0, lost][begin]
+            now = lost == before[group]
+            now &= now[seed_at]
+            if (now == kept).all():
+                break
+            kept = now
+        return steps[kept], np.where(owner < none, owner // 2, -1)
+
+    def met(self, owner: np.ndarray) -> np.ndarray:
+        """Slices that touch when all grow over the edge at once, by steps to four neighbours; cells claimed in the same round go to the strongest."""
+        owner, pairs = owner.copy(), []
+        sides = [self.at(self.y + dy, self.x + dx) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))]
+        front = np.flatnonzero(owner >= 0)
+        free = len(self.place)
+        while len(front):
+            claim = np.full(len(owner), free)
+            for side in sides:
+                n = side[front]
+                open_ = (n >= 0) & (owner[n] < 0)
+                np.minimum.at(claim, n[open_], owner[front[open_]])
+            front = np.flatnonzero(claim < free)
+            owner[front] = claim[front]
+        for side in (sides[1], sides[3]):
+            a, b = owner, owner[side]
+            touch = (side >= 0) & (a >= 0) & (b >= 0) & (a != b)
+            pairs.append(np.sort(np.stack([a[touch], b[touch]], 1), 1))
+        return np.unique(np.concatenate(pairs), axis=0)
+
+
+def uncrossed(slices: dict[str, np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """The links (a, b) that no other link's slice lies across.
+
+    Of two links of one slice, that goes whose line between centres meets the other far slice, extended by a unit at
+    both ends; if each does, the longer line goes (of equal ones, that of the weaker far slice). All are judged on the
+    links as found, so the order of work doesn't matter. ``slices`` are columns over the slices: y, x and the extended
+    ends ey0, ex0, ey1, ex1; ``pairs`` rows (a, b) of their numbers, a < b.
+    """
+    n = len(pairs)
+    if n < 2:
+        return pairs
+    near, far, link = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]]), np.tile(np.arange(n), 2)
+    order = np.lexsort((far, near))
+    near, far, link = near[order], far[order], link[order]
+    after = np.searchsorted(near, near, "right") - np.arange(len(near)) - 1  # later links of the same slice
+    i = np.repeat(np.arange(len(near)), after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    at = lambda k, y="y", x="x": (slices[y][k], slices[x][k])
+    over = lambda k, other: crossed(at(far[k]), at(near[k]), at(far[other], "ey0", "ex0"), at(far[other], "ey1", "ex1"))
+    long_ = lambda k: np.hypot(*(p - q for p, q in zip(at(far[k]), at(near[k]))))
+    first, second = over(i, j), over(j, i)
+    longer = long_(i) > long_(j)
+    gone = np.zeros(n, bool)
+    gone[link[i[first & (~second | longer)]]] = True
+    gone[link[j[second & (~first | ~longer)]]] = True
+    return pairs[~gone]
 
 
 SLICE = "frame_id long, blob_id long, kind string, slice_id long, other long, y double, x double, ay double, ax double, I double, G double, Dy double, Dx double, M double, D double, L double"
@@ -171,23 +230,35 @@ SLICE = "frame_id long, blob_id long, kind string, slice_id long, other long, y
 def slice_edges(pixels: DataFrame, filters: Filters = DEFAULT) -> DataFrame:
     """Slices ('slice' rows: centre, axis, sums) and their links ('link' rows: slice_id above other) of every edge.
 
-    A slice is named by its first maximum's place (y * 65536 + x).
+    A slice is named by its first maximum's place, as blobs are.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        edge, slices = _Edge(pdf, filters), {}
-        for seed in edge.maxima():
-            if seed not in edge.owner:
-                name = seed[0] * 65536 + seed[1]
-                slices[name] = edge.grow(seed, name)
-        head = {"frame_id": int(pdf.frame_id.iloc[0]), "blob_id": int(pdf.blob_id.iloc[0])}
-        rows = []
-        for name, s in slices.items():
-            rows.append(head | {"kind": "slice", "slice_id": name, "y": s["yx"][0], "x": s["yx"][1], "ay": s["axis"][0], "ax": s["axis"][1]} | dict(zip(("I", "G", "Dy", "Dx", "M", "D", "L"), map(float, s["sums"]))))
-        rows += [head | {"kind": "link", "slice_id": a, "other": b} for a, b in sorted(edge.links(slices))]
-        columns = [c.split()[0] for c in SLICE.split(", ")]
-        out = pd.DataFrame(rows, columns=columns)
-        return out.astype({"other": "Int64"})
+        edge = _Edge(pdf, filters)
+        seeds = edge.maxima()
+        steps, owner = edge.grown(seeds)
+        rank, first, group = np.unique(steps["walk"] // 2, return_index=True, return_inverse=True)
+        own = seeds[rank]
+        ay, ax = edge.axis[own].T
+        kept = {"slice_id": edge.y[own] * STRIDE + edge.x[own], "ay": ay, "ax": ax, "L": np.bincount(group).astype(float)}
+        for name in ("I", "G", "Dy", "Dx", "M", "D"):
+            kept[name] = np.maximum(np.bincount(group, steps[name]), 1e-7)
+        last = np.flatnonzero(np.r_[steps["walk"][1:] != steps["walk"][:-1], True])
+        for c, axis in (("y", ay), ("x", ax)):
+            ends = np.stack([steps[c][first]] * 2)  # a walk without steps ends at the seed
+            ends[steps["walk"][last] % 2, group[last]] = steps[c][last]
+            kept[c], kept[f"e{c}0"], kept[f"e{c}1"] = ends.mean(0), ends[0] - axis, ends[1] + axis
+        pairs = uncrossed(kept, np.searchsorted(rank, edge.met(owner)))
+        order = np.empty(len(rank), int)
+        order[np.lexsort((kept["slice_id"], kept["x"], kept["y"]))] = np.arange(len(rank))
+        upper, lower = (np.where((order[pairs[:, 0]] > order[pairs[:, 1]]) == up, pairs[:, 0], pairs[:, 1]) for up in (True, False))
+        head = {"frame_id": pdf.frame_id.iloc[0], "blob_id": pdf.blob_id.iloc[0]}
+        columns, n = [c.split()[0] for c in SLICE.split(", ")], len(pairs)
+        out = {c: np.concatenate([kept[c], np.full(n, np.nan)]) for c in columns if c in kept and c != "slice_id"}
+        out["kind"] = ["slice"] * len(rank) + ["link"] * n
+        out["slice_id"] = np.concatenate([kept["slice_id"], kept["slice_id"][upper]])
+        out["other"] = pd.array([None] * len(rank) + kept["slice_id"][lower].tolist(), "Int64")
+        return pd.DataFrame(head | out)[columns]
 
     return pixels.groupBy(*EDGE).applyInPandas(one, SLICE)
 
@@ -197,7 +268,7 @@ def compare_slices(found: DataFrame, filters: Filters = DEFAULT, rng: float = 1)
     side = lambda c: found.where("kind = 'slice'").select(*EDGE, F.col("slice_id").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("y", "x", "I", "G", "Dy", "Dx", "M", "D", "L")))
     links = found.where("kind = 'link'").select(*EDGE, F.col("slice_id").alias("a"), F.col("other").alias("b"))
     met = links.join(side("a"), [*EDGE, "a"]).join(side("b"), [*EDGE, "b"])
-    met = met.where(F.abs(F.col("y_a") - F.col("y_b")) + F.abs(F.col("x_a") - F.col("x_b")) <= 2 * rng + 2)
+    met = met.where(F.abs(F.col("y_a") - F.col("y_b")) + F.abs(F.col("x_a") - F.col("x_b")) <= 2 * rng)
     rn = F.col("L_a") / F.col("L_b")
     m, d = {}, {}
     for k in ("M", "D", "I", "G", "L"):
@@ -225,11 +296,10 @@ def compare_links(links: DataFrame, filters: Filters = DEFAULT) -> DataFrame:
 def slice_clusters(spark: SparkSession, links: DataFrame, filters: Filters = DEFAULT, by: str = "m") -> DataFrame:
     """Slices joined by links over the average, with the cluster's name: its smallest slice."""
     ave = filters.ave_slice_m if by == "m" else filters.ave_slice_d
-    key = lambda c: F.concat_ws("|", *(F.lpad(F.col(k).cast("string"), 12, "0") for k in (*EDGE, c)))
+    key = lambda c: F.struct(*EDGE, F.col(c).alias("slice_id"))
     kept = links.where(F.col(by) > ave * F.col("c"))
     found = connected_components(spark, kept.select(key("a").alias("a"), key("b").alias("b")))
-    part = lambda c, k: F.split_part(F.col(c), F.lit("|"), F.lit(k)).cast("long")
-    return found.select(part("node", 1).alias("frame_id"), part("node", 2).alias("blob_id"), part("node", 3).alias("slice_id"), part("component", 3).alias("cluster_id"))
+    return found.select("node.*", F.col("component.slice_id").alias("cluster_id"))
 
 
 def cluster_sums(clusters: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
@@ -255,12 +325,16 @@ def segment_slices(segments: DataFrame) -> DataFrame:
 
 
 def same_sign_chains(spark: SparkSession, pairs: DataFrame) -> DataFrame:
-    """Overlapping segments chained where consecutive length differences have one sign."""
-    key = lambda y, x: F.concat_ws("|", F.lpad(F.col("frame_id").cast("string"), 12, "0"), F.lpad(y.cast("string"), 6, "0"), F.lpad(F.col(x).cast("string"), 6, "0"))
-    named = pairs.withColumn("up", key(F.col("y") - 1, "a_lo")).withColumn("down", key(F.col("y"), "lo")).withColumn("sign", F.col("dL") > 0)
-    a = named.select(F.col("down").alias("mid"), "sign", F.concat("up", F.lit(">"), "down").alias("a"))
-    b = named.select(F.col("up").alias("mid"), "sign", F.concat("up", F.lit(">"), "down").alias("b"))
-    return connected_components(spark, a.join(b, ["mid", "sign"]).select("a", "b"))
+    """Overlapping segments chained where consecutive length differences have one sign.
+
+    A row a pair of segments: frame_id, y (of the upper one), up and down (where the two begin) and its chain's first pair.
+    """
+    up, down = F.struct("frame_id", (F.col("y") - 1).alias("y"), F.col("a_lo").alias("x")), F.struct("frame_id", "y", F.col("lo").alias("x"))
+    named = pairs.select(up.alias("up"), down.alias("down"), (F.col("dL") > 0).alias("sign"), F.struct("frame_id", (F.col("y") - 1).alias("y"), F.col("a_lo").alias("up"), F.col("lo").alias("down")).alias("pair"))
+    a = named.select(F.col("down").alias("mid"), "sign", F.col("pair").alias("a"))
+    b = named.select(F.col("up").alias("mid"), "sign", F.col("pair").alias("b"))
+    found = connected_components(spark, a.join(b, ["mid", "sign"]).select("a", "b"))
+    return found.select("node.*", F.struct("component.y", "component.up", "component.down").alias("first"))
 
 
 def inner_dx(derts: DataFrame) -> DataFrame:

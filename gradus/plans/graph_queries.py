@@ -274,7 +274,7 @@ _EDGE = f"""{_SUMS},
 ep AS (SELECT lab.frame_id, lab.y, lab.x, lab.blob_id, lab.i, lab.dy4, lab.dx4, lab.dy4 * lab.dy4 + lab.dx4 * lab.dx4 AS q FROM lab JOIN blob b USING (frame_id, blob_id) WHERE NOT b.s AND b.G1000 > 1000 * {EDGES.ave_G} * b.area),
 st AS (SELECT *, round_even(dy4 / greatest(sqrt(q::DOUBLE), 1e-7::DOUBLE), 0)::INT AS sy, round_even(dx4 / greatest(sqrt(q::DOUBLE), 1e-7::DOUBLE), 0)::INT AS sx FROM ep)"""
 _NODE = f"""{_SUMS},
-node AS (SELECT frame_id AS "group", frame_id * 8589934592 + blob_id AS node_id, Y / area AS y, X / area AS x, area::DOUBLE AS c, sqrt(area::DOUBLE) AS span, area::DOUBLE AS n,
+node AS (SELECT frame_id AS "group", frame_id * 8589934592 + blob_id // 2147483648 * 65536 + blob_id % 2147483648 AS node_id, Y / area AS y, X / area AS x, area::DOUBLE AS c, sqrt(area::DOUBLE) AS span, area::DOUBLE AS n,
   ({1000 * GRAPH.ave_g} * area - G1000)::DOUBLE AS M, G1000::DOUBLE AS D, I::DOUBLE AS I, G1000::DOUBLE AS G FROM blob),
 pair AS (
   SELECT p."group", p.node_id AS a, q.node_id AS b, sqrt((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x)) AS dist FROM node p JOIN node q ON p."group" = q."group" AND p.node_id < q.node_id

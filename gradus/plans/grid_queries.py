@@ -165,7 +165,7 @@ d0 AS (SELECT frame_id, y, x, i00 AS i, (i20 - i02) + 2 * (i21 - i01) + (i22 - i
 dert AS (SELECT *, sqrt((dy4 * dy4 + dx4 * dx4)::DOUBLE) / 4 AS g, dy4 * dy4 + dx4 * dx4 < {(4 * GRID.ave_g) ** 2} AS s FROM d0)"""
 _HALF = "(VALUES (0, 1), (1, 0), (1, 1), (1, -1)) AS o(oy, ox)"
 _LABEL = f"""WITH RECURSIVE {_DERT},
-n AS (SELECT *, y * 65536 + x AS own, frame_id * 8589934592 + y * 65536 + x AS id FROM dert),
+n AS (SELECT *, y * 2147483648 + x AS own, frame_id::HUGEINT * 4611686018427387904 + y * 2147483648 + x AS id FROM dert),
 e0 AS (
   SELECT a.id AS a, b.id AS b FROM n a, {_HALF} JOIN n b ON b.frame_id = a.frame_id AND b.y = a.y + oy AND b.x = a.x + ox AND b.s = a.s
   WHERE a.s OR oy = 0 OR ox = 0),
@@ -174,7 +174,7 @@ cc(id, comp) USING KEY (id) AS (
   SELECT id, id AS comp FROM n
   UNION
   SELECT e.b, min(c.comp) FROM cc c JOIN e ON e.a = c.id JOIN recurring.cc r ON r.id = e.b WHERE c.comp < r.comp GROUP BY e.b),
-lab AS (SELECT n.*, cc.comp - frame_id * 8589934592 AS blob_id FROM n JOIN cc USING (id))"""
+lab AS (SELECT n.*, (cc.comp - frame_id::HUGEINT * 4611686018427387904)::BIGINT AS blob_id FROM n JOIN cc USING (id))"""
 _SUMS = f"""{_LABEL},
 b0 AS (
   SELECT frame_id, blob_id, any_value(s) AS s, count(*) AS area, sum(i)::BIGINT AS I, sum(round(g * 1000)::BIGINT)::BIGINT AS G1000, sum(dy4)::BIGINT AS Dy4, sum(dx4)::BIGINT AS Dx4,
@@ -187,7 +187,7 @@ adj AS (SELECT * FROM a0 UNION SELECT frame_id, b, a FROM a0)"""
 _SEG = f"""WITH {_DERT},
 sc AS (SELECT *, coalesce(s <> lag(s) OVER v OR x <> lag(x) OVER v + 1, true)::INT AS c FROM dert WINDOW v AS (PARTITION BY frame_id, y ORDER BY x)),
 sn AS (SELECT *, sum(c) OVER (PARTITION BY frame_id, y ORDER BY x) - 1 AS seg FROM sc),
-seg AS (SELECT frame_id, y, seg::BIGINT AS seg, s, min(x) AS lo, max(x) AS hi, count(*) AS n, sum(i)::BIGINT AS I, frame_id * 8589934592 + y * 65536 + min(x) AS seg_id FROM sn GROUP BY frame_id, y, seg, s)"""
+seg AS (SELECT frame_id, y, seg::BIGINT AS seg, s, min(x) AS lo, max(x) AS hi, count(*) AS n, sum(i)::BIGINT AS I, y * 2147483648 + min(x) AS seg_id FROM sn GROUP BY frame_id, y, seg, s)"""
 _PAIR = f"""{_ADJ},
 pr AS (
   SELECT adj.*, p.area AS aa, q.area AS ab, q.I / q.area / 1.0::DOUBLE - p.I / p.area / 1.0::DOUBLE AS di, p.G1000 / p.area / 1000.0::DOUBLE AS ga, q.G1000 / q.area / 1000.0::DOUBLE AS gb,

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder: spark.checkpoint.dir, or the context's own.
 
-    Only where neither is set (tests, a laptop) a temporary folder is made and
-    registered as the checkpoint folder.
+    Only where neither is set and Spark runs in this process (tests, a laptop) a
+    temporary folder is made and registered as the checkpoint folder; on a
+    cluster, whose executors couldn't see it, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="gradus-")
     spark.sparkContext.setCheckpointDir(own)
     return own

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +60,17 @@ def spliced(pixels: DataFrame) -> DataFrame:
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of the images Spark's image source can read: mean over the channels."""
-    raw = spark.read.format("image").load(path).select("image.*")
-    n = F.col("nChannels")
-    at = F.posexplode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1))
-    flat = raw.select(F.xxhash64("origin").alias("frame_id"), "width", "nChannels", "data", at)
-    value = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.conv(F.hex(F.expr("data").substr(F.col("pos") * n + k + 1, F.lit(1))), 16, 10).cast("double")), F.lit(0.0), lambda a, b: a + b) / n
-    return flat.select("frame_id", F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"), (F.col("pos") % F.col("width")).cast("int").alias("x"), value.alias("i"))
+    raw = spark.read.format("image").load(path).select(F.xxhash64("image.origin").alias("frame_id"), "image.height", "image.width", "image.nChannels", "image.data")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for frame, height, width, n, data in zip(*(c.to_pylist() for c in b.columns)):
+                if n <= 0:  # not an image
+                    continue
+                value = np.frombuffer(data, np.uint8).reshape(height * width, n).mean(1)
+                for at in range(0, len(value), 1 << 20):
+                    part = np.arange(at, min(len(value), at + (1 << 20)))
+                    columns = [np.full(len(part), frame), (part // width).astype(np.int32), (part % width).astype(np.int32), value[part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["frame_id", "y", "x", "i"])
+
+    return raw.mapInArrow(decode, "frame_id long, y int, x int, i double")

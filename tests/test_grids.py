@@ -1,11 +1,17 @@
 import math
 import random
+import struct
+import zlib
+from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from gradus.filters import Filters
 from gradus.operators import blobs, graph, slices, stencil
 from gradus.operators.components import connected_components
+from gradus.sources.tables import images
 
 #: Fixed images of known gradients.
 VERTICAL = [[0, 50, 100, 150, 200]] * 5
@@ -110,6 +116,97 @@ def test_range_pairs_need_no_nested_loop(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == want
 
 
+def some_edge(seed, size=14):
+    """A smooth random field with gaps, as one edge's pixels."""
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[0:size, 0:size]
+    a, b, c = rng.uniform(0.2, 0.7, 3)
+    dy, dx = 60 * np.cos(a * y + b * x) + 5 * rng.normal(size=y.shape), 60 * np.sin(c * y - a * x) + 5 * rng.normal(size=y.shape)
+    held = rng.random(y.shape) < 0.9
+    columns = {"frame_id": 3, "blob_id": 7, "y": y[held], "x": x[held] + 70000, "i": rng.integers(20, 90, held.sum()), "dy4": 4 * dy[held], "dx4": 4 * dx[held]}
+    return pd.DataFrame(columns).assign(g=np.hypot(dy, dx)[held]).sample(frac=1, random_state=seed)
+
+
+SLICES = Filters(ave_I=5, ave_G=5, ave_dangle=0.7)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_slices_give_way_to_stronger_ones_only(seed):
+    edge = slices._Edge(some_edge(seed), SLICES)
+    seeds = edge.maxima()
+    strength = edge.values[seeds, 1]
+    assert len(seeds) > 4 and (strength[1:] <= strength[:-1]).all()
+    free, (kept, owner) = edge.walks(seeds), edge.grown(seeds)
+    free, kept = pd.DataFrame(free), pd.DataFrame(kept)
+    holder = dict(zip(kept.pixel, kept.walk))
+    assert len(holder) == len(kept) < len(free)  # a pixel has one walk, and some walks were cut
+    assert {p: w // 2 for p, w in holder.items()} == {p: o for p, o in enumerate(owner) if o >= 0}
+    alive = set(kept.walk[kept.k == 0] // 2)
+    for k, place in enumerate(seeds):
+        assert (k in alive) == (holder[place] // 2 == k) and holder[place] // 2 <= k
+    for walk, steps in free.groupby("walk"):
+        own = kept[kept.walk == walk]
+        assert own.k.tolist() == steps.k.tolist()[: len(own)]
+        if walk // 2 in alive and len(own) < len(steps):
+            assert holder[steps.pixel.iloc[len(own)]] < walk
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_slices_meet_where_their_growth_does(seed):
+    edge = slices._Edge(some_edge(seed), SLICES)
+    owner = edge.grown(edge.maxima())[1]
+    at = {(y, x): k for k, (y, x) in enumerate(zip(edge.y, edge.x))}
+    near = lambda k: [at[n] for n in ((edge.y[k] + dy, edge.x[k] + dx) for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0))) if n in at]
+    reach = [{k: 0 for k in np.flatnonzero(owner >= 0)}]
+    final = {k: int(owner[k]) for k in reach[0]}
+    while True:  # one whole ring after another
+        ring = {n: min(final[m] for m in near(n) if m in final) for k in final for n in near(k) if n not in final}
+        if not ring:
+            break
+        final.update(ring)
+    want = {tuple(sorted((final[k], final[n]))) for k in final for n in near(k) if final[n] != final[k]}
+    assert {tuple(p) for p in edge.met(owner).tolist()} == want and want
+
+
+def test_crossing_links_go():
+    row = lambda y, x, *ends: dict(zip(("y", "x", "ey0", "ex0", "ey1", "ex1"), (y, x, *ends)))
+    # 1 lies between 0 and 2: the link 0-2 passes over it, its own don't pass over anything
+    found = pd.DataFrame([row(0.0, 0.0, 0, -2, 0, 2), row(2.0, 0.0, 2, -2, 2, 2), row(4.0, 0.0, 4, -2, 4, 2)])
+    kept = lambda found, *pairs: slices.uncrossed({c: found[c].to_numpy() for c in found}, np.array(pairs).reshape(-1, 2)).tolist()
+    assert kept(found, (0, 1), (0, 2), (1, 2)) == [[0, 1], [1, 2]]
+    # side by side nothing crosses, and no links are fine
+    beside = pd.DataFrame([row(0.0, 3.0 * k, -1, 3 * k, 1, 3 * k) for k in range(3)])
+    assert kept(beside, (0, 1), (1, 2)) == [[0, 1], [1, 2]] and kept(beside) == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crossing_links_by_each_pair(seed):
+    rng = np.random.default_rng(seed)
+    n = 9
+    found = {c: rng.uniform(0, 10, n) for c in ("y", "x", "ey0", "ex0", "ey1", "ex1")}
+    pairs = np.array([p for p in combinations(range(n), 2) if rng.random() < 0.5])
+    gone = set()
+    for k in range(n):
+        for p, q in combinations([pair for pair in map(tuple, pairs.tolist()) if k in pair], 2):
+            a, b = sum(p) - k, sum(q) - k
+            at = lambda s: (found["y"][s], found["x"][s])
+            reach = lambda s: ((found["ey0"][s], found["ex0"][s]), (found["ey1"][s], found["ex1"][s]))
+            over = {p: slices.crossed(at(a), at(k), *reach(b)), q: slices.crossed(at(b), at(k), *reach(a))}
+            if over[p] and over[q]:
+                gone.add(max((math.dist(at(a), at(k)), a, p), (math.dist(at(b), at(k)), b, q))[2])
+            else:
+                gone |= {link for link, yes in over.items() if yes}
+    assert slices.uncrossed(found, pairs).tolist() == [list(p) for p in map(tuple, pairs.tolist()) if p not in gone] and gone
+
+
+def test_places_beyond_16_bits_and_hashed_frames(spark):
+    far = 7806203349216723968
+    rows = [(f, y, x, 1, s) for f in (far, -far) for y, x, s in ((0, 65536, True), (1, 0, True), (1, 65536, True), (70000, 3, False))]
+    derts = spark.createDataFrame(rows, "frame_id long, y int, x int, i long, s boolean")
+    got = blobs.label_by_segments(spark, derts).collect()
+    assert len(got) == 8 and {(r.frame_id, r.blob_id) for r in got} == {(f, b) for f in (far, -far) for b in (65536, blobs.STRIDE, 70000 * blobs.STRIDE + 3)}
+
+
 def test_crossed_segments():
     assert slices.crossed((0, 0), (2, 2), (0, 2), (2, 0)) and not slices.crossed((0, 0), (1, 0), (0, 2), (1, 2))
     assert slices.crossed((0, 0), (0, 2), (0, 1), (2, 1))  # touching counts
@@ -125,6 +222,32 @@ def test_slices_of_a_ramp(spark):
     assert len([r for r in found if r.kind == "link"]) == 7
 
 
+def test_images_to_blobs_and_nodes(spark, tmp_path):
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    for name, shade in (("a", 200), ("b", 90)):
+        rows = [[shade if 3 <= x < 7 and 2 <= y < 6 else 10 for x in range(11)] for y in range(8)]
+        body = zlib.compress(b"".join(b"\0" + bytes(v for p in row for v in (p, p, p)) for row in rows))
+        head = chunk(b"IHDR", struct.pack(">IIBBBBB", 11, 8, 8, 2, 0, 0, 0))
+        (tmp_path / f"{name}.png").write_bytes(b"\x89PNG\r\n\x1a\n" + head + chunk(b"IDAT", body) + chunk(b"IEND", b""))
+    pixels = images(spark, str(tmp_path)).cache()
+    assert pixels.count() == 176 and {(r.y, r.x, r.i) for r in pixels.where("i = 200").collect()} == {(y, x, 200.0) for y in range(2, 6) for x in range(3, 7)}
+    derts = stencil.gradient_3x3(pixels.withColumn("i", pixels.i.cast("long")), Filters(ave_g=15))
+    found = blobs.blob_sums(blobs.label_by_segments(spark, derts)).cache()
+    assert found.groupBy("frame_id").sum("area").collect()[0][1] == 54 and found.select("frame_id").distinct().count() == 2
+    nodes = graph.nodes_from_blobs(found, 15).collect()
+    assert len({r.node_id for r in nodes}) == found.count() > 2 and all(r.node_id < 0 for r in nodes)
+
+
+def test_weights_of_a_link_dont_depend_on_its_batch(spark):
+    rng = random.Random(4)
+    names = [f"{p}_{k}" for p in "md" for k in graph.PARAMS]
+    rows = [(0, k, k + 1, *(rng.uniform(-9, 9) for _ in names)) for k in range(40)] + [(0, 99, 100, *([1.0] * 18))]
+    links = spark.createDataFrame(rows, "group long, a long, b long, " + ", ".join(f"{n} double" for n in names)).repartition(1)
+    whole = {r.a: r.weights for r in graph.feature_weights(links, 400).collect()}
+    alone = {a: graph.feature_weights(links.where(f"a = {a}"), 400).first().weights for a in (0, 7, 99)}
+    assert all(whole[a] == w for a, w in alone.items()) and whole[99] == [1.0] * 18
+
+
 def test_aggregate_keeps_mass(spark):
     rows = [(0, k, float(k), 0.0, float(k + 1), 1.0, 1.0, 1.0, 2.0, 3.0, 4.0, 5.0, 0.0, 1.0) for k in range(6)]
     nodes = spark.createDataFrame(rows, "group long, node_id long, y double, x double, c double, r double, span double, n double, M double, D double, I double, G double, dy double, dx double")
