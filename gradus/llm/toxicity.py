@@ -15,7 +15,15 @@ from gradus.llm._words import prefix_hash, slices, span_hash, strings
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 20, 8, 12, (1, 2, 3)
 #: Most labelled rows that are learned from (those of the least hash of doc_id).
-SAMPLE = 8000
+SAMPLE = 6400
+#: One labelled row of so many is never learned from, so thresholds have rows of their own however few are labelled.
+KEPT_BACK = 5
+#: Width of the steps in which logits are counted for thresholds, and the largest logit that is told apart.
+STEP, MOST_LOGIT = 0.01, 30.0
+#: A language has a threshold of its own from so many rows of either label on.
+LEAST_LABELS = 10
+#: Labels that may be broadcast (some 16 bytes each), counted first.
+BROADCAST_LABELS = 400_000
 #: A bucket has an embedding of its own if so many learned texts hold it.
 LEAST_TEXTS = 4
 EPOCHS, RATE, BATCH, DECAY = 6, 0.05, 64, 1e-4
@@ -151,33 +159,43 @@ def _step(m: Model, state: dict, rows: np.ndarray, begin: np.ndarray, label: np.
     m.embedding[0] = 0
 
 
-def _threshold(logit: np.ndarray, label: np.ndarray) -> float:
-    """Logit cut with the fewest errors, in the middle of its gap (nearest to 0 in a tie)."""
-    order = np.argsort(logit)
-    logit, label = logit[order], label[order]
-    errors = np.concatenate([[0], np.cumsum(label)]) + np.concatenate([np.cumsum((1 - label)[::-1])[::-1], [0]])
-    edge = np.concatenate([[logit[0] - 1], (logit[1:] + logit[:-1]) / 2, [logit[-1] + 1]])
+def threshold(counts: np.ndarray) -> float:
+    """Logit cut with the fewest errors for counts[label, step]: the middle of its gap (nearest to 0 in a tie)."""
+    held = np.flatnonzero(counts.sum(0))
+    unit = round(1 / STEP)
+    lo, hi = max(held[0] - unit, 0), min(held[-1] + 1 + unit, counts.shape[1])  # a unit beyond the outermost
+    below = np.concatenate([[0], np.cumsum(counts[1])])
+    above = np.concatenate([np.cumsum(counts[0][::-1])[::-1], [0]])
+    errors = (below + above)[lo : hi + 1]
     good = np.flatnonzero(errors == errors.min())
-    return float(edge[good[np.argmin(np.abs(edge[good]))]])
+    runs = np.split(good, np.flatnonzero(np.diff(good) > 1) + 1)
+    cuts = [(lo + (r[0] + r[-1]) / 2) * STEP - MOST_LOGIT for r in runs]
+    return float(min(cuts, key=abs))
+
+
+def thresholds(counts: np.ndarray) -> np.ndarray:
+    """Cut of each language for counts[language, label, step]; that of all together where a language has few labels, 0 without both labels."""
+    if not counts.sum((0, 2)).all():
+        return np.zeros(len(counts))
+    every = threshold(counts.sum(0))
+    return np.array([threshold(c) if (c.sum(1) >= LEAST_LABELS).all() else every for c in counts])
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Fit on whole texts; every fifth one is kept back to set the thresholds.
+    """Fit on whole texts; thresholds are left at 0.
 
     An embedding's first part starts as its bucket's shrunk log odds, the rest at random.
     """
     rng = np.random.default_rng(seed)
     n, y, counts, hashes = len(texts), np.array(labels, np.float32), np.zeros(len(texts), np.int64), []
-    kept_back = np.arange(n) % 5 == 4
     bucket, text_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, t in enumerate(texts):
         raw = np.frombuffer(t.encode(), np.uint8)
         own = word_hashes(raw, np.array([0, len(raw)]))[0]
         hashes.append(own)
         counts[i] = len(own)
-        if not kept_back[i]:
-            bucket.append(np.unique(_bucket(own)))
-            text_of.append(np.full(len(bucket[-1]), i))
+        bucket.append(np.unique(_bucket(own)))
+        text_of.append(np.full(len(bucket[-1]), i))
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     del hashes
     first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
@@ -188,7 +206,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     row_of = np.zeros(BUCKETS, np.int32)
     row_of[known] = np.arange(1, len(known) + 1)
     embedding = rng.normal(0, 0.05, (len(known) + 1, DIM)).astype(np.float32)
-    share = float(y[~kept_back].mean()) if (~kept_back).any() else 0.5
+    share = float(y.mean()) if n else 0.5
     share = min(max(share, 0.01), 0.99)
     odds = (toxic[known] + 4 * share) / (held[known] - toxic[known] + 4 * (1 - share))
     embedding[1:, 0] = np.clip(np.log(odds * (1 - share) / share), -3, 3)
@@ -199,25 +217,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         return m
     state: dict = {}
     weights = np.where(y > 0, min(5.0, (1 - share) / share), 1.0).astype(np.float32)
-    learned = np.flatnonzero(~kept_back)
     for _ in range(EPOCHS):
-        order = rng.permutation(learned)
+        order = rng.permutation(n)
         for at in range(0, len(order), BATCH):
             ids = order[at : at + BATCH]
             own = np.concatenate([h[first[i] : first[i + 1]] for i in ids])
             rows, begin = m.rows(own, np.concatenate([[0], np.cumsum(counts[ids])]))
             _step(m, state, rows, begin, y[ids], weights[ids], rng)
-    logit, language = np.zeros(n), np.zeros(n, int)
-    for i in np.flatnonzero(kept_back):
-        one = np.array([0, counts[i]])
-        logit[i] = m.logits(h[first[i] : first[i + 1]], one)[0]
-        language[i] = guess_language(h[first[i] : first[i + 1]], one)[0]
-    if kept_back.any():
-        m.offset[:] = _threshold(logit[kept_back], y[kept_back])
-    for k in range(len(LANGUAGES)):
-        own = kept_back & (language == k)
-        if y[own].sum() >= 10 and (1 - y[own]).sum() >= 10:
-            m.offset[k] = _threshold(logit[own], y[own])
     m.tables = None  # made again where they are used
     return m
 
@@ -227,43 +233,89 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``most`` labelled texts that aren't held out; one label a doc_id (the larger), nulls left out."""
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(most)
-    chosen = [(r["doc_id"], r["toxic"]) for r in known.collect()]
+def known_labels(labels: DataFrame) -> DataFrame:
+    """l_id, toxic of the labels that aren't held out: one a doc_id (the larger), nulls left out."""
+    toxic = F.max((F.col("toxic").cast("int") > 0).cast("int")).alias("toxic")
+    return labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(toxic)
+
+
+def _text():
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[int], list[str], list[int]]:
+    """Ids, texts and labels of at most ``most`` rows to learn from: never held out, never kept back for thresholds."""
+    known = known_labels(labels).where(F.pmod(F.xxhash64(F.lit("kept back"), "l_id"), F.lit(KEPT_BACK)) != 0)
+    chosen = [(r["l_id"], r["toxic"]) for r in known.withColumn("o", F.xxhash64("l_id")).orderBy("o", "l_id").limit(most).collect()]
     right = docs.sparkSession.createDataFrame(chosen, "l_id long, toxic int")
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    own = docs.select(F.col("doc_id").cast("long").alias("d_id"), text)
+    own = docs.select(F.col("doc_id").cast("long").alias("d_id"), _text())
     rows = own.join(F.broadcast(right), F.col("d_id") == F.col("l_id")).groupBy("d_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["d_id"])
-    return [r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows]
+    return [r["d_id"] for r in rows], [r["text"] for r in rows], [int(r["toxic"]) for r in rows]
+
+
+def calibration_counts(docs: DataFrame, labels: DataFrame, learned: list[int], model) -> np.ndarray:
+    """counts[language, label, step of logit] over every labelled row that isn't held out and wasn't learned from.
+
+    Rows of one doc_id all count. The labels are broadcast up to BROADCAST_LABELS of them (counted), else joined by
+    a shuffle; what reaches the driver is bounded by the number of steps.
+    """
+    spark, n_steps = docs.sparkSession, round(2 * MOST_LOGIT / STEP)
+    done = F.broadcast(spark.createDataFrame([(i,) for i in learned], "done long"))
+    others = known_labels(labels).join(done, F.col("l_id") == F.col("done"), "left_anti")
+    right = F.broadcast(others) if others.count() <= BROADCAST_LABELS else others
+    own = docs.select(F.col("doc_id").cast("long").alias("d_id"), _text()).join(right, F.col("d_id") == F.col("l_id")).select("text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, lo, hi, h, first in _hashed(batches):
+            step = np.clip((model.value.logits(h, first) + MOST_LOGIT) // STEP, 0, n_steps - 1).astype(np.int32)
+            language = guess_language(h, first).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(language), b.column(1).slice(lo, hi - lo), pa.array(step)], names=["language", "toxic", "step"])
+
+    counts = np.zeros((len(LANGUAGES), 2, n_steps), np.int64)
+    for r in own.mapInArrow(run, "language int, toxic int, step int").groupBy("language", "toxic", "step").count().collect():
+        counts[r["language"], r["toxic"], r["step"]] = r["count"]
+    return counts
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(batch, lo, hi, word hashes, each text's first) by parts of bounded bytes; the text is column 0."""
+    for b in batches:
+        buf, offsets = strings(b, "text")
+        for start, end in slices(offsets, 1 << 20):
+            for lo in range(start, end, 4000):
+                hi = min(end, lo + 4000)
+                yield b, lo, hi, *word_hashes(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Toxicity of every whole text: the columns in ``keep``, score and predicted.
 
-    Learns from at most ``most`` labelled rows that aren't held out. A score is a
+    Learns from at most ``most`` labelled rows that aren't held out; the thresholds
+    come from all other rows that aren't held out. A score is a
     function of the text alone; the language that shifts its threshold is guessed
-    from the text's frequent words. Null text is empty and empty texts get a
-    score; with no labels of both kinds scores are those of an untrained model;
+    from the text's frequent words. Labels may be integers or booleans. Null text is empty and empty texts get a
+    score; with no labels of both kinds scores are those of an untrained model; repeated rows are scored alike;
     an empty table gives no rows.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(*labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), most)))
+    named, known = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
+    ids, texts, toxic = labelled_sample(named, known, most)
+    fitted = train(texts, toxic)
+    del texts
+    raw = spark.sparkContext.broadcast(fitted)
+    fitted.offset = thresholds(calibration_counts(named, known, ids, raw))
+    raw.unpersist()
+    model = spark.sparkContext.broadcast(fitted)
     columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    source = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)
+    source = docs.select(_text(), *columns)
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, offsets = strings(b, "text")
-            for lo, hi in slices(offsets, 1 << 20):
-                for at in range(lo, hi, 4000):
-                    to = min(hi, at + 4000)
-                    s = model.value.scores(*word_hashes(buf[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
-                    part = b.slice(at, to - at)
-                    yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+        for b, lo, hi, h, first in _hashed(batches):
+            s = model.value.scores(h, first)
+            part = b.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "score double, predicted int"])
     out = source.mapInArrow(run, schema)

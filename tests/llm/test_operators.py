@@ -182,6 +182,40 @@ def test_ties_go_to_the_piece_that_starts_first():
 # --- toxicity
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_thresholds_by_trying_every_cut(seed):
+    rng = np.random.default_rng(seed)
+    n_steps = round(2 * toxicity.MOST_LOGIT / toxicity.STEP)
+    counts = np.zeros((len(toxicity.LANGUAGES), 2, n_steps), np.int64)
+    for k, n in enumerate((400, 60, 12, 3, 0)):
+        for label in (0, 1):
+            steps = (rng.normal(3 * label - 1 + k, 1.5, n) + toxicity.MOST_LOGIT) // toxicity.STEP
+            np.add.at(counts[k, label], steps.astype(int), 1)
+    errors = lambda c, cut: c[1, :cut].sum() + c[0, cut:].sum()
+    cuts = toxicity.thresholds(counts)
+    every = toxicity.threshold(counts.sum(0))
+    for k in range(len(cuts)):
+        own = counts[k] if (counts[k].sum(1) >= toxicity.LEAST_LABELS).all() else counts.sum(0)
+        at = int(np.floor((cuts[k] + toxicity.MOST_LOGIT) / toxicity.STEP + 1e-6))
+        held = np.flatnonzero(own.sum(0))
+        assert errors(own, at) == min(errors(own, c) for c in (*held, held[-1] + 1))
+    assert cuts[3] == cuts[4] == every
+    assert toxicity.thresholds(counts[:, :, :] * np.array([1, 0])[None, :, None]).tolist() == [0.0] * len(cuts)  # no toxic rows
+    assert toxicity.thresholds(counts * 0).tolist() == [0.0] * len(cuts)
+
+
+def test_thresholds_see_every_row_that_isnt_learned(spark):
+    rows = [(k, f"word{k % 7} word{k % 11}", k % 3 == 0) for k in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(None, "a"), (9000, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], int(r[2])) for r in rows] + [(None, 1), (9001, 1), (7, None)], "doc_id long, toxic int")
+    fits = {k for k in range(600) if zlib.crc32(str(k).encode()) % 5} - {7} | ({7} if zlib.crc32(b"7") % 5 else set())
+    for most in (0, 50, 100000):
+        ids, texts, known = toxicity.labelled_sample(docs, labels, most)
+        assert set(ids) <= fits and len(ids) == len(texts) == len(known) <= most and (most < 1000 or 0 < len(ids) < len(fits))
+        model = spark.sparkContext.broadcast(toxicity.train(texts, known))
+        assert toxicity.calibration_counts(docs, labels, ids, model).sum() == len(fits) - len(ids)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     bad = ["grobal", "vilnak", "zotter"]
