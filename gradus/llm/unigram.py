@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: What an unknown character scores below the least score of the vocabulary.
 UNKNOWN_PENALTY = 10.0
-#: Words longer than this aren't remembered, and so many words are at most.
+#: Units longer than this aren't remembered, and so many are at most.
 LONG_WORD, MOST_WORDS = 64, 1_000_000
 
 
@@ -25,7 +26,12 @@ def vocabulary(model_file: str) -> list[tuple[str, float]]:
 
 
 class Counter(dict):
-    """Pieces of a word (its space mark is added) on the best path, computed once per word.
+    """Pieces of a unit of text on the best path, computed once per unit.
+
+    A unit is a run of space marks and what follows it up to the next mark. No
+    piece crosses from one unit to the next, so the best path of a text is that
+    of its units; where the vocabulary has a piece with a mark after another
+    character, or none for the mark alone, the whole text is one unit.
 
     The automaton names all pieces that end at a character, the longest first,
     so of equally good ways to a character the one whose last piece starts first
@@ -42,6 +48,8 @@ class Counter(dict):
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.single = {piece for piece, _ in pieces if len(piece) == 1}
+        apart = SPACE in self.single and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
+        self.units = re.compile(f"{SPACE}+[^{SPACE}]*" if apart else "(?s).+").findall
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         if pieces:
             self.automaton.make_automaton()
@@ -69,12 +77,12 @@ class Counter(dict):
             best[at + 1], count[at + 1], unknown[at + 1] = score, pieces, fresh
         return count[n]
 
-    def __missing__(self, word: str) -> int:
-        n = self.pieces(SPACE + word)
-        if len(word) <= LONG_WORD:
+    def __missing__(self, unit: str) -> int:
+        n = self.pieces(unit)
+        if len(unit) <= LONG_WORD:
             if len(self) >= MOST_WORDS:
                 self.clear()
-            self[word] = n
+            self[unit] = n
         return n
 
     def count(self, text: str | None) -> int:
@@ -82,7 +90,7 @@ class Counter(dict):
         if not text:
             return 0
         text = text.replace(" ", SPACE)
-        return sum(map(self.__getitem__, (text[1:] if text[0] == SPACE else text).split(SPACE)))
+        return sum(map(self.__getitem__, self.units(text if text[0] == SPACE else SPACE + text)))
 
 
 _COUNTERS: dict[str, Counter] = {}

@@ -61,28 +61,43 @@ def verdict_of(rule: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root with its . and .. segments resolved; .. stops at the root."""
+    parts = F.slice(F.split(path, "/"), 2, 1_000_000)
+    up = lambda held: F.when(F.size(held) > 0, F.slice(held, 1, F.size(held) - 1)).otherwise(held)
+    step = lambda held, p: F.when(p == ".", held).when(p == "..", up(held)).otherwise(F.concat(held, F.array(p)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    folder = path.rlike(r"/\.\.?$") & (F.size(kept) > 0)
+    resolved = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), resolved).otherwise(path)
+
+
 def absolute(link: Column, url: Column) -> Column:
-    """A link as a full url: absolute, without scheme, from the host's root, or beside the page."""
+    """A link as a full url: absolute, without scheme, from the host's root, or beside the page; . and .. segments are resolved."""
     root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     beside = F.concat(root, F.regexp_replace(F.regexp_replace(path_of(url), r"[^/]*$", ""), r"^$", "/"), link)
-    return (
-        F.when(link.contains("://"), link)
+    full = (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
         .when(link.startswith("/"), F.concat(root, link))
         .when(link.startswith("?"), F.concat(root, path_of(url), link))
         .when(link.startswith("#"), url)
         .otherwise(beside)
     )
+    rest = F.regexp_extract(full, r"(?s)^.*?://[^?#]*(.*)$", 1)
+    return F.concat(F.regexp_extract(full, r"(?s)^(.*?://[^/?#]*)", 1), without_dots(path_of(full)), rest)
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) host + path + query of a page and of what it redirects to or calls canonical."""
+    """(a, b) host + path + query of a page and of all it redirects to or calls canonical, with both hosts and paths."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    head = pages.where(F.col("url").isNotNull() & (html.contains("anonical") | html.contains("ANONICAL") | html.rlike("(?i)http-equiv")))
-    links = F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))
+    head = pages.where(F.col("url").isNotNull() & html.rlike("(?i)canonical|http-equiv"))
+    links = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), 1), F.regexp_extract_all(html, F.lit(REFRESH), 1))
     found = head.select("url", F.explode(links).alias("link")).where("link <> ''")
     target = absolute(F.col("link"), F.col("url"))
-    return found.select(node_of(F.col("url")).alias("a"), node_of(target).alias("b"), host_of(F.col("url")).alias("ah"), path_of(F.col("url")).alias("ap"), host_of(target).alias("bh"), path_of(target).alias("bp")).where("a <> '' and b <> '' and a <> b")
+    named = found.select("url", target.alias("target"))
+    ends = {"a": node_of(F.col("url")), "b": node_of(F.col("target")), "ah": host_of(F.col("url")), "ap": path_of(F.col("url")), "bh": host_of(F.col("target")), "bp": path_of(F.col("target"))}
+    return named.select(*(c.alias(k) for k, c in ends.items())).where("a <> '' and b <> '' and a <> b")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow") -> DataFrame:

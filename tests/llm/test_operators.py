@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.llm import caps, fingerprints, forest, mixing, toxicity, unigram, urls
 from gradus.llm._words import HashIndex, prefix_hash, span_hash, words
@@ -162,9 +163,9 @@ def test_token_counts_equal_the_tokenizer(spark):
     pieces = unigram.vocabulary(P.path("piece_bpe_32k.model"))
     vocab = [("<unk>", min(s for _, s in pieces)), *pieces]
     tok = Tokenizer(models.Unigram(vocab, unk_id=0))
-    tok.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always")
+    tok.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=False)  # the whole text is searched
     rng = random.Random(1)
-    texts = ["", " ", "  ", "hello world", " lead", "trail  ", "a\nb\tc", "▁mark▁", "日本語テスト ⊕⊗⊘ ꙮꙮ x", "x" * 300, "Ünïcödé straße", None] + [prose(rng, 50) for _ in range(20)]
+    texts = ["", " ", "  ", "hello world", " lead", "trail  ", "a\nb\tc", "▁mark▁", "日本語テスト ⊕⊗⊘ ꙮꙮ x", "x" * 300, "Ünïcödé straße", None, "a        b", f"run{' ' * 17}on   and{' ' * 40}"] + [prose(rng, 50) for _ in range(20)]
     texts += ["".join(rng.choice("abcé ▁ꙮ") for _ in range(40)) for _ in range(60)]
     df = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
     got = {r.doc_id: r.n_tokens for r in unigram.token_counts(df, P.path("piece_bpe_32k.model")).collect()}
@@ -179,9 +180,40 @@ def test_ties_go_to_the_piece_that_starts_first():
     assert unigram.Counter([]).pieces("abc") == 1
 
 
+def test_units_are_cut_only_where_no_piece_crosses():
+    apart = unigram.Counter([("▁", -3.0), ("▁▁▁", -1.0), ("a", -2.0), ("▁a", -1.5)])
+    assert apart.units("▁a▁▁▁a▁") == ["▁a", "▁▁▁a", "▁"] and apart.count("a   a ") == 4
+    whole = unigram.Counter([("▁", -3.0), ("a▁a", -1.0), ("a", -2.0)])
+    assert whole.units("▁a▁\na") == ["▁a▁\na"] and whole.count("a a") == 2
+    assert unigram.Counter([("a", -1.0)]).count("a  a") == 4  # the marks are unknown, in a row one piece
+    same = [("▁", -3.0), ("a", -2.0)]
+    assert unigram.Counter(same).count("a" * 30000 + " a") == 30003 and len(unigram.Counter(same)) == 0
+
+
 # --- toxicity
 
 
+def test_links_are_resolved_as_the_standard_library_does(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.org/b/c/d", "http://a.org/b/c/", "http://a.org", "http://A.org/x?y=1#z"]
+    links = ["../e", "./f", "../../g", "../../../../h", ".", "..", "./", "../", "/i/../j/./k", "l?m=../n#o/../p", "//c.net/q/../r", "https://d.org/s/./t", "?u=http://v", "w://x/../y", "...", "e..", "/z"]
+    # urljoin leaves the segments of links with a host of their own; RFC 3986 (5.2.2) resolves them too
+    own_host = {"//c.net/q/../r": "http://c.net/r", "https://d.org/s/./t": "https://d.org/s/t", "w://x/../y": "w://x/y"}
+    rows = [(b, k) for b in bases for k in links]
+    got = spark.createDataFrame(rows, "url string, link string").select("url", "link", urls.absolute(F.col("link"), F.col("url")).alias("full")).collect()
+    for r in got:
+        want = own_host.get(r.link, urljoin(r.url, r.link))
+        bare = lambda u: u.removesuffix("/") if u.count("/") == 3 else u
+        assert bare(r.full) == bare(want), r
+
+
+def test_all_links_of_a_page_count(spark):
+    html = "<link rel=canonical href=/a><meta http-equiv=refresh content='0;url=b'><link rel='canonical' href='../c'><link rel=other href=/d><CANONICAL>"
+    edges = urls.link_edges(pages(spark, [(1, "http://x.com/p/q", html), (2, None, html), (3, "http://x.com/p/q", None)])).collect()
+    assert {(r.a, r.b) for r in edges} == {("x.com/p/q", f"x.com/{t}") for t in ("a", "p/b", "c")}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_thresholds_by_trying_every_cut(seed):
     rng = np.random.default_rng(seed)
