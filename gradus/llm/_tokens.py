@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from gradus.llm._memory import held
 from gradus.llm._words import HashIndex, Ragged, pieces, prefix_hash, slices, span_hash, strings
 
 MOST_PIECES = 800_000
@@ -82,13 +83,8 @@ class Encoder:
         return ids, begin[first]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(path, lambda: Encoder(path))
 
 
 def encoded(batch: pa.RecordBatch, text: str, path: str) -> Iterator[tuple[int, np.ndarray]]:

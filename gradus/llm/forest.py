@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus.llm._groups import grouped, matrix, roots
+from gradus.llm._memory import tidy
 from gradus.llm._words import BASE, mix, slices, strings
 from gradus.llm.fingerprints import low_bits, signatures, text_shingles
 from gradus.operators.components import connected_components
@@ -234,7 +235,7 @@ def classes(docs: DataFrame, cut: float = 0.8, recall: float = 0.9999, chunk: in
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     base = base.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit("g"), "text").alias("g"), "text")
-    sketched = base.mapInArrow(_sketch(cut, recall), "doc_id long, h long, g long, prefixes array<long>, sketch binary")
+    sketched = base.mapInArrow(tidy(_sketch(cut, recall)), "doc_id long, h long, g long, prefixes array<long>, sketch binary")
     sketched = scratch.save(sketched, "sketched")
     same = sketched.groupBy("h", "g").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"))
     same = scratch.save(same.withColumnRenamed("h", "id"), "same")
@@ -244,7 +245,7 @@ def classes(docs: DataFrame, cut: float = 0.8, recall: float = 0.9999, chunk: in
     keys = ["prefix", "ca", "cb"]
     dealt = met.join(same.select("id", "sketch"), "id").select(*keys, "id", "chunk", "sketch")
     dealt = dealt.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
-    edges = dealt.mapInArrow(_candidates(ESTIMATE), "a long, b long").distinct()
+    edges = dealt.mapInArrow(tidy(_candidates(ESTIMATE)), "a long, b long").distinct()
     component = connected_components(spark, edges, scratch=scratch)
     component = scratch.save(component.toDF("id", "component"), "component")
     sizes = component.groupBy("component").agg(F.count("*").alias("n"))
@@ -257,7 +258,7 @@ def classes(docs: DataFrame, cut: float = 0.8, recall: float = 0.9999, chunk: in
     keys = ["component", "ca", "cb"]
     dealt = _chunked(texts, "component", "n", chunk).select(*keys, "id", "weight", "chunk", "text")
     dealt = dealt.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
-    found = scratch.save(dealt.mapInArrow(_exact(cut), "id long, links long, root long"), "found")
+    found = scratch.save(dealt.mapInArrow(tidy(_exact(cut)), "id long, links long, root long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     linked = connected_components(spark, found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch=Scratch(spark, "forest"))
     known = same.select("id", "g", "weight", "least").join(links, "id", "left").join(linked.toDF("id", "class"), "id", "left")

@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradus.llm._memory import tidy
 from gradus.llm._tokens import encoded
 from gradus.plans.scratch import partitions
 
@@ -184,7 +185,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_
                 names, arrays = [*names, "ids"], [*arrays, pa.array([x.astype(np.int64) for x in rows[5]], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return source.mapInArrow(run, PIECE + (", ids array<long>" if keep_ids else ""))
+    return source.mapInArrow(tidy(run, tokenizer), PIECE + (", ids array<long>" if keep_ids else ""))
 
 
 def pack(
@@ -212,4 +213,4 @@ def pack(
     n = partitions(docs.sparkSession)
     dealt = pieces.repartition(n, F.xxhash64("doc_id", "start")).sortWithinPartitions("doc_id", "start", "ids_crc32")
     schema = pieces.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    return dealt.mapInArrow(_assign(capacity, batch), ", ".join(x.replace(":", " ", 1) for x in schema.split(",")) + ", sequence_id long, offset long")
+    return dealt.mapInArrow(tidy(_assign(capacity, batch)), ", ".join(x.replace(":", " ", 1) for x in schema.split(",")) + ", sequence_id long, offset long")

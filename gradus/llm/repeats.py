@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus.llm._groups import grouped
+from gradus.llm._memory import tidy
 from gradus.llm.induced import BLOCK, ORDERED, Queue, Sorter, Store, Tape, tuples
 from gradus.llm._words import BASE, POWERS, mix, prefix_hash, slices, span_hash, strings
 from gradus.plans.scratch import Scratch, partitions
@@ -417,11 +418,11 @@ def without_repeats(docs: DataFrame, text_back: bool = True, part_bytes: int = P
         return placed.select("bucket", F.lit(9).cast("long").alias("kind"), F.col("text").cast("binary").alias("raw"), "doc", "text_hash", *more)
 
     def meet() -> DataFrame:
-        return sorted_by(named.select("doc", "text_hash", "text").mapInArrow(_deal(shards), "shard long, raw binary"), "shard").mapInArrow(_meet(buckets, part_bytes), PACKED)
+        return sorted_by(named.select("doc", "text_hash", "text").mapInArrow(tidy(_deal(shards)), "shard long, raw binary"), "shard").mapInArrow(tidy(_meet(buckets, part_bytes)), PACKED)
 
     def fetch() -> DataFrame:
         asked = met.where(F.col("kind") == FETCH).select(F.col("at").alias("bucket"), "kind", "raw", none.alias("doc"), none.alias("text_hash"))
-        return sorted_by(texts().unionByName(asked), "bucket").mapInArrow(_fetch, PACKED)
+        return sorted_by(texts().unionByName(asked), "bucket").mapInArrow(tidy(_fetch), PACKED)
 
     # no name holds a finished step's plan, so its shuffle files can go before the next
     met = scratch.save(meet(), "met")
@@ -429,10 +430,10 @@ def without_repeats(docs: DataFrame, text_back: bool = True, part_bytes: int = P
     fetched = scratch.save(fetch(), "fetched")
     scratch.release()
     part = fetched.union(met.where(F.col("kind") == HELD)).select(F.col("at").alias("part"), "kind", "raw")
-    late = scratch.save(sorted_by(part, "part").mapInArrow(_sort(buckets, scratch.path("sort"), memory), PACKED), "sorted")
+    late = scratch.save(sorted_by(part, "part").mapInArrow(tidy(_sort(buckets, scratch.path("sort"), memory)), PACKED), "sorted")
     drops = met.where(F.col("kind") == DROP).union(late).select(F.col("at").alias("bucket"), "kind", "raw")
     schema = "n_bytes long, n_removed long, n_spans long, kept string" + "".join(f", {c} {named.schema[c].dataType.simpleString()}" for c in own)
-    out = sorted_by(texts(*own).unionByName(drops, allowMissingColumns=True), "bucket").mapInArrow(_apply(text_back, len(own)), schema)
+    out = sorted_by(texts(*own).unionByName(drops, allowMissingColumns=True), "bucket").mapInArrow(tidy(_apply(text_back, len(own))), schema)
     results = ["n_bytes", "n_removed", "n_spans", "kept"]
     return out.select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns) if c != "text" and c not in results), *results)
 

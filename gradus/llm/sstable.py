@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gradus.llm._memory import tidy
 from gradus.llm._tokens import encoded, encoder
 from gradus.plans.scratch import Scratch, partitions
 
@@ -202,7 +203,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids]})
 
-    return dealt.mapInArrow(run, "shard long, path string, n_docs long, n_ids long")
+    return dealt.mapInArrow(tidy(run, tokenizer), "shard long, path string, n_docs long, n_ids long")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus.llm import _words
+from gradus.llm._memory import tidy
 from gradus.llm._words import prefix_hash, slices, span_hash, strings
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 20, 8, 12, (1, 2, 3)
@@ -273,7 +274,7 @@ def calibration_counts(docs: DataFrame, labels: DataFrame, learned: list[int], m
             yield pa.RecordBatch.from_arrays([pa.array(language), b.column(1).slice(lo, hi - lo), pa.array(step)], names=["language", "toxic", "step"])
 
     counts = np.zeros((len(LANGUAGES), 2, n_steps), np.int64)
-    for r in own.mapInArrow(run, "language int, toxic int, step int").groupBy("language", "toxic", "step").count().collect():
+    for r in own.mapInArrow(tidy(run), "language int, toxic int, step int").groupBy("language", "toxic", "step").count().collect():
         counts[r["language"], r["toxic"], r["step"]] = r["count"]
     return counts
 
@@ -318,7 +319,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, keep: tuple[st
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "score double, predicted int"])
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(tidy(run), schema)
     return out.select(*(F.col(k).alias(c) for k, c in zip(names, keep)), "score", "predicted")
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradus.llm._memory import held, tidy
+
 SPACE = "▁"
 #: What an unknown character scores below the least score of the vocabulary.
 UNKNOWN_PENALTY = 10.0
@@ -93,9 +95,6 @@ class Counter(dict):
         return sum(map(self.__getitem__, self.units(text if text[0] == SPACE else SPACE + text)))
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id and n_tokens of every whole text.
 
@@ -104,10 +103,8 @@ def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_file not in _COUNTERS:
-            _COUNTERS[model_file] = Counter(vocabulary(model_file))
-        counter = _COUNTERS[model_file]
+        counter = held(model_file, lambda: Counter(vocabulary(model_file)))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([counter.count(t) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, model_file), "doc_id long, n_tokens long")
