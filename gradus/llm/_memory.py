@@ -24,18 +24,29 @@ def held(name: str, make: Callable[[], Any]) -> Any:
     return HELD[name]
 
 
+def drop_others(keep: str | None) -> None:
+    for name in [n for n in HELD if n != keep]:
+        del HELD[name]
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str | None = None):
-    """``run`` for mapInArrow, which first drops what other operators' tasks held and at its end gives freed memory back to the machine."""
+    """``run`` for mapInArrow, which first drops what other operators' tasks held and at its end gives freed memory back to the machine.
+
+    What is returned travels to the workers by value, so it names only functions, which each worker has of its own.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name in [n for n in HELD if n != keep]:
-            del HELD[name]
+        drop_others(keep)
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if _trim:
-                _trim(0)
+            give_back()
 
     return task
