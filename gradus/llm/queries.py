@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import caps, fingerprints, forest, mixing, packing, repeats, sstable, toxicity, unigram, urls
+from gradus.llm import caps, completion, fingerprints, forest, manifest, mixing, packing, repair, repeats, sstable, toxicity, unigram, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,11 +60,32 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return completion.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows; where 7 divides the CRC-32 of doc_id's digits, the row that is checked has n_chars one too high."""
+    docs = _table(spark, sf_dir, "documents")
+    more = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, 1).otherwise(0)
+    changed = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + more}
+    tampered = manifest.leaf_hash([changed.get(c, F.col(c)) for c in manifest.FIELDS])
+    out = manifest.manifest(docs, carried={"tampered": tampered})
+    out = out.withColumn("folded_root", manifest.folded(F.col("tampered"), F.col("path")))
+    proof = F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256")
+    return out.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_fingerprints, op3_url_filter, op4_mixing, op5_token_counts,
         op6_token_output, op7_repeats, op8_toxicity, op9_near_documents, op10_near_vectors,
+        op11_repair, op12_best_fit, op13_manifest,
     )
 }
 
