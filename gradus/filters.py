@@ -17,6 +17,9 @@ class Filters:
     ave_params: tuple[float, float, float, float] = (0.5, 1.2, 1.2, 1.2)
     pp_M: float = 10
     pp_D: float = 2
+    # sub-runs of compared runs: search ends under this; runs longer than ave_Ls have theirs compared
+    stop_D: float = 10
+    ave_Ls: int = 3
     # grids
     ave_g: int = 30
     ave_r: int = 10

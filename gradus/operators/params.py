@@ -107,24 +107,60 @@ def second_level(runs: DataFrame, filters: Filters = DEFAULT) -> DataFrame:
     return form_pps(redundancy(cross_compare(runs, filters)), filters)
 
 
-def overlap_pairs(pps: DataFrame, least: float = 0.5) -> DataFrame:
-    """Runs of different parameters whose spans overlap by over ``least`` of their mean length.
+#: Weights of the parameters' matches where runs of different parameters are compared (fixed values, L, I, D, M).
+OVERLAP_WEIGHTS = (0.25, 0.5, 0.25, 0.5)
 
-    Spans are cut into cells as long as a line's longest run, so an interval meets
-    at most two cells and the join is an equi-join with a residual.
+
+def overlap_pairs(pps: DataFrame, least: float = 0.5, filters: Filters = DEFAULT) -> DataFrame:
+    """Runs of different parameters whose spans overlap by over ``least`` of their mean length, compared by L, I, D and M.
+
+    One sweep over the starts: runs of a parameter don't overlap, so of each other parameter at most one run is open where a run starts, the last that
+    started, and two runs overlap only if one is open at the other's start. One window finds it (runs that start together meet once),
+    so rows grow with the runs, however long one of them is. match weighs inverse match of I and direct matches of the others.
     """
-    spans = pps.select("line_id", "fork", "sign_fork", "param", "seg", F.col("x0").alias("lo"), (F.col("x0") + F.col("L")).alias("hi"), "L", "M", "D")
-    cell = F.max("L").over(Window.partitionBy("line_id", "fork", "sign_fork"))
-    cells = spans.withColumn("size", cell).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / F.col("size")), F.floor((F.col("hi") - 1) / F.col("size")))))
-    a, b = cells.alias("a"), cells.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("line_id", "fork", "sign_fork", "cell")]
-    order = F.create_map(*(x for k, p in enumerate(PARAMS) for x in (F.lit(p), F.lit(k))))
-    low = F.greatest("a.lo", "b.lo")
-    olp = F.least("a.hi", "b.hi") - low
-    met = a.join(b, [*on, order[F.col("a.param")] < order[F.col("b.param")], low < F.least("a.hi", "b.hi"), F.col("a.cell") == F.floor(low / F.col("a.size"))])
+    order = {p: k for k, p in enumerate(PARAMS)}
+    spans = pps.select("line_id", "fork", "sign_fork", "param", "seg", F.col("x0").alias("lo"), (F.col("x0") + F.col("L")).alias("hi"), "L", *(F.col(c).cast("double").alias(c) for c in "IDM"))
+    sweep = Window.partitionBy("line_id", "fork", "sign_fork").orderBy("lo").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.struct("param", "seg", "lo", "hi", "L", "I", "D", "M")
+    opened = spans.withColumns({f"open_{p}": F.last(F.when(F.col("param") == p, own), ignorenulls=True).over(sweep) for p in PARAMS})
+    rank = F.create_map(*(x for p, k in order.items() for x in (F.lit(p), F.lit(k))))
+    met = opened.withColumn("own", own).withColumn("o", F.explode(F.array(*(F.col(f"open_{p}") for p in PARAMS))))
+    met = met.where((F.col("o.hi") > F.col("lo")) & (F.col("o.param") != F.col("param")) & ((F.col("o.lo") < F.col("lo")) | (rank[F.col("o.param")] < rank[F.col("param")])))
+    first = rank[F.col("o.param")] < rank[F.col("param")]
+    both = met.select("line_id", "fork", "sign_fork", F.when(first, F.col("o")).otherwise(F.col("own")).alias("a"), F.when(first, F.col("own")).otherwise(F.col("o")).alias("b"))
+    olp = F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo")
     ratio = olp / ((F.col("a.L") + F.col("b.L")) / F.lit(2.0))
-    out = met.where(ratio > least)
-    return out.select("a.line_id", "a.fork", "a.sign_fork", F.col("a.param").alias("param_a"), F.col("a.seg").alias("seg_a"), F.col("b.param").alias("param_b"), F.col("b.seg").alias("seg_b"), olp.cast("long").alias("overlap"), (F.col("b.L") - F.col("a.L")).cast("long").alias("dL"))
+    match = difference = F.lit(0.0)
+    for p, weight in zip(PARAMS, OVERLAP_WEIGHTS):
+        x, y = F.col(f"a.{p}").cast("double"), F.col(f"b.{p}").cast("double")
+        match = match + F.lit(weight) * (inverse_match(y - x, filters.ave) if p == "I" else direct_match(x, y, filters.ave_min))
+        difference = difference + F.lit(weight) * (y - x)
+    return both.where(ratio > least).select(
+        "line_id", "fork", "sign_fork", F.col("a.param").alias("param_a"), F.col("a.seg").alias("seg_a"), F.col("b.param").alias("param_b"), F.col("b.seg").alias("seg_b"),
+        olp.cast("long").alias("overlap"), (F.col("b.L") - F.col("a.L")).cast("long").alias("dL"), ratio.alias("ratio"), match.alias("match"), difference.alias("difference"),
+    )
+
+
+def overlap_clusters(pairs: DataFrame, filters: Filters = DEFAULT) -> DataFrame:
+    """Overlapping pairs gathered over the parameters of their first runs, L, I and D in turn, while their match beats pp_M times all overlap so far.
+
+    After each parameter that has pairs the gathered match is tested: if it beats the sum of all pairs' overlap ratios up to there, a cluster of the parameters
+    gathered is put out and gathering goes on; else it starts again with nothing (the sum of overlap stays). Everything is a few
+    sums a line and sign, so pairs are pre-aggregated where they are.
+    """
+    key, firsts = ["line_id", "fork", "sign_fork"], PARAMS[:-1]
+    of = lambda c, p: F.coalesce(F.sum(F.when(F.col("param_a") == p, c)), F.lit(0))
+    sums = pairs.groupBy(*key).agg(*(of(F.lit(1), p).alias(f"n_{p}") for p in firsts), *(of(F.col(c), p).cast("double").alias(f"{c}_{p}") for c in ("match", "ratio", "difference") for p in firsts))
+    n, match, difference, ratio, gathered, kept = F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(""), []
+    for p in firsts:
+        some = F.col(f"n_{p}") > 0
+        n, match, difference, ratio = n + F.col(f"n_{p}"), match + F.col(f"match_{p}"), difference + F.col(f"difference_{p}"), ratio + F.col(f"ratio_{p}")
+        gathered = F.when(some, F.concat(gathered, F.lit(p))).otherwise(gathered)
+        good = match > F.lit(float(filters.pp_M)) * ratio
+        kept.append(F.when(some & good, F.struct(gathered.alias("params"), n.alias("n"), match.alias("match"), difference.alias("difference"), ratio.alias("overlap"))))
+        goes_on = good | ~some
+        n, match, difference, gathered = (F.when(goes_on, x).otherwise(F.lit(zero)) for x, zero in ((n, 0), (match, 0.0), (difference, 0.0), (gathered, "")))
+    return sums.select(*key, F.explode(F.array_compact(F.array(*kept))).alias("c")).select(*key, "c.*")
 
 
 def layer_sums(levels: DataFrame) -> DataFrame:

@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.filters import Filters
-from gradus.operators import params, runs
-from gradus.sources.tables import event_lines, order_lines
+from gradus.operators import params, runs, sublayers
+from gradus.plans.scratch import Scratch
+from gradus.sources.tables import event_lines, order_lines, vector_lines
 
 #: Median absolute step of the events is about 35.
 EVENTS = Filters(ave=35)
 #: Low costs, so that both increments take place on these data.
 LOW = Filters(ave=35, ave_M=-30, ave_D=1)
 ORDERS = Filters(ave=60)
+#: Steps of the vectors' values are about 20.
+VECTORS = Filters(ave=20, ave_M=-30, ave_D=1)
+#: Overlaps of runs of different parameters seldom match at the usual cost.
+OVERLAPS = Filters(ave=20, ave_min=0, pp_M=-2)
 
 EV = "line AS (SELECT user_id AS line_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS x, round(value)::BIGINT AS i FROM events)"
 OR = "line AS (SELECT o_custkey AS line_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS x, floor(o_totalprice / 1000)::BIGINT AS i FROM orders)"
 
+VE = "line AS (SELECT vec_id AS line_id, k - 1 AS x, floor(embedding[k]::DOUBLE * 128 + 128)::BIGINT AS i FROM embeddings, range(1, 65) AS r(k))"
+
 
 def derts_sql(source: str, ave: int) -> str:
     return f"""{source},
@@ -44,29 +51,39 @@ RUN_COLUMNS = "line_id, fork, seg, L, I, D, M::BIGINT AS M, Rdn, x0"
 SUB_COLUMNS = "line_id, parent, fork, seg, L, I, D, M::DOUBLE AS M, Rdn, x0"
 
 
-def _sub(gate: str, kind: str) -> str:
-    f = LOW
-    base = runs_sql(EV, f.ave) + f""",
-ok AS (SELECT * FROM run WHERE {gate}),
-own AS (
+def _increment(kind: str, f: Filters, name: str) -> str:
+    """CTEs up to {name}: derts of the range (r) or derivation (d) increment of the runs that qualify."""
+    gate = range_gate_sql(f) if kind == "r" else derivation_gate_sql(f)
+    out = f"""ok{kind} AS (SELECT * FROM run WHERE {gate}),
+own{kind} AS (
   SELECT mem.*, row_number() OVER (PARTITION BY mem.line_id, mem.parent, mem.fork, mem.seg ORDER BY pos) - 1 AS nth
-  FROM member mem JOIN ok USING (line_id, parent, fork, seg)),
+  FROM member mem JOIN ok{kind} USING (line_id, parent, fork, seg)),
 """
     if kind == "r":
-        base += f"""taken AS (SELECT *, lag(i) OVER (PARTITION BY line_id, parent, fork, seg ORDER BY pos) AS prior FROM own WHERE nth % 2 = 0),
-sub AS (SELECT line_id, parent || fork || seg || 'r' AS parent, nth // 2 - 1 AS pos, i, p + prior AS p, d + i - prior AS d,
-         {2 * f.ave} - abs(d + i - prior) AS m, {2 * f.ave} - abs(d + i - prior) < 0 AS mrdn FROM taken WHERE prior IS NOT NULL),
+        return out + f"""taken{kind} AS (SELECT *, lag(i) OVER (PARTITION BY line_id, parent, fork, seg ORDER BY pos) AS prior FROM own{kind} WHERE nth % 2 = 0),
+{name} AS (SELECT line_id, parent || fork || seg || 'r' AS parent, nth // 2 - 1 AS pos, i, p + prior AS p, d + i - prior AS d,
+         {2 * f.ave} - abs(d + i - prior) AS m, {2 * f.ave} - abs(d + i - prior) < 0 AS mrdn FROM taken{kind} WHERE prior IS NOT NULL),
 """
-    else:
-        base += f"""taken AS (SELECT *, abs(d) AS a, lag(abs(d)) OVER (PARTITION BY line_id, parent, fork, seg ORDER BY pos) AS prior FROM own),
-sub AS (SELECT line_id, parent || fork || seg || 'd' AS parent, nth - 1 AS pos, d AS i, a + prior AS p, a - prior AS d,
-         least(a, prior) - abs((a - prior) / 2.0::DOUBLE) - {f.ave_min} AS m, least(a, prior) - abs((a - prior) / 2.0::DOUBLE) - {f.ave_min} < 0 AS mrdn FROM taken WHERE prior IS NOT NULL),
+    return out + f"""taken{kind} AS (SELECT *, abs(d) AS a, lag(abs(d)) OVER (PARTITION BY line_id, parent, fork, seg ORDER BY pos) AS prior FROM own{kind}),
+{name} AS (SELECT line_id, parent || fork || seg || 'd' AS parent, nth - 1 AS pos, d AS i, a + prior AS p, a - prior AS d,
+         least(a, prior) - abs((a - prior) / 2.0::DOUBLE) - {f.ave_min} AS m, least(a, prior) - abs((a - prior) / 2.0::DOUBLE) - {f.ave_min} < 0 AS mrdn FROM taken{kind} WHERE prior IS NOT NULL),
 """
-    return base + runs_sql("", 0, "sub", "2")
 
 
-RANGE_GATE = f"M - Rdn * ({LOW.ave_M}) * L > ({LOW.ave_M}) AND L > 2"
-DERIVATION_GATE = f"abs(D) - (L - Rdn) * {LOW.ave_D} * L > {LOW.ave_D} AND L > 1"
+def range_gate_sql(f: Filters) -> str:
+    return f"M - Rdn * ({f.ave_M}) * L > ({f.ave_M}) AND L > 2"
+
+
+def derivation_gate_sql(f: Filters) -> str:
+    return f"abs(D) - (L - Rdn) * {f.ave_D} * L > {f.ave_D} AND L > 1"
+
+
+def _sub(kind: str) -> str:
+    return runs_sql(EV, LOW.ave) + ",\n" + _increment(kind, LOW, "sub") + runs_sql("", 0, "sub", "2")
+
+
+RANGE_GATE = range_gate_sql(LOW)
+DERIVATION_GATE = derivation_gate_sql(LOW)
 
 
 def _event_runs(spark, sf, f=EVENTS):
@@ -170,7 +187,43 @@ def l2_pp_runs(spark, sf):
 
 
 def l2_overlap_pairs(spark, sf):
-    return params.overlap_pairs(params.second_level(_event_runs(spark, sf), EVENTS))
+    found = params.overlap_pairs(params.second_level(_event_runs(spark, sf), EVENTS))
+    return found.drop("ratio", "match", "difference")
+
+
+def _vector_levels(spark, sf):
+    """Top runs of the vectors' lines and their first sublayer."""
+    levels = runs.run_levels(runs.adjacent_compare(vector_lines(spark, sf), VECTORS), VECTORS, depth=2)
+    return Scratch(spark, "vectors").save(levels, "levels")
+
+
+def l2_sub_pairs(spark, sf):
+    levels = _vector_levels(spark, sf)
+    found = sublayers.sub_pairs(levels, sublayers.compared_pairs(levels, VECTORS), VECTORS)
+    return _rounded(found, *(f"{v}_{p}" for v in "dm" for p in params.PARAMS))
+
+
+def l2_sublayers(spark, sf):
+    scratch, levels = Scratch(spark, "sublayers"), _vector_levels(spark, sf)
+    pairs = scratch.save(sublayers.compared_pairs(levels, VECTORS), "pairs")
+    found = scratch.save(sublayers.sub_pairs(levels, pairs, VECTORS), "found")
+    positive = sublayers.sub_runs(found).where("M > 0").groupBy(*sublayers.PAIR).agg(F.count("*").alias("n_runs"), F.sum("L").alias("runs_L"))
+    out = sublayers.pair_values(pairs, found, VECTORS).join(positive, sublayers.PAIR, "left").fillna(0, ["n_runs", "runs_L"])
+    return out.withColumns({c: F.round(c, 6) + 0.0 for c in ("root_v", "match", "difference")})
+
+
+def _vector_overlaps(spark, sf):
+    found = params.form_pps(params.redundancy(params.cross_compare(runs.form_runs(runs.adjacent_compare(vector_lines(spark, sf), VECTORS)), VECTORS)), VECTORS)
+    return params.overlap_pairs(found, filters=OVERLAPS)
+
+
+def l2_overlap_values(spark, sf):
+    return _vector_overlaps(spark, sf).withColumns({c: F.round(c, 6) + 0.0 for c in ("ratio", "match", "difference")})
+
+
+def l2_overlap_clusters(spark, sf):
+    found = params.overlap_clusters(_vector_overlaps(spark, sf), OVERLAPS)
+    return found.withColumns({c: F.round(c, 6) + 0.0 for c in ("match", "difference", "overlap")})
 
 
 def l2_fixed_range(spark, sf):
@@ -195,10 +248,12 @@ QUERIES = {
         l1_derts, l1_pm_runs, l1_pd_runs, l1_order_runs, l1_rng_gate, l1_der_gate, l1_rng2_runs, l1_der2_runs, l1_levels, l1_exclusive,
         l1_adjacent_match, l1_splice_value, l1_merged, l1_merged_in_order, l1_bilateral, l1_fuzzy, l1_rval_clusters, l1_length_percentiles,
         l1_recursion_counts, l2_param_derps, l2_redundancy, l2_pp_runs, l2_overlap_pairs, l2_fixed_range, l2_search_range, l2_linked_clusters, l2_layer_match,
+        l2_sub_pairs, l2_sublayers, l2_overlap_values, l2_overlap_clusters,
     )
 }
 
 _EV_RUNS = "WITH " + runs_sql(EV, EVENTS.ave)
+_VE_RUNS = "WITH " + runs_sql(VE, VECTORS.ave)
 _LOW_RUNS = "WITH " + runs_sql(EV, LOW.ave)
 _A = EVENTS.ave_params
 _DERPS = _EV_RUNS + f""",
@@ -246,15 +301,100 @@ g AS (SELECT *, abs((v1 + v3) / CASE WHEN v2 = 0 THEN 0.1::DOUBLE ELSE v2 END) A
 SELECT line_id, fork, seg, round((least(a1, a3) - abs(a3 - a1) / 2) * cont / CASE WHEN gap = 0 THEN 0.1::DOUBLE ELSE gap END, 6) AS splice FROM g"""
 _DIST = "(VALUES (1), (2), (3)) AS k(k)"
 
+def _match(p: str, a: str, b: str, ave: float) -> str:
+    """Match of parameter p of two runs."""
+    if p == "L":
+        r = f"greatest({b} / {a}, 1.0::DOUBLE / ({b} / {a}))"
+        return f"floor({r}) * least({a}, {b}) - (floor({r}) * ({r} - floor({r}))) / 2.0::DOUBLE - {ave}::DOUBLE"
+    return f"{ave}::DOUBLE - abs({b} - {a})" if p == "I" else f"least({a}, {b}) - abs({b} - {a}) / 2.0::DOUBLE - {ave}::DOUBLE"
+
+
+def _difference(p: str, a: str, b: str) -> str:
+    return f"{b} / {a}" if p == "L" else f"{b} - {a}"
+
+
+_P = list(zip(params.PARAMS, VECTORS.ave_params))
+_CUT = float(VECTORS.pp_D)
+_MV = " + ".join(f"greatest({_match(p, f'a.{p}', f'b.{p}', v)}, 0.0::DOUBLE)" for p, v in _P)
+_DV = " + ".join(f"greatest(abs({_difference(p, f'a.{p}', f'b.{p}')}) - {_CUT}::DOUBLE, 0.0::DOUBLE)" for p, _ in _P)
+_OWN = " + ".join(f"greatest({_match(p, *((f'a.{p}::DOUBLE', f'b.{p}::DOUBLE') if p == 'L' else (f'(a.{p}::DOUBLE / a.L)', f'(b.{p}::DOUBLE / b.L)')), v)}, 0.0::DOUBLE)" for p, v in _P)
+_STOP = f"CASE fork WHEN 'd' THEN {VECTORS.pp_M * VECTORS.stop_D}::DOUBLE ELSE 0.0::DOUBLE END"
+_VALUE_SUB = f"(CASE fork WHEN 'd' THEN abs((a.D + b.D) / 2) - {_CUT}::DOUBLE * ((a.L + b.L) / 2) ELSE (a.M + b.M) / 2 END + a.root_v)"
+_SUB_PAIRS = f"""{_VE_RUNS},
+{_increment("r", VECTORS, "subr")}{_increment("d", VECTORS, "subd")}sub AS (SELECT line_id, parent, pos, i, p, d, m::DOUBLE AS m, mrdn FROM subr UNION ALL SELECT line_id, parent, pos, i, p, d, m::DOUBLE, mrdn FROM subd),
+{runs_sql("", 0, "sub", "2")},
+own AS (SELECT a.line_id, a.fork AS rf, a.seg AS n, least(a.L, b.L) AS least_L, b.Rdn AS rdn, {_OWN} AS root_v FROM run a JOIN run b ON b.line_id = a.line_id AND b.fork = a.fork AND b.seg = a.seg + 1),
+sr AS (
+  SELECT line_id, regexp_extract(parent, '^([md])(\\d+)([rd])$', 1) AS rf, regexp_extract(parent, '^([md])(\\d+)([rd])$', 2)::BIGINT AS run, regexp_extract(parent, '^([md])(\\d+)([rd])$', 3) AS kind, fork, seg,
+         L::DOUBLE AS L, I::DOUBLE AS I, D::DOUBLE AS D, M::DOUBLE AS M, x0 + L / 2 AS centre FROM run2),
+ly AS (SELECT line_id, rf, run, fork, sum(L) AS L, sum(I) AS I, sum(D) AS D, sum(M) AS M FROM sr GROUP BY ALL),
+lv AS (
+  SELECT a.line_id, a.rf, a.run AS n, coalesce(sum(CASE a.fork WHEN 'm' THEN {_MV} END), 0) AS value_m, coalesce(sum(CASE a.fork WHEN 'd' THEN {_DV} END), 0) AS value_d
+  FROM ly a JOIN ly b ON b.line_id = a.line_id AND b.rf = a.rf AND b.run = a.run + 1 AND b.fork = a.fork GROUP BY ALL),
+pairs AS (SELECT own.*, value_m, value_d FROM own JOIN lv USING (line_id, rf, n)),
+sa AS (SELECT sr.*, run AS n, root_v FROM sr JOIN pairs ON pairs.line_id = sr.line_id AND pairs.rf = sr.rf AND pairs.n = run WHERE least_L > {VECTORS.ave_Ls} AND CASE fork WHEN 'd' THEN value_d ELSE value_m END + root_v > ({_STOP}) * rdn),
+sc AS (
+  SELECT a.line_id, a.rf, a.n, a.kind, fork, a.seg AS seg_a, b.seg AS seg_b, CASE WHEN b.centre >= a.centre THEN 1 ELSE -1 END AS side, b.centre AS cb,
+         {_VALUE_SUB} * (abs(b.centre - a.centre) / ((a.L + b.L) / 2)) * 2 > {_STOP} AS ok, {", ".join(f"{_difference(p, f'a.{p}', f'b.{p}')} AS d_{p}, {_match(p, f'a.{p}', f'b.{p}', v)} AS m_{p}" for p, v in _P)},
+         {_MV} AS mv, {_DV} AS dv
+  FROM sa a JOIN sr b USING (fork) WHERE b.line_id = a.line_id AND b.rf = a.rf AND b.run = a.n + 1 AND b.kind = a.kind),
+sw AS (
+  SELECT *, min(ok::INT) OVER s AS open, row_number() OVER s - 1 AS step FROM sc
+  WINDOW s AS (PARTITION BY line_id, rf, n, kind, fork, seg_a, side ORDER BY side * cb, side * seg_b)),
+found AS (SELECT * FROM sw WHERE open = 1)"""
+
+
+def _pps_sql(runs_of: str) -> str:
+    """The CTEs of _PPS over other runs."""
+    return _PPS.replace(_EV_RUNS, runs_of)
+
+
+_OLP = " + ".join(
+    f"{w}::DOUBLE * ({f'{OVERLAPS.ave} - abs(b.I - a.I)' if p == 'I' else f'least(a.{p}::DOUBLE, b.{p}::DOUBLE) - abs(b.{p} - a.{p}) / 2.0::DOUBLE - {OVERLAPS.ave_min}'})" for p, w in zip(params.PARAMS, params.OVERLAP_WEIGHTS)
+)
+_OLD = " + ".join(f"{w}::DOUBLE * (b.{p} - a.{p})" for p, w in zip(params.PARAMS, params.OVERLAP_WEIGHTS))
+_OVERLAPS = f"""{_pps_sql(_VE_RUNS).replace("sum(d ORDER BY pos) AS D", "sum(p ORDER BY pos) AS I, sum(d ORDER BY pos) AS D")},
+sp AS (SELECT *, x0 AS lo, x0 + L AS hi, position(param IN 'LIDM') AS o FROM pp),
+olp AS (
+  SELECT a.line_id, a.fork, a.sign_fork, a.param AS param_a, a.seg AS seg_a, b.param AS param_b, b.seg AS seg_b, (least(a.hi, b.hi) - greatest(a.lo, b.lo))::BIGINT AS overlap, (b.L - a.L)::BIGINT AS dL,
+         (least(a.hi, b.hi) - greatest(a.lo, b.lo)) / ((a.L + b.L) / 2.0::DOUBLE) AS ratio, {_OLP} AS match, {_OLD} AS difference
+  FROM sp a JOIN sp b ON a.line_id = b.line_id AND a.fork = b.fork AND a.sign_fork = b.sign_fork AND a.o < b.o AND greatest(a.lo, b.lo) < least(a.hi, b.hi)
+  WHERE (least(a.hi, b.hi) - greatest(a.lo, b.lo)) / ((a.L + b.L) / 2.0::DOUBLE) > 0.5)"""
+
+
+def _clusters_sql() -> str:
+    """The gathering over L, I and D, one CTE a parameter."""
+    sums = ", ".join(f"coalesce(sum({c}) FILTER (param_a = '{p}'), 0) AS {n}_{p}" for p in "LID" for c, n in (("1", "n"), ("match", "m"), ("difference", "d"), ("ratio", "r")))
+    out = f"{_OVERLAPS},\nt0 AS (SELECT line_id, fork, sign_fork, 0 AS n, 0.0::DOUBLE AS match, 0.0::DOUBLE AS difference, 0.0::DOUBLE AS overlap, '' AS params, false AS good, {sums} FROM olp GROUP BY ALL)"
+    for k, p in enumerate("LID", 1):
+        out += f""",
+u{k} AS (SELECT * REPLACE (n + n_{p} AS n, match + m_{p} AS match, difference + d_{p} AS difference, overlap + r_{p} AS overlap, params || CASE WHEN n_{p} > 0 THEN '{p}' ELSE '' END AS params, match + m_{p} > {float(OVERLAPS.pp_M)} * (overlap + r_{p}) AS good) FROM t{k - 1}),
+t{k} AS (SELECT * REPLACE (CASE WHEN good OR n_{p} = 0 THEN n ELSE 0 END AS n, CASE WHEN good OR n_{p} = 0 THEN match ELSE 0 END AS match, CASE WHEN good OR n_{p} = 0 THEN difference ELSE 0 END AS difference, CASE WHEN good OR n_{p} = 0 THEN params ELSE '' END AS params) FROM u{k})"""
+    return out + "\n" + " UNION ALL ".join(f"SELECT line_id, fork, sign_fork, params, n::BIGINT AS n, round(match, 6) + 0.0 AS match, round(difference, 6) + 0.0 AS difference, round(overlap, 6) + 0.0 AS overlap FROM u{k} WHERE good AND n_{p} > 0" for k, p in enumerate("LID", 1))
+
+
 ORACLES = {
+    "l2_sub_pairs": f"""{_SUB_PAIRS} SELECT line_id, rf, n, kind, fork, seg_a, seg_b, side::INT AS side, step::BIGINT AS step, {", ".join(f"round({v}_{p}, 4) + 0.0 AS {v}_{p}" for v in "dm" for p, _ in _P)} FROM found""",
+    "l2_sublayers": f"""{_SUB_PAIRS},
+s AS (SELECT line_id, rf, n, sum(mv) AS m, sum(dv) AS d, count(*) AS n_subs FROM found GROUP BY ALL),
+lo AS (SELECT line_id, rf, n, kind, fork, seg_a, side, step, unnest(['L', 'I', 'D', 'M']) AS param, unnest([m_L, m_I, m_D, m_M]) AS m FROM found),
+lc AS (SELECT *, coalesce((m > 0) <> lag(m > 0) OVER w, true)::INT AS c FROM lo WINDOW w AS (PARTITION BY line_id, rf, n, kind, fork, seg_a, param ORDER BY -side, step)),
+ln AS (SELECT *, sum(c) OVER (PARTITION BY line_id, rf, n, kind, fork, seg_a, param ORDER BY -side, step) AS pp FROM lc),
+lr AS (SELECT line_id, rf, n, count(*) AS L, sum(m) AS M FROM ln GROUP BY line_id, rf, n, kind, fork, seg_a, param, pp),
+lp AS (SELECT line_id, rf, n, count(*) AS n_runs, sum(L)::BIGINT AS runs_L FROM lr WHERE M > 0 GROUP BY ALL)
+SELECT pairs.line_id, pairs.rf, pairs.n, round(root_v, 6) + 0.0 AS root_v, round(value_m + coalesce(m, 0), 6) + 0.0 AS match, round(value_d + coalesce(d, 0), 6) + 0.0 AS difference,
+       coalesce(n_subs, 0)::BIGINT AS n_subs, coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(runs_L, 0)::BIGINT AS runs_L
+FROM pairs LEFT JOIN s USING (line_id, rf, n) LEFT JOIN lp USING (line_id, rf, n)""",
+    "l2_overlap_values": f"{_OVERLAPS} SELECT * REPLACE (round(ratio, 6) + 0.0 AS ratio, round(match, 6) + 0.0 AS match, round(difference, 6) + 0.0 AS difference) FROM olp",
+    "l2_overlap_clusters": _clusters_sql(),
     "l1_derts": f"WITH {derts_sql(EV, EVENTS.ave)} SELECT line_id, pos, i, p, d, m, mrdn FROM dert",
     "l1_pm_runs": f"{_EV_RUNS} SELECT {RUN_COLUMNS} FROM run WHERE fork = 'm'",
     "l1_pd_runs": f"{_EV_RUNS} SELECT {RUN_COLUMNS} FROM run WHERE fork = 'd'",
     "l1_order_runs": f"WITH {runs_sql(OR, ORDERS.ave)} SELECT {RUN_COLUMNS} FROM run",
     "l1_rng_gate": f"{_LOW_RUNS} SELECT {RUN_COLUMNS} FROM run WHERE {RANGE_GATE}",
     "l1_der_gate": f"{_LOW_RUNS} SELECT {RUN_COLUMNS} FROM run WHERE {DERIVATION_GATE}",
-    "l1_rng2_runs": f"WITH {_sub(RANGE_GATE, 'r')} SELECT {SUB_COLUMNS} FROM run2",
-    "l1_der2_runs": f"WITH {_sub(DERIVATION_GATE, 'd')} SELECT {SUB_COLUMNS} FROM run2",
+    "l1_rng2_runs": f"WITH {_sub('r')} SELECT {SUB_COLUMNS} FROM run2",
+    "l1_der2_runs": f"WITH {_sub('d')} SELECT {SUB_COLUMNS} FROM run2",
     "l1_adjacent_match": f"""{_EV_RUNS} SELECT line_id, seg, M::BIGINT AS M,
   (coalesce(abs(lag(M) OVER w), 0) + coalesce(abs(lead(M) OVER w), 0))::DOUBLE / 2 AS adj_M
 FROM run WHERE fork = 'm' WINDOW w AS (PARTITION BY line_id ORDER BY seg)""",

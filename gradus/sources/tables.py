@@ -31,6 +31,12 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], F.floor(F.col("o_totalprice") / 1000))
 
 
+def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line a vector: floor(128 v + 128) by place, as a row of embedding_frames."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("line_id"), F.posexplode("embedding").alias("x", "v"))
+    return e.select("line_id", F.col("x").cast("long").alias("x"), F.floor(F.col("v").cast("double") * 128 + 128).cast("long").alias("i"))
+
+
 def embedding_frames(spark: SparkSession, sf_dir: str, side: int = 64) -> DataFrame:
     """Square frames of ``side`` vectors, one a row; i = floor(128 v + 128)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "v"))
