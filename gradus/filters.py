@@ -23,6 +23,10 @@ class Filters:
     # grids
     ave_g: int = 30
     ave_r: int = 10
+    # blobs compared over distance: costs of intensity, angle, gradient and size fall by the power of ave_rM; a search goes on above ave_mB
+    ave_blob: tuple[float, float, float, float] = (15, 0.5, 2, 1)
+    ave_rM: float = 0.7
+    ave_mB: float = 10
     # edges, slices
     ave_I: float = 10
     ave_G: float = 10

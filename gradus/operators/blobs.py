@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.filters import DEFAULT, Filters
@@ -24,12 +24,12 @@ from gradus.plans.scratch import Scratch, rounds
 STRIDE = 1 << 31
 
 
-def row_segments(derts: DataFrame) -> DataFrame:
-    """Runs of one sign within a row (a missing pixel ends a run): seg_id, y, lo, hi and the sums of its pixels."""
+def row_segments(derts: DataFrame, *more: Column) -> DataFrame:
+    """Runs of one sign within a row (a missing pixel ends a run): seg_id, y, lo, hi and the sums of its pixels, and any further sums."""
     w = Window.partitionBy("frame_id", "y").orderBy("x")
     new = F.coalesce((F.col("s") != F.lag("s").over(w)) | (F.col("x") != F.lag("x").over(w) + 1), F.lit(True))
     cut = derts.withColumn("_new", new.cast("long")).withColumn("seg", F.sum("_new").over(w) - 1)
-    return cut.groupBy("frame_id", "y", "seg", "s").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.sum("i").alias("I")).withColumn("seg_id", F.col("y") * STRIDE + F.col("lo"))
+    return cut.groupBy("frame_id", "y", "seg", "s").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.sum("i").alias("I"), *more).withColumn("seg_id", F.col("y") * STRIDE + F.col("lo"))
 
 
 def segment_links(segments: DataFrame) -> DataFrame:
@@ -112,13 +112,21 @@ def frame_sums(blobs: DataFrame) -> DataFrame:
 def adjacency(labelled: DataFrame, conn: int = 8) -> DataFrame:
     """Pairs of opposite-sign blobs with touching pixels, in both directions.
 
-    A pixel is sent to half of its neighbours (each touching pair is met once).
+    Pixels are first gathered to row segments. Segments of a row that follow each other without a gap touch; those of a
+    row and of the next are swept together by their starts: of each row and sign at most one segment is open where another begins
+    (segments of a sign lie at least a pixel apart), so one window finds the touching ones, and rows grow with the segments.
     """
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if conn == 8 else [])
-    offsets = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps))
-    slim = labelled.select(*PIXEL, "s", "blob_id")
-    sent = slim.withColumn("o", F.explode(offsets)).select("frame_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("s").alias("s_a"), F.col("blob_id").alias("a"))
-    met = sent.join(slim.withColumnRenamed("blob_id", "b"), PIXEL).where("s_a <> s").select("frame_id", "a", "b").distinct()
+    reach = 1 if conn == 8 else 0
+    segments = row_segments(labelled, F.first("blob_id").alias("blob")).select("frame_id", "y", "s", F.col("lo").cast("long").alias("lo"), "hi", "blob")
+    along = Window.partitionBy("frame_id", "y").orderBy("lo")
+    beside = segments.select("frame_id", F.col("blob").alias("a"), F.when((F.lead("lo").over(along) == F.col("hi") + 1) & (F.lead("s").over(along) != F.col("s")), F.lead("blob").over(along)).alias("b")).where("b is not null")
+    both = segments.withColumn("r", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("y", F.col("y") - F.col("r"))
+    sweep = Window.partitionBy("frame_id", "y").orderBy("lo").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda row, sign: F.last(F.when((F.col("r") == row) & (F.col("s") == sign), F.struct("hi", "blob")), ignorenulls=True).over(sweep)
+    open_ = both.withColumns({f"o{r}{int(s)}": last(r, s) for r in (0, 1) for s in (False, True)})
+    other = F.when((F.col("r") == 0) & F.col("s"), F.col("o10")).when(F.col("r") == 0, F.col("o11")).when(F.col("s"), F.col("o00")).otherwise(F.col("o01"))
+    above = open_.withColumn("o", other).where(F.col("o.hi") + reach >= F.col("lo")).select("frame_id", F.col("blob").alias("a"), F.col("o.blob").alias("b"))
+    met = beside.unionByName(above)
     return met.union(met.select("frame_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 

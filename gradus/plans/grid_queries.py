@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.filters import Filters
-from gradus.operators import blobs, stencil
+from gradus.operators import blobs, reach, stencil
 from gradus.plans.scratch import Scratch
 from gradus.sources import tables
 
 GRID = Filters(ave_g=15)
+#: Blobs of sizeable match search on past their neighbours.
+REACH = Filters(ave_g=15, ave_mB=20)
 
 
 def _pixels(spark, sf):
@@ -115,6 +117,12 @@ def blob_pair_compare(spark, sf):
     return blobs.compare_blobs(blobs.adjacency(labelled), sums, GRID).select("frame_id", "a", "b", F.round(F.col("m") * 100).cast("long").alias("m"))
 
 
+def blob_reach(spark, sf):
+    labelled, sums = _blobs(spark, sf)
+    found = reach.decayed_search(blobs.adjacency(labelled), sums, REACH)
+    return found.withColumns({c: F.round(c, 4) + 0.0 for c in ("distance", "neg", "m", "d")})
+
+
 def blob_graphs(spark, sf):
     labelled, sums = _blobs(spark, sf)
     return blobs.blob_graphs(spark, blobs.compare_blobs(blobs.adjacency(labelled), sums, GRID))
@@ -140,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         px_gradient_3x3, px_gradient_2x2, px_ternary, px_hybrid_match, px_ring_compare, px_sparse_sobel, px_angle, px_gradient_of_gradient, px_filter_bank, px_tile, px_splice_rows,
-        blob_labels, blob_params, blob_frame_sums, blob_adjacency, blob_pose, row_segments, segment_links, blob_pair_compare, blob_graphs, blob_intra, blob_direction, blob_flow, blob_angle_deviation,
+        blob_labels, blob_params, blob_frame_sums, blob_adjacency, blob_pose, row_segments, segment_links, blob_pair_compare, blob_reach, blob_graphs, blob_intra, blob_direction, blob_flow, blob_angle_deviation,
     )
 }
 
@@ -196,6 +204,25 @@ pr AS (
 pc AS (
   SELECT frame_id, a, b, round({GRID.ave_g} - abs(di) + (co + 1) / 2 + least(ga, gb) - abs(gb - ga) / 2
          + least(ln(1 + aa::DOUBLE), ln(1 + ab::DOUBLE)) - abs(ln(1 + ab::DOUBLE) - ln(1 + aa::DOUBLE)) / 2, 4) AS m FROM pr)"""
+_B = [f"{float(x)}::DOUBLE" for x in REACH.ave_blob]
+#: Ways by the best first: open ends of the last round meet neighbours that their blob hasn't met.
+_REACH = f"""{_ADJ},
+ft AS (
+  SELECT frame_id, blob_id, area::DOUBLE AS area, {float(REACH.ave_g)}::DOUBLE * area - G1000 / 1000.0::DOUBLE AS M, I / area::DOUBLE AS i, atan2(Dy4::DOUBLE, Dx4::DOUBLE) AS angle,
+         G1000 / area::DOUBLE / 1000.0::DOUBLE AS g, ln(1 + area::DOUBLE) AS size FROM blob),
+met(frame_id, a, b, hop, distance, neg, m, d, goes, live) USING KEY (frame_id, a, b) AS (
+  SELECT frame_id, blob_id, blob_id, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, true FROM ft
+  UNION
+  SELECT frame_id, a, b, hop, distance, neg, m, d, q.distance + sqrt(b_area), m <= 0 AND a_M + neg + m > {REACH.ave_mB} FROM (
+    SELECT w.*, p.M AS a_M, t.area AS b_area,
+           ({_B[0]} * k - abs(t.i - p.i)) + ((cos(t.angle - p.angle) + 1) / 2 - {_B[1]} * k) + (least(p.g, t.g) - abs(t.g - p.g) / 2 - {_B[2]} * k) + (least(p.size, t.size) - abs(t.size - p.size) / 2 - {_B[3]} * k) AS m,
+           abs(t.i - p.i) + (1.0::DOUBLE - (cos(t.angle - p.angle) + 1) / 2) + abs(t.g - p.g) AS d
+    FROM (
+      SELECT *, pow({REACH.ave_rM}::DOUBLE, (1 + distance) / sqrt((SELECT area FROM ft WHERE ft.frame_id = x.frame_id AND blob_id = a))) AS k FROM (
+        SELECT c.frame_id, c.a, adj.b, c.hop + 1 AS hop, arg_min(c.goes, (-(c.neg + c.m), c.goes, c.b)) AS distance, arg_min(c.neg + c.m, (-(c.neg + c.m), c.goes, c.b)) AS neg
+        FROM met c JOIN adj ON adj.frame_id = c.frame_id AND adj.a = c.b LEFT JOIN recurring.met r ON r.frame_id = c.frame_id AND r.a = c.a AND r.b = adj.b
+        WHERE c.live AND r.a IS NULL GROUP BY c.frame_id, c.a, adj.b, c.hop) x) w
+    JOIN ft p ON p.frame_id = w.frame_id AND p.blob_id = w.a JOIN ft t ON t.frame_id = w.frame_id AND t.blob_id = w.b) q)"""
 _k = lambda e, n: f"round(({e}) * 1000)::BIGINT AS {n}"
 _UNIT = f"""{PX}, {window_sql(2)},
 gd AS (SELECT frame_id, y, x, (i10 + i11) - (i00 + i01) AS dy, (i01 + i11) - (i00 + i10) AS dx FROM w),
@@ -238,6 +265,7 @@ FROM adj JOIN blob p ON p.frame_id = adj.frame_id AND p.blob_id = a JOIN blob q
     "row_segments": f"{_SEG} SELECT frame_id, y, seg, s, lo, hi, n, I FROM seg",
     "segment_links": f"{_SEG} SELECT a.frame_id, a.seg_id AS a, b.seg_id AS b FROM seg a JOIN seg b ON a.frame_id = b.frame_id AND b.y = a.y + 1 AND a.s = b.s AND a.lo <= b.hi + a.s::INT AND b.lo <= a.hi + a.s::INT",
     "blob_pair_compare": f"{_PAIR} SELECT frame_id, a, b, round(m * 100)::BIGINT AS m FROM pc",
+    "blob_reach": f"""{_REACH} SELECT frame_id, a, b, hop::INT AS hop, {", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("distance", "neg", "m", "d"))} FROM met WHERE hop > 0""",
     "blob_flow": f"""WITH {_DERT}, t AS (SELECT *, ((round_even(atan2(dy4::DOUBLE, dx4::DOUBLE) / (pi() / 4), 0)::INT % 8) + 8) % 8 AS k FROM dert),
 m AS (SELECT frame_id, y, x, y + [0, 1, 1, 1, 0, -1, -1, -1][k + 1] AS ty, x + [1, 1, 0, -1, -1, -1, 0, 1][k + 1] AS tx FROM t),
 c AS (SELECT frame_id, ty AS y, tx AS x, count(*) AS n_in FROM m GROUP BY ALL)
