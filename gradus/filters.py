@@ -27,6 +27,9 @@ class Filters:
     ave_blob: tuple[float, float, float, float] = (15, 0.5, 2, 1)
     ave_rM: float = 0.7
     ave_mB: float = 10
+    # regions of a direction: weak under ave_dir a pixel, spliced above ave_dir_splice in all
+    ave_dir: float = 10
+    ave_dir_splice: float = 100
     # edges, slices
     ave_I: float = 10
     ave_G: float = 10

@@ -24,33 +24,36 @@ from gradus.plans.scratch import Scratch, rounds
 STRIDE = 1 << 31
 
 
-def row_segments(derts: DataFrame, *more: Column) -> DataFrame:
-    """Runs of one sign within a row (a missing pixel ends a run): seg_id, y, lo, hi and the sums of its pixels, and any further sums."""
-    w = Window.partitionBy("frame_id", "y").orderBy("x")
+def row_segments(derts: DataFrame, *more: Column, within: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+    """Runs of one sign within a row (a missing pixel ends a run): seg_id, y, lo, hi and the sums of its pixels, and any further sums.
+
+    ``within`` names what a run, link or component doesn't leave: the frame, or the frame and a region's root.
+    """
+    w = Window.partitionBy(*within, "y").orderBy("x")
     new = F.coalesce((F.col("s") != F.lag("s").over(w)) | (F.col("x") != F.lag("x").over(w) + 1), F.lit(True))
     cut = derts.withColumn("_new", new.cast("long")).withColumn("seg", F.sum("_new").over(w) - 1)
-    return cut.groupBy("frame_id", "y", "seg", "s").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.sum("i").alias("I"), *more).withColumn("seg_id", F.col("y") * STRIDE + F.col("lo"))
+    return cut.groupBy(*within, "y", "seg", "s").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.sum("i").alias("I"), *more).withColumn("seg_id", F.col("y") * STRIDE + F.col("lo"))
 
 
-def segment_links(segments: DataFrame) -> DataFrame:
+def segment_links(segments: DataFrame, within: tuple[str, ...] = ("frame_id",)) -> DataFrame:
     """Pairs of segments of equal sign on adjacent rows that touch: for + diagonally too, for - by overlap."""
-    up = segments.select("frame_id", (F.col("y") + 1).alias("y"), "s", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("seg_id").alias("a"))
+    up = segments.select(*within, (F.col("y") + 1).alias("y"), "s", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("seg_id").alias("a"))
     reach = F.when(F.col("s"), 1).otherwise(0)
-    met = up.join(segments.select("frame_id", "y", "s", "lo", "hi", F.col("seg_id").alias("b")), ["frame_id", "y", "s"])
-    return met.where((F.col("a_lo") <= F.col("hi") + reach) & (F.col("lo") <= F.col("a_hi") + reach)).select("frame_id", "a", "b")
+    met = up.join(segments.select(*within, "y", "s", "lo", "hi", F.col("seg_id").alias("b")), [*within, "y", "s"])
+    return met.where((F.col("a_lo") <= F.col("hi") + reach) & (F.col("lo") <= F.col("a_hi") + reach)).select(*within, "a", "b")
 
 
-def label_by_segments(spark: SparkSession, derts: DataFrame) -> DataFrame:
+def label_by_segments(spark: SparkSession, derts: DataFrame, within: tuple[str, ...] = ("frame_id",)) -> DataFrame:
     """blob_id of every pixel: components over row segments, for frames of any size."""
-    segs = row_segments(derts)
-    key = lambda c: F.struct("frame_id", F.col(c).alias("id"))
-    edges = segment_links(segs).select(key("a").alias("a"), key("b").alias("b")).union(segs.select(key("seg_id"), key("seg_id")))
-    found = connected_components(spark, edges).select(F.col("node.frame_id").alias("frame_id"), F.col("node.id").alias("seg_id"), F.col("component.id").alias("blob_id"))
-    w = Window.partitionBy("frame_id", "y").orderBy("x")
+    segs = row_segments(derts, within=within)
+    key = lambda c: F.struct(*within, F.col(c).alias("id"))
+    edges = segment_links(segs, within).select(key("a").alias("a"), key("b").alias("b")).union(segs.select(key("seg_id"), key("seg_id")))
+    found = connected_components(spark, edges).select(*(F.col(f"node.{c}").alias(c) for c in within), F.col("node.id").alias("seg_id"), F.col("component.id").alias("blob_id"))
+    w = Window.partitionBy(*within, "y").orderBy("x")
     new = F.coalesce((F.col("s") != F.lag("s").over(w)) | (F.col("x") != F.lag("x").over(w) + 1), F.lit(True))
     start = F.last(F.when(new, F.col("x")), ignorenulls=True).over(w)
     own = derts.withColumn("seg_id", F.col("y") * STRIDE + start)
-    return own.join(found, ["frame_id", "seg_id"]).drop("seg_id")
+    return own.join(found, [*within, "seg_id"]).drop("seg_id")
 
 
 def _label_frame(y: np.ndarray, x: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -109,7 +112,7 @@ def frame_sums(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("frame_id").agg(F.count("*").alias("n_blobs"), *(F.sum(c).alias(c) for c in ("area", "I", "G1000", "Dy4", "Dx4")))
 
 
-def adjacency(labelled: DataFrame, conn: int = 8) -> DataFrame:
+def adjacency(labelled: DataFrame, conn: int = 8, within: tuple[str, ...] = ("frame_id",)) -> DataFrame:
     """Pairs of opposite-sign blobs with touching pixels, in both directions.
 
     Pixels are first gathered to row segments. Segments of a row that follow each other without a gap touch; those of a
@@ -117,17 +120,17 @@ def adjacency(labelled: DataFrame, conn: int = 8) -> DataFrame:
     (segments of a sign lie at least a pixel apart), so one window finds the touching ones, and rows grow with the segments.
     """
     reach = 1 if conn == 8 else 0
-    segments = row_segments(labelled, F.first("blob_id").alias("blob")).select("frame_id", "y", "s", F.col("lo").cast("long").alias("lo"), "hi", "blob")
-    along = Window.partitionBy("frame_id", "y").orderBy("lo")
-    beside = segments.select("frame_id", F.col("blob").alias("a"), F.when((F.lead("lo").over(along) == F.col("hi") + 1) & (F.lead("s").over(along) != F.col("s")), F.lead("blob").over(along)).alias("b")).where("b is not null")
+    segments = row_segments(labelled, F.first("blob_id").alias("blob"), within=within).select(*within, "y", "s", F.col("lo").cast("long").alias("lo"), "hi", "blob")
+    along = Window.partitionBy(*within, "y").orderBy("lo")
+    beside = segments.select(*within, F.col("blob").alias("a"), F.when((F.lead("lo").over(along) == F.col("hi") + 1) & (F.lead("s").over(along) != F.col("s")), F.lead("blob").over(along)).alias("b")).where("b is not null")
     both = segments.withColumn("r", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("y", F.col("y") - F.col("r"))
-    sweep = Window.partitionBy("frame_id", "y").orderBy("lo").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sweep = Window.partitionBy(*within, "y").orderBy("lo").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = lambda row, sign: F.last(F.when((F.col("r") == row) & (F.col("s") == sign), F.struct("hi", "blob")), ignorenulls=True).over(sweep)
     open_ = both.withColumns({f"o{r}{int(s)}": last(r, s) for r in (0, 1) for s in (False, True)})
     other = F.when((F.col("r") == 0) & F.col("s"), F.col("o10")).when(F.col("r") == 0, F.col("o11")).when(F.col("s"), F.col("o00")).otherwise(F.col("o01"))
-    above = open_.withColumn("o", other).where(F.col("o.hi") + reach >= F.col("lo")).select("frame_id", F.col("blob").alias("a"), F.col("o.blob").alias("b"))
+    above = open_.withColumn("o", other).where(F.col("o.hi") + reach >= F.col("lo")).select(*within, F.col("blob").alias("a"), F.col("o.blob").alias("b"))
     met = beside.unionByName(above)
-    return met.union(met.select("frame_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return met.union(met.select(*within, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
 def bind_pairs(pairs: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = ("frame_id",)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.filters import Filters
-from gradus.operators import blobs, reach, stencil
+from gradus.operators import blobs, merge, reach, stencil
 from gradus.plans.scratch import Scratch
 from gradus.sources import tables
 
@@ -136,6 +136,10 @@ def blob_direction(spark, sf):
     return blobs.direction_blobs(_derts(spark, sf)).groupBy("frame_id", "blob_id").agg(F.count("*").alias("area"), F.first("s").alias("s"))
 
 
+def blob_direction_merged(spark, sf):
+    return merge.merged_directions(spark, _blobs(spark, sf)[0], GRID)
+
+
 def blob_flow(spark, sf):
     return blobs.flow_successors(_derts(spark, sf))
 
@@ -148,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         px_gradient_3x3, px_gradient_2x2, px_ternary, px_hybrid_match, px_ring_compare, px_sparse_sobel, px_angle, px_gradient_of_gradient, px_filter_bank, px_tile, px_splice_rows,
-        blob_labels, blob_params, blob_frame_sums, blob_adjacency, blob_pose, row_segments, segment_links, blob_pair_compare, blob_reach, blob_graphs, blob_intra, blob_direction, blob_flow, blob_angle_deviation,
+        blob_labels, blob_params, blob_frame_sums, blob_adjacency, blob_pose, row_segments, segment_links, blob_pair_compare, blob_reach, blob_graphs, blob_intra, blob_direction, blob_direction_merged, blob_flow, blob_angle_deviation,
     )
 }
 
