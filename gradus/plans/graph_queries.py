@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.filters import Filters
-from gradus.operators import blobs, graph, hierarchy, params, slices, stencil
+from gradus.operators import blobs, density, graph, hierarchy, params, slices, stencil
 from gradus.plans.grid_queries import _DERT, _SEG, _SUMS, _blobs, _derts
 from gradus.plans.scratch import Scratch
 from gradus.plans.sequence_queries import EVENTS, _event_runs
 
 EDGES = Filters(ave_g=15, ave_G=15, ave_I=5, ave_dangle=0.8, ave_slice_m=5, ave_slice_d=1)
 GRAPH = Filters(ave_g=15, ave_node=5.0, max_dist=6)
+#: Connectivity sums links; a merge must be worth more than the mean of them.
+SEGMENTS = Filters(ave_g=15, ave_node=20.0, max_dist=6)
 
 
 def _edge_pixels(spark, sf):
@@ -83,19 +85,38 @@ def _graph(spark, sf):
     return nodes, scratch.save(graph.compare_nodes(graph.range_pairs(nodes, GRAPH.max_dist), nodes), "links")
 
 
+def _thousandths(df):
+    """Doubles to three digits (no -0.0), so that engines agree on them."""
+    return df.withColumns({f.name: F.round(f.name, 3) + 0.0 for f in df.schema if f.dataType.simpleString() == "double"})
+
+
 def pair_range(spark, sf):
     pairs = graph.range_pairs(_nodes(spark, sf), GRAPH.max_dist)
     return pairs.select("group", "a", "b", F.round(F.col("dist") * 1000).cast("long").alias("dist"))
 
 
 def pair_range_links(spark, sf):
-    cols = ("M", "D", "C", "I", "G", "L", "S")
-    links = _graph(spark, sf)[1]
-    return links.select("group", "a", "b", "c", *(F.round(f"{p}_{k}", 3).alias(f"{p}_{k}") for p in "md" for k in cols))
+    return _thousandths(_graph(spark, sf)[1]).drop("dist", "r")
 
 
 def link_rims(spark, sf):
-    return graph.rim_sums(_graph(spark, sf)[1])
+    return _thousandths(graph.rim_sums(_graph(spark, sf)[1]))
+
+
+def node_connectivity(spark, sf):
+    found = density.connectivity(_graph(spark, sf)[1], GRAPH, GRAPH.ave_node)
+    return found.withColumns({c: F.round(c, 4) + 0.0 for c in "vw"})
+
+
+def node_convolution(spark, sf):
+    found = density.convolved(_graph(spark, sf)[1], 3, GRAPH)
+    return found.withColumn("v", F.round("v", 4) + 0.0)
+
+
+def graph_segments(spark, sf):
+    links = _graph(spark, sf)[1]
+    nodes = Scratch(spark, "segments").save(density.connectivity(links, SEGMENTS), "nodes")
+    return density.segmented(spark, links, nodes, SEGMENTS)
 
 
 def link_decay(spark, sf):
@@ -120,7 +141,7 @@ def link_weights(spark, sf):
 
 
 def link_sums(spark, sf):
-    return graph.weighted_sums(_graph(spark, sf)[1])
+    return _thousandths(graph.weighted_sums(_graph(spark, sf)[1]))
 
 
 def link_bands(spark, sf):
@@ -263,7 +284,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edge_maxima, edge_slices, slice_links, slice_link_pairs, pp_clusters, interpolated_points, segment_slices, segment_chains, segment_dx,
-        pair_range, pair_range_links, link_rims, link_decay, link_gates, link_derivatives, link_errors, link_weights, link_sums, link_bands, link_gaps, link_sectors,
+        pair_range, pair_range_links, link_rims, node_connectivity, node_convolution, graph_segments, link_decay, link_gates, link_derivatives, link_errors, link_weights, link_sums, link_bands, link_gaps, link_sectors,
         node_maxima, node_cosines, node_projection, node_aggregate, exemplars, conn_clusters, merged_nodes, centroids, fuzzy_centroids, node_levels,
         focus_map, frame_expansion, operator_metrics, drift_segments, l3_levels, l2_spliced_runs, l2_derivations, cluster_forks, combined_forks, traced_edges,
         level_order, compared_hierarchies, weighted_overlap,
@@ -275,7 +296,7 @@ ep AS (SELECT lab.frame_id, lab.y, lab.x, lab.blob_id, lab.i, lab.dy4, lab.dx4,
 st AS (SELECT *, round_even(dy4 / greatest(sqrt(q::DOUBLE), 1e-7::DOUBLE), 0)::INT AS sy, round_even(dx4 / greatest(sqrt(q::DOUBLE), 1e-7::DOUBLE), 0)::INT AS sx FROM ep)"""
 _NODE = f"""{_SUMS},
 node AS (SELECT frame_id AS "group", frame_id * 8589934592 + blob_id // 2147483648 * 65536 + blob_id % 2147483648 AS node_id, Y / area AS y, X / area AS x, area::DOUBLE AS c, sqrt(area::DOUBLE) AS span, area::DOUBLE AS n,
-  ({1000 * GRAPH.ave_g} * area - G1000)::DOUBLE AS M, G1000::DOUBLE AS D, I::DOUBLE AS I, G1000::DOUBLE AS G FROM blob),
+  ({1000 * GRAPH.ave_g} * area - G1000)::DOUBLE AS M, G1000::DOUBLE AS D, I::DOUBLE AS I, G1000::DOUBLE AS G, Dy4::DOUBLE AS dy, Dx4::DOUBLE AS dx FROM blob),
 pair AS (
   SELECT p."group", p.node_id AS a, q.node_id AS b, sqrt((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x)) AS dist FROM node p JOIN node q ON p."group" = q."group" AND p.node_id < q.node_id
   WHERE (p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x) < {GRAPH.max_dist**2})"""
@@ -285,20 +306,75 @@ def _signed(a: str, b: str) -> str:
     return f"CASE WHEN ({a} < 0) <> ({b} < 0) THEN -least(abs({a}), abs({b})) ELSE least(abs({a}), abs({b})) END"
 
 
-def _compared() -> str:
-    out = []
+_TURN = "(atan2(p.dy, p.dx) - atan2(q.dy, q.dx))"
+
+
+def _terms() -> dict[str, tuple[str, str]]:
+    """Match and difference of each of the nine parameters."""
+    out = {}
     for k, name, scaled in (("M", "M", 1), ("D", "D", 1), ("C", "c", 0), ("I", "I", 1), ("G", "G", 1), ("L", "n", 1), ("S", "span", 0)):
         a, b = (f"p.{name} * (q.c / p.c)" if scaled else f"p.{name}"), f"q.{name}"
-        m = f"{float(graph.WEIGHT[k])}::DOUBLE - abs({a} - {b})" if k in ("I", "S") else _signed(a, b)
-        out += [f"round({m}, 3) AS m_{k}", f"round({a} - {b}, 3) AS d_{k}"]
-    return ", ".join(out)
+        out[k] = f"{float(graph.WEIGHT[k])}::DOUBLE - abs({a} - {b})" if k in ("I", "S") else _signed(a, b), f"{a} - {b}"
+    out["A"] = f"(cos(atan2(sin({_TURN}), cos({_TURN}))) + 1) / 2", f"atan2(sin({_TURN}), cos({_TURN})) / pi()"
+    return {k: out.get(k, ("0.0::DOUBLE", "0.0::DOUBLE")) for k in graph.PARAMS}
+
+
+def _value(m: str = "m_{}", d: str = "d_{}") -> str:
+    """Columns m and d of a link out of its nine matches and differences."""
+    part = lambda k: f"{m.format(k)} + abs({d.format(k)})"
+    match = " + ".join(f"{float(graph.WEIGHT[k])}::DOUBLE * {m.format(k)} / CASE WHEN {part(k)} = 0 THEN 1e-7::DOUBLE ELSE {part(k)} END" for k in graph.PARAMS)
+    return f"{match} AS m, ({' + '.join(f'{float(graph.WEIGHT[k])}::DOUBLE * abs({d.format(k)})' for k in graph.PARAMS)}) * ({match}) / 2 AS d"
+
+
+_LINK = f"""{_NODE},
+l0 AS (SELECT pair."group", a, b, dist, least(p.c, q.c) AS c, 1.0::DOUBLE AS r, {", ".join(f"{m} AS m_{k}, {d} AS d_{k}" for k, (m, d) in _terms().items())} FROM pair JOIN node p ON p.node_id = a JOIN node q ON q.node_id = b),
+link AS (SELECT *, {_value()} FROM l0),
+en0 AS (SELECT "group", a AS node_id, b AS other, m, d, c, r, dist FROM link UNION ALL SELECT "group", b, a, m, d, c, r, dist FROM link),
+en AS (SELECT "group", node_id, other, m, r, pow({GRAPH.decay}::DOUBLE, dist) AS w FROM en0 WHERE m > {GRAPH.ave_node}::DOUBLE * r)"""
+_SETTLED = "{}::DOUBLE * greatest(abs({}), 1.0::DOUBLE)"
+_CONNECTIVITY = f"""{_LINK},
+st(k, "group", node_id, n, v, w, tv, tw, live) AS (
+  SELECT 0, "group", node_id, count(*), sum(m), sum(r), 0.0::DOUBLE, 0.0::DOUBLE, true FROM en GROUP BY "group", node_id
+  UNION ALL
+  SELECT k + 1, "group", node_id, n, (v + gv / n) / 2, (w + gw / n) / 2, nv, nw, abs(nv - tv) > {GRAPH.ave_node}::DOUBLE * nn AND abs(nv - tv) > {_SETTLED.format(density.SETTLED, "tv")}
+  FROM (
+    SELECT *, sum(gv) OVER (PARTITION BY "group") AS nv, sum(gw) OVER (PARTITION BY "group") AS nw, count(*) OVER (PARTITION BY "group") AS nn FROM (
+      SELECT c.k, c."group", c.node_id, c.n, c.v, c.w, c.tv, c.tw, sum(o.v * e.w) AS gv, sum(o.w * e.w) AS gw
+      FROM st c JOIN en e ON e."group" = c."group" AND e.node_id = c.node_id JOIN st o ON o."group" = e."group" AND o.node_id = e.other WHERE c.live GROUP BY ALL)))"""
+
+
+def _convolution(layers: int) -> str:
+    """The rounds of density.convolved: kernels of all layers forward, then scaled from the top down."""
+    kernels = ['n0 AS (SELECT k, "group", node_id, v, v AS k0 FROM st WHERE live)']
+    for x in range(1, layers + 1):
+        kernels.append(f"""n{x} AS (SELECT c.*, (c.k{x - 1} + s) / (1.0::DOUBLE + p) AS k{x} FROM n{x - 1} c JOIN (
+        SELECT e."group", e.node_id, sum(o.k{x - 1} * e.w) AS s, sum(e.w) AS p FROM en e JOIN n{x - 1} o ON o."group" = e."group" AND o.node_id = e.other GROUP BY ALL) t USING ("group", node_id))""")
+    scaled = f"k{layers}"
+    for x in reversed(range(layers)):
+        kernels.append(f"""s{x} AS (SELECT * REPLACE (k{x} * (1.0::DOUBLE + {density.RIM_COEF}::DOUBLE * (CASE WHEN greatest(k{x}, {scaled}) > 0 THEN least(k{x}, {scaled}) / greatest(k{x}, {scaled}) ELSE 1.0::DOUBLE END - 1.0::DOUBLE)) AS k{x}) FROM {f's{x + 1}' if x + 1 < layers else f'n{layers}'})""")
+        scaled = f"k{x}"
+    return f"""{_LINK},
+st(k, "group", node_id, v, live) AS (
+  SELECT 0, "group", node_id, sum(m), true FROM en GROUP BY "group", node_id
+  UNION ALL (
+  WITH {", ".join(kernels)}
+  SELECT k + 1, "group", node_id, k0, sum(v) OVER g - sum(k0) OVER g > {GRAPH.ave_node}::DOUBLE * count(*) OVER g AND abs(sum(v) OVER g - sum(k0) OVER g) > {_SETTLED.format(density.SETTLED, "sum(v) OVER g")}
+  FROM s0 WINDOW g AS (PARTITION BY "group")))"""
 
 
 ORACLES = {
     "edge_maxima": f"""{_EDGE} SELECT e.frame_id, e.y, e.x, e.blob_id, e.dy4, e.dx4 FROM st e WHERE NOT EXISTS (
   SELECT 1 FROM st o WHERE o.frame_id = e.frame_id AND o.blob_id = e.blob_id AND o.q > e.q AND ((o.y = e.y + e.sy AND o.x = e.x + e.sx) OR (o.y = e.y - e.sy AND o.x = e.x - e.sx)))""",
     "pair_range": f"""{_NODE} SELECT "group", a, b, round(dist * 1000)::BIGINT AS dist FROM pair""",
-    "pair_range_links": f"""{_NODE} SELECT pair."group", a, b, least(p.c, q.c) AS c, {_compared()} FROM pair JOIN node p ON p.node_id = a JOIN node q ON q.node_id = b""",
+    "pair_range_links": f"""{_LINK} SELECT "group", a, b, c, {", ".join(f"round({x}_{k}, 3) + 0.0 AS {x}_{k}" for x in "md" for k in graph.PARAMS)}, round(m, 3) + 0.0 AS m, round(d, 3) + 0.0 AS d FROM link""",
+    "link_rims": f"""{_LINK} SELECT "group", node_id, count(*) AS n_links, round(sum(m * c) / sum(c), 3) + 0.0 AS rim_m, sum(c) AS rim_c, round(sum(CASE WHEN m > 0 THEN m ELSE 0 END), 3) + 0.0 AS M, round(sum(CASE WHEN m <= 0 AND d > 0 THEN d ELSE 0 END), 3) + 0.0 AS D FROM en0 GROUP BY "group", node_id""",
+    "link_gates": f"""{_LINK} SELECT "group", a, b, (CASE WHEN m > 20 THEN CASE WHEN m > 30 THEN CASE WHEN m > 36 THEN 3 ELSE 2 END ELSE 1 END ELSE 0 END)::INT AS gates FROM link""",
+    "link_sums": f"""{_LINK},
+s AS (SELECT "group", sum(c) AS c, {", ".join(f"sum({x}_{k} * c) / sum(c) AS {x}_{k}" for x in "md" for k in graph.PARAMS)} FROM link GROUP BY "group"),
+v AS (SELECT *, {_value()} FROM s)
+SELECT "group", c, {", ".join(f"round({x}_{k}, 3) + 0.0 AS {x}_{k}" for x in "md" for k in graph.PARAMS)}, round(m, 3) + 0.0 AS m, round(d, 3) + 0.0 AS d FROM v""",
+    "node_connectivity": f"""{_CONNECTIVITY} SELECT "group", node_id, n, round(v, 4) + 0.0 AS v, round(w, 4) + 0.0 AS w, k::INT AS round FROM st WHERE NOT live""",
+    "node_convolution": f"""{_convolution(3)} SELECT "group", node_id, round(v, 4) + 0.0 AS v, k::INT AS round FROM st WHERE NOT live""",
     "link_bands": f"""{_NODE} SELECT "group", floor(dist / 2.0::DOUBLE)::BIGINT AS band, count(*) AS n FROM pair GROUP BY ALL""",
     "node_aggregate": f"""{_NODE},
 own AS (SELECT *, node_id // 1024 * 1024 AS root FROM node),
