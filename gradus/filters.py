@@ -39,6 +39,9 @@ class Filters:
     # graphs
     ave_node: float = 0.3
     ave_node_d: float = 0.3
+    # centroids: worth more than ave_cent, stable under a mean difference of ave_cent_d
+    ave_cent: float = 0.45
+    ave_cent_d: float = 1
     max_dist: float = 20
     decay: float = 0.95
 

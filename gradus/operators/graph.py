@@ -8,6 +8,7 @@ L, S, E, dist, c, m, d.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -216,8 +217,11 @@ def prediction_error(links: DataFrame) -> DataFrame:
     return met.select("group", "a", "b", "m", expected.alias("expected"), (F.abs(F.col("m") - expected) / guarded(F.abs(expected))).alias("error"))
 
 
-def feature_weights(links: DataFrame, rounds: int = 12) -> DataFrame:
-    """Weights of each link's nine matches and nine differences: inverse deviation from their weighted mean, mean 1, iterated until the link's own weights have settled."""
+def feature_weights(links: DataFrame) -> DataFrame:
+    """Weights of each link's nine matches and nine differences: inverse deviation from their weighted mean, mean 1, iterated until the link's own weights have settled.
+
+    A link settles when its weights change by under 1e-6 in all, or are (to six digits) those of an earlier round, which would come round again.
+    """
 
     @F.pandas_udf("array<double>")
     def fit(*cols: pd.Series) -> pd.Series:
@@ -225,7 +229,8 @@ def feature_weights(links: DataFrame, rounds: int = 12) -> DataFrame:
         total = v.sum(1, keepdims=True)
         total[total == 0] = 1e-7
         w, settled = np.ones_like(v), np.zeros(len(v), bool)
-        for _ in range(rounds):
+        seen: list[set[bytes]] = [set() for _ in v]
+        for _ in rounds():
             share = v / total * w
             mean = share.mean(2, keepdims=True)
             mean[mean == 0] = 1e-7
@@ -233,6 +238,10 @@ def feature_weights(links: DataFrame, rounds: int = 12) -> DataFrame:
             inverse = np.minimum(share / mean, mean / safe)
             new = inverse / np.maximum(inverse.mean(2, keepdims=True), 1e-7)
             settled |= np.abs(new - w).sum((1, 2)) < 1e-6
+            for at in np.flatnonzero(~settled):
+                state = np.round(w[at], 6).tobytes()
+                settled[at] = state in seen[at]
+                seen[at].add(state)
             if settled.all():
                 break
             w = np.where(settled[:, None, None], w, new)
@@ -241,27 +250,87 @@ def feature_weights(links: DataFrame, rounds: int = 12) -> DataFrame:
     return links.select("group", "a", "b", fit(*(F.col(f"{p}_{k}") for p in "md" for k in PARAMS)).alias("weights"))
 
 
-def centroids(spark: SparkSession, nodes: DataFrame, seeds: DataFrame, links: DataFrame, filters: Filters = DEFAULT, rounds: int = 4) -> DataFrame:
-    """Overlapping centroid clusters: each seed gathers its linked nodes, becomes their match-weighted mean, and compares its frontier again.
+#: What a centroid averages over its members.
+FEATURES = ["c", "r", "span", "n", "M", "D", "I", "G", "dy", "dx", "y", "x"]
+CHANGE = 0.01
+
+
+def _means(weighed: DataFrame) -> DataFrame:
+    """(group, centroid, …) means of the members' features by their weight w."""
+    return weighed.groupBy("group", "centroid").agg(*((F.sum(F.col(f) * F.col("w")) / F.sum("w")).alias(f) for f in FEATURES))
+
+
+def _against_centroids(pairs: DataFrame, means: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(group, centroid, node_id, m, d, c, r) of pairs (group, centroid, node_id); c and r are the node's."""
+    named = means.select("group", F.col("centroid").alias("node_id"), *FEATURES)
+    found = _compare_tables(pairs.select("group", F.col("centroid").alias("a"), F.col("node_id").alias("b")), named, nodes)
+    found = found.select("group", F.col("a").alias("centroid"), F.col("b").alias("node_id"), "m", "d")
+    return found.join(nodes.select("group", "node_id", "c", "r"), ["group", "node_id"])
+
+
+def _signature(members: DataFrame) -> DataFrame:
+    """(group, signature): which members a group's centroids have."""
+    name = F.xxhash64("centroid", "node_id").cast("decimal(38,0)")
+    return members.groupBy("group").agg(F.concat_ws(":", F.count("*"), F.sum(name)).alias("signature"))
 
-    Members are weighted by c * m / sum(c * m). Rounds are fixed; each is written to
-    the shared folder. Returns (centroid, node_id, match) of the last round.
+
+def _judged(now: DataFrame, before: DataFrame | None, seen: DataFrame | None, change: float) -> DataFrame:
+    """(group, signature, settled): whether a group's matches and differences changed by at most that part, or its memberships are those of an earlier round."""
+    sizes = now.select("group", "centroid", "node_id", F.abs("m").alias("m"), F.abs("d").alias("d"))
+    if before is None:
+        moved = sizes.groupBy("group").agg((F.sum("m") + F.sum("d")).alias("moved"), (F.sum("m") + F.sum("d")).alias("total"))
+    else:
+        old = before.select("group", "centroid", "node_id", F.col("m").alias("old_m"), F.col("d").alias("old_d"))
+        zero = lambda x: F.coalesce(x, F.lit(0.0))
+        both = now.select("group", "centroid", "node_id", "m", "d").join(old, ["group", "centroid", "node_id"], "full")
+        step = F.abs(zero(F.col("m")) - zero(F.col("old_m"))) + F.abs(zero(F.col("d")) - zero(F.col("old_d")))
+        moved = both.groupBy("group").agg(F.sum(step).alias("moved"), F.sum(F.abs(zero(F.col("m"))) + F.abs(zero(F.col("d")))).alias("total"))
+    out = moved.join(_signature(now), "group", "left")
+    if seen is not None:
+        out = out.join(seen.select("group", "signature", F.lit(True).alias("again")).distinct(), ["group", "signature"], "left")
+        known = F.coalesce("again", F.lit(False))
+    else:
+        known = F.lit(False)
+    gone = F.col("signature").isNull()
+    return out.select("group", "signature", (gone | known | (F.col("moved") <= F.lit(change) * F.col("total"))).alias("settled"))
+
+
+def centroids(spark: SparkSession, nodes: DataFrame, seeds: DataFrame, links: DataFrame, filters: Filters = DEFAULT, change: float = CHANGE) -> DataFrame:
+    """Overlapping centroid clusters (group, centroid, node_id, m, d, round, stable): each seed gathers its linked nodes, becomes their mean and looks again.
+
+    In a round every open centroid is compared with its members and with the nodes linked to them; those with m > ave_node * r are its members now.
+    A centroid whose members' mean m (by c) doesn't exceed ave_cent times their mean r is given up. One whose members' mean |d| is under ave_cent_d is stable:
+    it is put out and leaves the later rounds. The others become the means of their members, weighted by c * m. A group ends by itself: when matches and
+    differences of its open centroids changed by at most ``change`` of their sum, or their memberships are those of an earlier round (a cycle), or none is open;
+    its open centroids are then put out. Groups that have ended take no part in later rounds.
     """
     scratch = Scratch(spark, "centroids")
-    near = ends(links.select("group", "a", "b")).select("group", "node_id", "other").union(nodes.select("group", "node_id", "node_id"))
-    features = ["c", "r", "span", "n", "M", "D", "I", "G", "dy", "dx", "y", "x"]
-    current = nodes.join(seeds.select("node_id"), "node_id", "left_semi").withColumn("centroid", F.col("node_id"))
+    near = ends(links.select("group", "a", "b")).select("group", F.col("node_id").alias("member"), "other")
+    near = scratch.save(near.union(nodes.select("group", "node_id", "node_id")), "near")
+    current = nodes.join(seeds.select("group", "node_id"), ["group", "node_id"], "left_semi").withColumn("centroid", F.col("node_id"))
     front = current.select("group", "centroid", F.col("node_id").alias("member"))
-    out = None
-    for k in range(rounds):
-        reach = front.join(near.select("group", F.col("node_id").alias("member"), "other"), ["group", "member"]).select("group", F.col("centroid").alias("a"), F.col("other").alias("b")).distinct()
-        means = current.select("group", F.col("centroid").alias("node_id"), *features)
-        compared = _compare_tables(reach, means, nodes)
-        out = scratch.save(compared.where(F.col("m") > filters.ave_node * F.col("r")).select("group", F.col("a").alias("centroid"), F.col("b").alias("node_id"), F.col("m").alias("match")), f"round{k}")
-        weighed = out.join(nodes, ["group", "node_id"]).withColumn("w", F.col("c") * F.col("match"))
-        current = scratch.save(weighed.groupBy("group", "centroid").agg(*((F.sum(F.col(f) * F.col("w")) / F.sum("w")).alias(f) for f in features)), f"means{k}")
-        front = out.select("group", "centroid", F.col("node_id").alias("member"))
-    return out
+    before = seen = None
+    out = []
+    for k in rounds():
+        reach = front.join(near, ["group", "member"]).select("group", "centroid", F.col("other").alias("node_id")).distinct()
+        compared = scratch.save(_against_centroids(reach, current, nodes), f"compared{k}").where(F.col("m") > F.lit(filters.ave_node) * F.col("r"))
+        own = Window.partitionBy("group", "centroid")
+        mean = lambda x: F.sum(x * F.col("c")).over(own) / F.sum("c").over(own)
+        worth = mean(F.col("m")) > F.lit(filters.ave_cent) * mean(F.col("r"))
+        rated = compared.withColumns({"worth": worth, "stable": mean(F.abs("d")) < filters.ave_cent_d}).where("worth").drop("worth")
+        rated = scratch.save(rated, f"members{k}")
+        going = rated.where("not stable")
+        judged = scratch.save(_judged(going, before, seen, change), f"groups{k}")
+        ended = going.join(judged.where("settled").select("group"), "group", "left_semi")
+        out += [x.select("group", "centroid", "node_id", "m", "d", F.lit(k).alias("round"), "stable") for x in (rated.where("stable"), ended)]
+        left = judged.where("not settled")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        before = going.join(left.select("group"), "group", "left_semi")
+        seen = left.select("group", "signature") if seen is None else seen.unionByName(left.select("group", "signature"))
+        weighed = before.select("group", "centroid", "node_id", F.col("m").alias("match")).join(nodes, ["group", "node_id"]).withColumn("w", F.col("c") * F.col("match"))
+        current = scratch.save(_means(weighed), f"means{k}")
+        front = before.select("group", "centroid", F.col("node_id").alias("member"))
 
 
 def _compare_tables(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -273,24 +342,57 @@ def _compare_tables(pairs: DataFrame, left: DataFrame, right: DataFrame) -> Data
     return compare_nodes(named, nodes).withColumn("a", -F.col("a") - 1)
 
 
-def fuzzy_centroids(spark: SparkSession, nodes: DataFrame, seeds: DataFrame, rounds: int = 4) -> DataFrame:
-    """Mean shift: every node of a group against every centroid of it, memberships as shares of match; centroids move to their weighted means.
+def fuzzy_centroids(spark: SparkSession, nodes: DataFrame, members: DataFrame, links: DataFrame, filters: Filters = DEFAULT, change: float = CHANGE) -> DataFrame:
+    """Mean shift of overlapping centroids (group, centroid, node_id, m, share, dist, round): members, as of centroids(), are shared out, and centroids merged and pruned.
 
-    A group's centroids are its exemplars, few by construction; the join is on the group.
+    In a round every centroid is the mean of its members, weighted by c * m * share, share being a membership's part of its node's positive m. It is compared
+    with its members and the nodes linked to them; m > 0 makes a member. A centroid is pruned unless its members' mean m (by c) exceeds ave_node times
+    their mean r plus its overlap, the mean number of centroids that match a member better. Two centroids of a group with a common member
+    are merged, into the lesser name, if their own comparison passes ave_cent (all such pairs at once); that starts the group's test anew. A group
+    ends when nothing was merged and m changed by at most ``change`` of its sum, or its memberships are those of an earlier round, or no centroid is left. Then members with
+    m * c > ave_node * r stay, with their distance from the centroid.
+
+    Nodes meet only centroids that reach them over members and links, not all of their group's.
     """
     scratch = Scratch(spark, "fuzzy")
-    features = ["y", "x", "I", "G"]
-    current = nodes.join(seeds.select("node_id"), "node_id", "left_semi").select("group", F.col("node_id").alias("centroid"), *(F.col(f).alias(f"c_{f}") for f in features))
-    out = None
-    for k in range(rounds):
-        met = nodes.select("group", "node_id", "c", *features).join(current, "group")
-        gap = sum((F.abs(F.col(f) - F.col(f"c_{f}")) / (F.abs(F.col(f)) + F.abs(F.col(f"c_{f}")) + 1e-7) for f in features), F.lit(0.0))
-        met = met.withColumn("m", F.lit(float(len(features))) - gap)
-        met = met.withColumn("share", F.col("m") / F.sum("m").over(Window.partitionBy("group", "node_id")))
-        out = scratch.save(met.select("group", "centroid", "node_id", "c", "m", "share", *features), f"round{k}")
-        w = F.col("share") * F.col("share") * F.col("c")
-        current = out.groupBy("group", "centroid").agg(*((F.sum(F.col(f) * w) / F.sum(w)).alias(f"c_{f}") for f in features))
-    return out.select("group", "centroid", "node_id", "m", "share")
+    near = ends(links.select("group", "a", "b")).select("group", F.col("node_id").alias("member"), "other")
+    near = scratch.save(near.union(nodes.select("group", "node_id", "node_id")), "near")
+    now = members.select("group", "centroid", "node_id", "m").where("m > 0")
+    before = seen = None
+    out = []
+    for k in rounds():
+        of_node = Window.partitionBy("group", "node_id")
+        shared = now.select("group", "centroid", "node_id", (F.col("m") * F.col("m") / F.sum("m").over(of_node)).alias("shared"))
+        weighed = shared.join(nodes, ["group", "node_id"]).withColumn("w", F.col("c") * F.col("shared"))
+        means = scratch.save(_means(weighed), f"means{k}")
+        reach = now.select("group", "centroid", F.col("node_id").alias("member")).join(near, ["group", "member"]).select("group", "centroid", F.col("other").alias("node_id")).distinct()
+        met = scratch.save(_against_centroids(reach, means, nodes), f"compared{k}").where("m > 0").withColumn("better", F.rank().over(of_node.orderBy(F.desc("m"))) - 1)
+        own = Window.partitionBy("group", "centroid")
+        mean = lambda x: F.sum(x * F.col("c")).over(own) / F.sum("c").over(own)
+        good = mean(F.col("m")) > F.lit(filters.ave_node) * (mean(F.col("r")) + F.avg("better").over(own))
+        kept = scratch.save(met.withColumn("good", good).where("good").drop("good", "better"), f"kept{k}")
+        held = kept.select("group", "centroid", "node_id")
+        common = held.join(held.withColumnRenamed("centroid", "other"), ["group", "node_id"]).where("centroid < other").select("group", "centroid", "other").distinct()
+        pairs = _against_centroids(common.withColumnRenamed("other", "node_id"), means, means.withColumnRenamed("centroid", "node_id"))
+        alike = pairs.where(F.col("m") > F.lit(filters.ave_cent) * F.col("r"))
+        name = lambda c, to: F.struct("group", F.col(c).alias("id")).alias(to)
+        merged = connected_components(spark, alike.select(name("centroid", "a"), name("node_id", "b"))).select("node.group", F.col("node.id").alias("centroid"), F.col("component.id").alias("into"))
+        merged = scratch.save(merged.where("centroid <> into"), f"merged{k}")
+        named = kept.join(merged, ["group", "centroid"], "left").withColumn("centroid", F.coalesce("into", "centroid")).drop("into")
+        one = named.groupBy("group", "centroid", "node_id").agg(F.max("m").alias("m"), F.first("c").alias("c"), F.first("r").alias("r"))
+        now = scratch.save(one.withColumn("d", F.lit(0.0)), f"members{k}")
+        judged = _judged(now, before, seen, change).join(merged.select("group", F.lit(True).alias("joined")).distinct(), "group", "left")
+        judged = scratch.save(judged.select("group", "signature", (F.col("settled") & F.col("joined").isNull()).alias("settled")), f"groups{k}")
+        ended = now.join(judged.where("settled").select("group"), "group", "left_semi")
+        place = means.select("group", "centroid", F.col("y").alias("cy"), F.col("x").alias("cx"))
+        final = ended.withColumn("share", F.col("m") / F.sum("m").over(of_node)).where(F.col("m") * F.col("c") > F.lit(filters.ave_node) * F.col("r"))
+        final = final.join(place, ["group", "centroid"]).join(nodes.select("group", "node_id", "y", "x"), ["group", "node_id"])
+        out.append(final.select("group", "centroid", "node_id", "m", "share", F.hypot(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")).alias("dist"), F.lit(k).alias("round")))
+        left = judged.where("not settled")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        before = now = now.join(left.select("group"), "group", "left_semi")
+        seen = left.select("group", "signature") if seen is None else seen.unionByName(left.select("group", "signature"))
 
 
 def distance_bands(links: DataFrame, max_dist: float) -> DataFrame:

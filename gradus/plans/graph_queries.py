@@ -11,7 +11,7 @@ from gradus.plans.scratch import Scratch
 from gradus.plans.sequence_queries import EVENTS, _event_runs
 
 EDGES = Filters(ave_g=15, ave_G=15, ave_I=5, ave_dangle=0.8, ave_slice_m=5, ave_slice_d=1)
-GRAPH = Filters(ave_g=15, ave_node=5.0, max_dist=6)
+GRAPH = Filters(ave_g=15, ave_node=5.0, ave_cent=8.0, ave_cent_d=2000.0, max_dist=6)
 #: Connectivity sums links; a merge must be worth more than the mean of them.
 SEGMENTS = Filters(ave_g=15, ave_node=20.0, max_dist=6)
 
@@ -190,14 +190,19 @@ def merged_nodes(spark, sf):
     return graph.merge_matches(spark, nodes, links, 40.0)
 
 
-def centroids(spark, sf):
+def _centroids(spark, sf):
     nodes, links = _graph(spark, sf)
-    return graph.centroids(spark, nodes, graph.exemplars(nodes, links, GRAPH), links, GRAPH, rounds=3)
+    found = graph.centroids(spark, nodes, graph.exemplars(nodes, links, GRAPH), links, GRAPH)
+    return nodes, links, Scratch(spark, "centroids").save(found, "found")
+
+
+def centroids(spark, sf):
+    return _thousandths(_centroids(spark, sf)[2])
 
 
 def fuzzy_centroids(spark, sf):
-    nodes, links = _graph(spark, sf)
-    return graph.fuzzy_centroids(spark, nodes, graph.exemplars(nodes, links, GRAPH), rounds=3)
+    nodes, links, found = _centroids(spark, sf)
+    return _thousandths(graph.fuzzy_centroids(spark, nodes, found, links, GRAPH))
 
 
 def node_levels(spark, sf):
