@@ -19,7 +19,7 @@ from gradus.filters import DEFAULT, Filters
 from gradus.functions.compare import guarded, signed_min, wrapped
 from gradus.operators.blobs import STRIDE
 from gradus.operators.components import connected_components
-from gradus.plans.scratch import Scratch, rounds
+from gradus.plans.scratch import MOST_ROUNDS, Scratch, rounds
 
 PARAMS = ("M", "D", "C", "I", "G", "A", "L", "S", "E")
 #: Weights of the nine parameters, by name (fixed values).
@@ -217,20 +217,21 @@ def prediction_error(links: DataFrame) -> DataFrame:
     return met.select("group", "a", "b", "m", expected.alias("expected"), (F.abs(F.col("m") - expected) / guarded(F.abs(expected))).alias("error"))
 
 
-def feature_weights(links: DataFrame) -> DataFrame:
+def feature_weights(links: DataFrame, last: int = MOST_ROUNDS) -> DataFrame:
     """Weights of each link's nine matches and nine differences: inverse deviation from their weighted mean, mean 1, iterated until the link's own weights have settled.
 
-    A link settles when its weights change by under 1e-6 in all, or are (to six digits) those of an earlier round, which would come round again.
+    A link settles when its weights change by under 1e-6 in all, or are (to three digits) those of an earlier round: most come round every second one.
+    A few never do either; ``settled`` is false for those, and their weights are those of round ``last``.
     """
 
-    @F.pandas_udf("array<double>")
-    def fit(*cols: pd.Series) -> pd.Series:
+    @F.pandas_udf("weights array<double>, settled boolean")
+    def fit(*cols: pd.Series) -> pd.DataFrame:
         v = np.abs(np.stack([c.to_numpy(float) for c in cols], 1)).reshape(-1, 2, 9)
         total = v.sum(1, keepdims=True)
         total[total == 0] = 1e-7
         w, settled = np.ones_like(v), np.zeros(len(v), bool)
         seen: list[set[bytes]] = [set() for _ in v]
-        for _ in rounds():
+        for _ in range(last):
             share = v / total * w
             mean = share.mean(2, keepdims=True)
             mean[mean == 0] = 1e-7
@@ -239,20 +240,20 @@ def feature_weights(links: DataFrame) -> DataFrame:
             new = inverse / np.maximum(inverse.mean(2, keepdims=True), 1e-7)
             settled |= np.abs(new - w).sum((1, 2)) < 1e-6
             for at in np.flatnonzero(~settled):
-                state = np.round(w[at], 6).tobytes()
+                state = np.round(w[at], 3).tobytes()
                 settled[at] = state in seen[at]
                 seen[at].add(state)
             if settled.all():
                 break
             w = np.where(settled[:, None, None], w, new)
-        return pd.Series(list(w.reshape(-1, 18)))
+        return pd.DataFrame({"weights": list(w.reshape(-1, 18)), "settled": settled})
 
-    return links.select("group", "a", "b", fit(*(F.col(f"{p}_{k}") for p in "md" for k in PARAMS)).alias("weights"))
+    return links.select("group", "a", "b", fit(*(F.col(f"{p}_{k}") for p in "md" for k in PARAMS)).alias("f")).select("group", "a", "b", "f.*")
 
 
 #: What a centroid averages over its members.
 FEATURES = ["c", "r", "span", "n", "M", "D", "I", "G", "dy", "dx", "y", "x"]
-CHANGE = 0.01
+CHANGE = 0.05
 
 
 def _means(weighed: DataFrame) -> DataFrame:
