@@ -296,14 +296,15 @@ def _judged(now: DataFrame, before: DataFrame | None, seen: DataFrame | None, ch
     return out.select("group", "signature", (gone | known | (F.col("moved") <= F.lit(change) * F.col("total"))).alias("settled"))
 
 
-def centroids(spark: SparkSession, nodes: DataFrame, seeds: DataFrame, links: DataFrame, filters: Filters = DEFAULT, change: float = CHANGE) -> DataFrame:
+def centroids(spark: SparkSession, nodes: DataFrame, seeds: DataFrame, links: DataFrame, filters: Filters = DEFAULT, change: float = CHANGE, last: int | None = None) -> DataFrame:
     """Overlapping centroid clusters (group, centroid, node_id, m, d, round, stable): each seed gathers its linked nodes, becomes their mean and looks again.
 
     In a round every open centroid is compared with its members and with the nodes linked to them; those with m > ave_node * r are its members now.
     A centroid whose members' mean m (by c) doesn't exceed ave_cent times their mean r is given up. One whose members' mean |d| is under ave_cent_d is stable:
     it is put out and leaves the later rounds. The others become the means of their members, weighted by c * m. A group ends by itself: when matches and
     differences of its open centroids changed by at most ``change`` of their sum, or their memberships are those of an earlier round (a cycle), or none is open;
-    its open centroids are then put out. Groups that have ended take no part in later rounds.
+    its open centroids are then put out. Groups that have ended take no part in later rounds. ``last`` ends the rounds for all groups; settled is false for those
+    that hadn't ended by themselves.
     """
     scratch = Scratch(spark, "centroids")
     near = ends(links.select("group", "a", "b")).select("group", F.col("node_id").alias("member"), "other")
@@ -312,7 +313,7 @@ def centroids(spark: SparkSession, nodes: DataFrame, seeds: DataFrame, links: Da
     front = current.select("group", "centroid", F.col("node_id").alias("member"))
     before = seen = None
     out = []
-    for k in rounds():
+    for k in rounds(last=last):
         reach = front.join(near, ["group", "member"]).select("group", "centroid", F.col("other").alias("node_id")).distinct()
         compared = scratch.save(_against_centroids(reach, current, nodes), f"compared{k}").where(F.col("m") > F.lit(filters.ave_node) * F.col("r"))
         own = Window.partitionBy("group", "centroid")
@@ -323,9 +324,10 @@ def centroids(spark: SparkSession, nodes: DataFrame, seeds: DataFrame, links: Da
         going = rated.where("not stable")
         judged = scratch.save(_judged(going, before, seen, change), f"groups{k}")
         ended = going.join(judged.where("settled").select("group"), "group", "left_semi")
-        out += [x.select("group", "centroid", "node_id", "m", "d", F.lit(k).alias("round"), "stable") for x in (rated.where("stable"), ended)]
         left = judged.where("not settled")
-        if left.isEmpty():
+        cut = [(going.join(left.select("group"), "group", "left_semi"), False)] if k == last else []
+        out += [x.select("group", "centroid", "node_id", "m", "d", F.lit(k).alias("round"), "stable", F.lit(by_itself).alias("settled")) for x, by_itself in [(rated.where("stable"), True), (ended, True), *cut]]
+        if cut or left.isEmpty():
             return reduce(DataFrame.unionByName, out)
         before = going.join(left.select("group"), "group", "left_semi")
         seen = left.select("group", "signature") if seen is None else seen.unionByName(left.select("group", "signature"))
@@ -343,7 +345,7 @@ def _compare_tables(pairs: DataFrame, left: DataFrame, right: DataFrame) -> Data
     return compare_nodes(named, nodes).withColumn("a", -F.col("a") - 1)
 
 
-def fuzzy_centroids(spark: SparkSession, nodes: DataFrame, members: DataFrame, links: DataFrame, filters: Filters = DEFAULT, change: float = CHANGE) -> DataFrame:
+def fuzzy_centroids(spark: SparkSession, nodes: DataFrame, members: DataFrame, links: DataFrame, filters: Filters = DEFAULT, change: float = CHANGE, last: int | None = None) -> DataFrame:
     """Mean shift of overlapping centroids (group, centroid, node_id, m, share, dist, round): members, as of centroids(), are shared out, and centroids merged and pruned.
 
     In a round every centroid is the mean of its members, weighted by c * m * share, share being a membership's part of its node's positive m. It is compared
@@ -351,7 +353,7 @@ def fuzzy_centroids(spark: SparkSession, nodes: DataFrame, members: DataFrame, l
     their mean r plus its overlap, the mean number of centroids that match a member better. Two centroids of a group with a common member
     are merged, into the lesser name, if their own comparison passes ave_cent (all such pairs at once); that starts the group's test anew. A group
     ends when nothing was merged and m changed by at most ``change`` of its sum, or its memberships are those of an earlier round, or no centroid is left. Then members with
-    m * c > ave_node * r stay, with their distance from the centroid.
+    m * c > ave_node * r stay, with their distance from the centroid. ``last`` ends the rounds for all groups; settled is false for those that hadn't ended by themselves.
 
     Nodes meet only centroids that reach them over members and links, not all of their group's.
     """
@@ -361,7 +363,7 @@ def fuzzy_centroids(spark: SparkSession, nodes: DataFrame, members: DataFrame, l
     now = members.select("group", "centroid", "node_id", "m").where("m > 0")
     before = seen = None
     out = []
-    for k in rounds():
+    for k in rounds(last=last):
         of_node = Window.partitionBy("group", "node_id")
         shared = now.select("group", "centroid", "node_id", (F.col("m") * F.col("m") / F.sum("m").over(of_node)).alias("shared"))
         weighed = shared.join(nodes, ["group", "node_id"]).withColumn("w", F.col("c") * F.col("shared"))
@@ -384,13 +386,13 @@ def fuzzy_centroids(spark: SparkSession, nodes: DataFrame, members: DataFrame, l
         now = scratch.save(one.withColumn("d", F.lit(0.0)), f"members{k}")
         judged = _judged(now, before, seen, change).join(merged.select("group", F.lit(True).alias("joined")).distinct(), "group", "left")
         judged = scratch.save(judged.select("group", "signature", (F.col("settled") & F.col("joined").isNull()).alias("settled")), f"groups{k}")
-        ended = now.join(judged.where("settled").select("group"), "group", "left_semi")
+        ended = now.join(judged.where(F.col("settled") | F.lit(k == last)).select("group", "settled"), "group")
         place = means.select("group", "centroid", F.col("y").alias("cy"), F.col("x").alias("cx"))
         final = ended.withColumn("share", F.col("m") / F.sum("m").over(of_node)).where(F.col("m") * F.col("c") > F.lit(filters.ave_node) * F.col("r"))
         final = final.join(place, ["group", "centroid"]).join(nodes.select("group", "node_id", "y", "x"), ["group", "node_id"])
-        out.append(final.select("group", "centroid", "node_id", "m", "share", F.hypot(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")).alias("dist"), F.lit(k).alias("round")))
+        out.append(final.select("group", "centroid", "node_id", "m", "share", F.hypot(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")).alias("dist"), F.lit(k).alias("round"), "settled"))
         left = judged.where("not settled")
-        if left.isEmpty():
+        if k == last or left.isEmpty():
             return reduce(DataFrame.unionByName, out)
         before = now = now.join(left.select("group"), "group", "left_semi")
         seen = left.select("group", "signature") if seen is None else seen.unionByName(left.select("group", "signature"))

@@ -12,6 +12,8 @@ from gradus.plans.sequence_queries import EVENTS, _event_runs
 
 EDGES = Filters(ave_g=15, ave_G=15, ave_I=5, ave_dangle=0.8, ave_slice_m=5, ave_slice_d=1)
 GRAPH = Filters(ave_g=15, ave_node=5.0, ave_cent=8.0, ave_cent_d=2000.0, max_dist=6)
+#: Groups of centroids that haven't ended by then are marked.
+CENTROID_ROUNDS = 6
 #: Connectivity sums links; a merge must be worth more than the mean of them.
 SEGMENTS = Filters(ave_g=15, ave_node=20.0, max_dist=6)
 
@@ -192,7 +194,7 @@ def merged_nodes(spark, sf):
 
 def _centroids(spark, sf):
     nodes, links = _graph(spark, sf)
-    found = graph.centroids(spark, nodes, graph.exemplars(nodes, links, GRAPH), links, GRAPH)
+    found = graph.centroids(spark, nodes, graph.exemplars(nodes, links, GRAPH), links, GRAPH, last=CENTROID_ROUNDS)
     return nodes, links, Scratch(spark, "centroids").save(found, "found")
 
 
@@ -202,7 +204,7 @@ def centroids(spark, sf):
 
 def fuzzy_centroids(spark, sf):
     nodes, links, found = _centroids(spark, sf)
-    return _thousandths(graph.fuzzy_centroids(spark, nodes, found, links, GRAPH))
+    return _thousandths(graph.fuzzy_centroids(spark, nodes, found, links, GRAPH, last=CENTROID_ROUNDS))
 
 
 def node_levels(spark, sf):
