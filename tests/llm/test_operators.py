@@ -403,6 +403,34 @@ def test_query_strings_are_pages_of_their_own(spark):
     assert got == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow"}
 
 
+def test_links_as_pages_spell_them(spark):
+    canonical = "<link rel=canonical href='{}'>".format
+    rows = [
+        (1, "http://shop.org", canonical("http://bad.net/x")),
+        (2, "http://shop.org/", ""),  # the same page
+        (3, "http://a.org/p?a=1&b=2", ""),
+        (4, "http://b.org/", canonical("http://a.org/p?a=1&amp;b=2") + canonical("http://bad.net/y")),
+        (5, "http://c.org/", "<!-- " + canonical("http://bad.net/z") + " -->"),
+        (6, "http://d.org/", "<script>" + canonical("http://bad.net/z") + "</script>"),
+        (7, "http://e.org/q/", "<base href='//bad.net/k/'>" + canonical("v")),
+        (8, "http://f.org/", canonical("http&#58;//bad&#x2E;net/&#233;")),
+        (9, "http://g.org/" + "a/" * 300, canonical("./../http/")),
+        (10, "http://h.org/", "<!-- " + canonical("http://bad.net/never-closed")),
+        (11, "http://i.org/&amp;lt;", ""),
+        (12, "http://j.org/", canonical("http://i.org/&amp;amp;lt;") + canonical("http://bad.net/")),
+    ]
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "block" if i in (1, 2, 3, 4, 7, 8, 11, 12) else "allow" for i in range(1, 13)}
+
+
+def test_character_references_as_the_standard_library_reads_them(spark):
+    import html
+
+    links = ["a&amp;b", "&amp;amp;", "&#38;lt;", "&#x1F600;/&#233;", "&&lt;&gt;", "x&y", "", "&quot;&apos;", "&#9;&#0065;"]
+    df = spark.createDataFrame([(x,) for x in links], "link string").select("link", urls.without_entities(F.col("link")).alias("got"))
+    assert {r.link: r.got for r in df.collect()} == {x: html.unescape(x) for x in links}
+
+
 def test_boolean_labels(spark):
     texts = spark.createDataFrame([(i, "vile slur" if i % 2 else "kind word") for i in range(60)], "doc_id long, text string")
     number = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
