@@ -14,8 +14,10 @@ from gradus.llm._groups import grouped, matrix, roots
 from gradus.operators.components import connected_components
 from gradus.plans.scratch import Scratch, partitions
 
-#: Filters each vector is decoded to, and the most vectors of a filter that one task takes at a time.
-LIST, CHUNK = 24, 2048
+#: Most vectors of a filter that one task takes at a time, the chance that a pair at the cut shares a filter, and product codes tried.
+CHUNK, RECALL, ROTATIONS = 2048, 0.999, 6
+#: Random pairs that set the caps' height.
+PAIRS = 1000
 BLOCK = 512
 
 
@@ -24,10 +26,9 @@ class ProductCode:
 
     def __init__(self, dim: int, filters: int, seed: int = 20_24):
         rng = np.random.default_rng(seed)
-        bits = max(2, int(np.ceil(np.log2(filters))))
-        self.blocks = 1 if dim < 2 else 2
-        while bits > 11 * self.blocks and self.blocks * 2 <= dim:
-            self.blocks *= 2
+        bits = min(max(2, int(np.ceil(np.log2(filters)))), 2 * dim)  # few directions fill a space of few dimensions
+        self.blocks = 1 if dim < 2 else 2  # lists of more blocks differ more in length
+        bits = min(bits, 15 * self.blocks)
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         each = -(-bits // self.blocks)
         edges = np.linspace(0, dim, self.blocks + 1).astype(int)
@@ -44,18 +45,17 @@ class ProductCode:
         at = np.argpartition(-score, most - 1, axis=1)[:, :most]
         return np.take_along_axis(score, at, 1), np.take_along_axis(name, at, 1)
 
-    def decode(self, unit: np.ndarray, most: int) -> np.ndarray:
-        """(n, most) filters whose caps hold each vector: those of the largest inner products.
+    def scores(self, unit: np.ndarray) -> list[np.ndarray]:
+        turned = unit @ self.rotation
+        return [turned[:, lo:hi] @ w for (lo, hi), w in zip(self.spans, self.words)]
+
+    def best(self, unit: np.ndarray, most: int) -> np.ndarray:
+        """(n, most) filters of the largest inner products with each vector.
 
-        The cap's height is set for each vector so that exactly ``most`` directions
-        exceed it. The best sums of two lists are sums of each list's best, so merging
-        the blocks' lists two by two finds them exactly.
+        The best sums of two lists are sums of each list's best, so merging the
+        blocks' lists two by two finds them exactly.
         """
-        turned = unit @ self.rotation
-        parts = []
-        for (lo, hi), w in zip(self.spans, self.words):
-            score = turned[:, lo:hi] @ w
-            parts.append(self._best(score, np.broadcast_to(np.arange(score.shape[1]), score.shape), most))
+        parts = [self._best(score, np.broadcast_to(np.arange(score.shape[1]), score.shape), most) for score in self.scores(unit)]
         while len(parts) > 1:
             merged = []
             for (s, a), (t, b) in zip(parts[::2], parts[1::2]):
@@ -66,52 +66,133 @@ class ProductCode:
             parts = merged
         return np.sort(parts[0][1], axis=1)
 
+    def height(self, cut: float, recall: float, pairs: int = PAIRS) -> float:
+        """Inner product above which a direction's cap holds a vector; one for all vectors.
+
+        The largest at which ``recall`` of random pairs at cosine ``cut`` share a
+        cap. The rotation makes any given pair such a random pair, so it doesn't
+        depend on the data. The best caps of a pair's middle are tried as shared ones.
+        """
+        dim = len(self.rotation)
+        if dim < 2:
+            return -1.0  # every cap holds every vector
+        rng = np.random.default_rng(7)
+        shared = []
+        for n in np.diff(np.linspace(0, pairs, 11).astype(int)):
+            x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, n, dim)))
+            y -= (x * y).sum(1, keepdims=True) * x
+            y = cut * x + np.sqrt(1 - cut * cut) * y / np.linalg.norm(y, axis=1, keepdims=True)
+            names = self.best(x + y, 64)
+            sides = []
+            for v in (x, y):
+                total = np.zeros(names.shape)
+                for i, score in enumerate(self.scores(v)):
+                    total += np.take_along_axis(score, (names >> (self.each * (self.blocks - 1 - i))) & ((1 << self.each) - 1), 1)
+                sides.append(total)
+            shared.append(np.minimum(*sides).max(1))
+        return float(np.quantile(np.concatenate(shared), 1 - recall))
+
+    def above(self, unit: np.ndarray, height: float) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, filter) of every filter whose cap of this height holds the vector, in ascending order.
+
+        A codeword that the best of the other blocks can't lift above the height is
+        left out; then the blocks' lists are joined two by two under the same rule.
+        """
+        scores = self.scores(unit)
+        top = np.stack([score.max(1) for score in scores])  # block, vector
+        parts = []
+        for i, score in enumerate(scores):
+            row, name = np.nonzero(score >= (height - (top.sum(0) - top[i]))[:, None] - 1e-12)
+            parts.append((row, name, score[row, name], top[i]))
+        while len(parts) > 1:
+            whole, merged = sum(p[3] for p in parts), []
+            wide = 1 << (self.each * (self.blocks // len(parts)))
+            for (r, a, s, p), (q, b, t, o) in zip(parts[::2], parts[1::2]):
+                first, held = np.searchsorted(q, np.arange(len(unit))), np.bincount(q, minlength=len(unit))
+                times = held[r]
+                left = np.repeat(np.arange(len(r)), times)
+                right = first[r][left] + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+                score = s[left] + t[right]
+                keep = score >= (height - (whole - p - o))[r[left]] - 1e-12
+                merged.append((r[left][keep], a[left][keep] * wide + b[right][keep], score[keep], p + o))
+            parts = merged
+        row, name, score, _ = parts[0]
+        keep = score >= height
+        row, name = row[keep], name[keep]
+        order = np.lexsort((name, row))
+        return row[order], name[order]
+
 
 @lru_cache(8)
-def _code(dim: int, filters: int) -> ProductCode:
-    return ProductCode(dim, filters)
+def codes(dim: int, filters: int, cut: float, recall: float, rotations: int = ROTATIONS) -> list[tuple[ProductCode, float]]:
+    """Product codes of rotations of their own, of ``filters`` directions together, and the height of each.
+
+    A code's lists differ much in length, so one code of a high recall needs a low
+    height and long lists; a pair that one rotation parts, another joins.
+    """
+    each = [ProductCode(dim, -(-filters // rotations), 20_24 + i) for i in range(rotations)]
+    return [(code, code.height(cut, 1 - (1 - recall) ** (1 / rotations))) for code in each]
+
+
+def filters_of(unit: np.ndarray, filters: int, cut: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, filter) in ascending order, over all codes."""
+    row, name, base = [], [], 0
+    for code, height in codes(unit.shape[1], filters, cut, recall):
+        r, a = code.above(unit, height)
+        row.append(r)
+        name.append(a + base)
+        base += 1 << (code.each * code.blocks)
+    row, name = np.concatenate(row), np.concatenate(name)
+    order = np.argsort(row, kind="stable")
+    return row[order], name[order]
 
 
-def _decode(filters: int, most: int):
+def _decode(filters: int, cut: float, recall: float):
     """id, h, weight, label, dim, embedding → a row with the vector and its filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 250):
+                b = whole.slice(at, 250)
                 dims = np.asarray(b.column("dim"))
                 for dim in np.unique(dims):
                     part = b.take(pa.array(np.flatnonzero(dims == dim)))
                     v = matrix(part.column("embedding"), np.float64)
                     v = v / np.abs(v).max(1, keepdims=True)
-                    got = _code(int(dim), filters).decode(v / np.linalg.norm(v, axis=1, keepdims=True), most)
-                    lists = pa.ListArray.from_arrays(np.arange(0, got.size + 1, got.shape[1], dtype=np.int32), pa.array(got.ravel(), pa.int64()))
+                    row, name = filters_of(v / np.linalg.norm(v, axis=1, keepdims=True), filters, cut, recall)
+                    ends = np.searchsorted(row, np.arange(len(v) + 1)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(ends, pa.array(name, pa.int64()))
                     yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "filters"])
 
     return run
 
 
-def _links(v: np.ndarray, norm: np.ndarray, filters: np.ndarray, own: int, half: np.ndarray, cut: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _links(v: np.ndarray, norm: np.ndarray, row: np.ndarray, smaller: np.ndarray, half: np.ndarray, cut: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j), i < j, at or above the cut that have no smaller filter in common.
 
-    half: 0 for all pairs, else only pairs of a 1 with a 2.
+    row, smaller: the vectors' filters under this one. half: 0 for all pairs, else only pairs of a 1 with a 2.
     """
     n = len(v)
-    smaller = np.where(filters < own, filters, -1)
-    names = np.unique(smaller)
-    names = names[names >= 0]
-    held = np.zeros((n, len(names)), np.float32)
-    row, col = np.nonzero(smaller >= 0)
-    held[row, np.searchsorted(names, smaller[row, col])] = 1
-    held = held[:, held.sum(0) > 1]
+    names, column, held = np.unique(smaller, return_inverse=True, return_counts=True)
+    keep = held[column] > 1
+    row, column = row[keep], column[keep]
+    names, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
     for lo in range(0, n, BLOCK):
         hi = min(n, lo + BLOCK)
         near = (v[lo:hi] @ v[lo:].T) / (norm[lo:hi, None] * norm[None, lo:]) >= cut
         near &= np.arange(lo, n)[None, :] > np.arange(lo, hi)[:, None]
         if half.any():
             near &= half[lo:hi, None] != half[None, lo:]
-        if held.shape[1] and near.any():
-            near &= (held[lo:hi] @ held[lo:].T) == 0
+        for at in range(0, len(names), 4096):
+            if not near.any():
+                break
+            p, q = np.searchsorted(column, [at, at + 4096])
+            r, c = row[p:q], column[p:q] - at
+            x = np.zeros((n - lo, min(4096, len(names) - at)), np.float32)
+            x[r[r >= lo] - lo, c[r >= lo]] = 1
+            near &= (x[: hi - lo] @ x.T) == 0
         a, b = np.nonzero(near)
         yield a + lo, b + lo
 
@@ -123,12 +204,15 @@ def _verify(cut: float):
             v = matrix(t.column("embedding"), np.float64)
             v = v / np.abs(v).max(1, keepdims=True)
             half = np.zeros(len(v), int) if ca == cb else np.where(np.asarray(t.column("chunk")) == ca, 1, 2)
-            norm, filters = np.linalg.norm(v, axis=1), matrix(t.column("filters"), np.int64)
-            ids, weight = np.asarray(t.column("id")), np.asarray(t.column("weight"))
+            norm, ids, weight = np.linalg.norm(v, axis=1), np.asarray(t.column("id")), np.asarray(t.column("weight"))
+            lists = t.column("filters").combine_chunks()
+            row, smaller = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())
             order = np.argsort(ids, kind="stable")
-            v, norm, filters, ids, weight, half = v[order], norm[order], filters[order], ids[order], weight[order], half[order]
+            place = np.argsort(order)
+            row, smaller = place[row[smaller < own]], smaller[smaller < own]
+            v, norm, ids, weight, half = v[order], norm[order], ids[order], weight[order], half[order]
             links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-            for a, b in _links(v, norm, filters, own, half, cut):
+            for a, b in _links(v, norm, row, smaller, half, cut):
                 np.add.at(links, a, weight[b])
                 np.add.at(links, b, weight[a])
                 label = label[roots(len(ids), np.concatenate([a, np.arange(len(ids))]), np.concatenate([b, label]))]
@@ -139,12 +223,14 @@ def _verify(cut: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, cut: float = 0.98, per_vector: int = 16, most: int = LIST, chunk: int = CHUNK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cut: float = 0.98, per_vector: int = 16, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
     """Links of cosine >= cut (double precision) among vectors of equal labels.
 
     Equal vectors of a label are first made one with a weight. Each is decoded to
-    the ``most`` of about ``per_vector`` filters a vector whose caps hold it
-    (the code grows with the table, so filters don't fill up), filters with one
+    all filters whose caps hold it; there are about ``per_vector`` filters a vector
+    (the code grows with the table, so filters don't fill up), and their one height
+    is set so that a pair at the cut shares a filter with a chance of ``recall``,
+    nearer ones with a higher one. Filters with one
     vector are dropped, and in each other one all pairs are compared in blocks. A
     pair counts only in its smallest common filter, so what leaves a task is a
     link count and one forest edge a vector, never the pairs. A filter of more
@@ -174,7 +260,7 @@ def near_vectors(vectors: DataFrame, cut: float = 0.98, per_vector: int = 16, mo
     same = scratch.save(same, "same")
     count = same.count()
     filters = 1 << max(6, int(np.ceil(np.log2(max(1, count) * per_vector))))
-    listed = same.select("id", "weight", "label", "dim", "embedding").mapInArrow(_decode(filters, most), "id long, weight long, label long, dim long, embedding array<double>, filters array<long>")
+    listed = same.select("id", "weight", "label", "dim", "embedding").mapInArrow(_decode(filters, cut, recall), "id long, weight long, label long, dim long, embedding array<double>, filters array<long>")
     listed = scratch.save(listed, "listed")
     places = listed.select("label", "dim", F.explode("filters").alias("filter"), "id")
     shared = places.groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).where("n > 1")

@@ -378,15 +378,47 @@ def test_near_vectors_against_brute_force(spark, chunk):
     assert caps.near_vectors(df.limit(0)).count() == 0
 
 
+def all_scores(code, v):
+    a, b = code.scores(v)
+    return (a[:, :, None] + b[:, None, :]).reshape(len(v), -1)
+
+
 def test_code_lists_the_best_directions():
     code = caps.ProductCode(10, 256)
-    rng = np.random.default_rng(0)
-    v = rng.standard_normal((20, 10))
-    turned = v @ code.rotation
-    (a, b), each = code.words, 1 << code.each
-    full = (turned[:, code.spans[0][0] : code.spans[0][1]] @ a)[:, :, None] + (turned[:, code.spans[1][0] : code.spans[1][1]] @ b)[:, None, :]
-    best = np.sort(np.argsort(-full.reshape(20, -1), axis=1)[:, :12], axis=1)
-    assert (code.decode(v, 12) == best).all() and each == b.shape[1]
+    v = np.random.default_rng(0).standard_normal((20, 10))
+    assert (code.best(v, 12) == np.sort(np.argsort(-all_scores(code, v), axis=1)[:, :12], axis=1)).all()
+
+
+@pytest.mark.parametrize("height", [-0.3, 0.4, 0.9, 1.3])
+def test_caps_hold_all_vectors_above_their_height(height):
+    code = caps.ProductCode(10, 1024)
+    v = np.random.default_rng(0).standard_normal((30, 10))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = np.nonzero(all_scores(code, v) >= height)
+    got = code.above(v, height)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 64])
+def test_near_vectors_recall_at_the_cut(spark, dim):
+    """Pairs just above the cut among 10,000 vectors, against all products."""
+    rng, n = np.random.default_rng(dim), 10_000 if dim == 64 else 400
+    x = rng.standard_normal((n // 4, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    if dim > 1:
+        y -= (x * y).sum(1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+    at = rng.uniform(0.98, 0.982, (n // 4, 1))
+    v = np.concatenate([x, at * x + np.sqrt(1 - at * at) * y, rng.standard_normal((n // 2, dim))])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    want = near.sum(1) - 1
+    df = spark.createDataFrame([(i, e.tolist(), 0) for i, e in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = np.zeros(n, int)
+    for r in caps.near_vectors(df).select("vec_id", "n_links").collect():
+        got[r.vec_id] = r.n_links
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() > 0
 
 
 def test_query_strings_are_pages_of_their_own(spark):
