@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.filters import DEFAULT, Filters
-from gradus.operators.components import connected_components
+from gradus.operators.components import components_within
 from gradus.operators.graph import ends
 from gradus.plans.scratch import Scratch, rounds
 
@@ -108,10 +108,6 @@ def convolved(links: DataFrame, layers: int = 3, filters: Filters = DEFAULT) ->
     return reduce(DataFrame.unionByName, out)
 
 
-def _struct(c: str, name: str) -> Column:
-    return F.struct("group", F.col(c).alias("id")).alias(name)
-
-
 def segmented(spark: SparkSession, links: DataFrame, nodes: DataFrame, filters: Filters = DEFAULT) -> DataFrame:
     """(group, node_id, graph, kept): graphs grown over positive links whose match and the connectivity that their ends share pass the gate.
 
@@ -135,11 +131,10 @@ def segmented(spark: SparkSession, links: DataFrame, nodes: DataFrame, filters:
         cost = F.col("r") / F.col("k") + (F.col("w_a") + F.col("w_b")) / 2
         passing = met.withColumn("excess", value - F.lit(filters.ave_node) * cost).where("excess > 0")
         best = ends(passing.select("group", "a", "b", "excess")).groupBy("group", "node_id").agg(F.min(F.struct((-F.col("excess")).alias("x"), F.col("other").alias("to"))).alias("p"))
-        picks = scratch.save(best.select(_struct("node_id", "a"), _struct("p.to", "b")), f"picks{k}")
+        picks = scratch.save(best.select("group", F.col("node_id").alias("a"), F.col("p.to").alias("b")), f"picks{k}")
         if picks.isEmpty():
             break
-        moved = connected_components(spark, picks).select("node.group", F.col("node.id").alias("graph"), F.col("component.id").alias("into"))
-        moved = scratch.save(moved, f"moved{k}")
+        moved = scratch.save(components_within(spark, picks, ["group"]).toDF("group", "graph", "into"), f"moved{k}")
         up = lambda df, c: df.join(moved.select("group", F.col("graph").alias(c), "into"), ["group", c], "left").withColumn(c, F.coalesce("into", c)).drop("into")
         graphs = scratch.save(up(graphs, "graph").groupBy("group", "graph").agg(*(F.sum(c).alias(c) for c in ("n", "v", "w"))), f"graphs{k}")
         member = scratch.save(up(member, "graph"), f"member{k}")

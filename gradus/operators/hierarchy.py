@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gradus.filters import DEFAULT, Filters
 from gradus.functions.compare import guarded, signed_min
 from gradus.operators import graph, params
-from gradus.operators.components import connected_components
+from gradus.operators.components import components_within
 from gradus.plans.scratch import Scratch, rounds
 
 
@@ -93,7 +93,7 @@ def trace_edges(spark: SparkSession, nodes: DataFrame, links: DataFrame, members
     met = links.select("group", "a", "b").join(side("a"), "a").join(side("b"), "b").where("k_a <> k_b")
     pairs = met.select("group", F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")).distinct().withColumn("dist", F.lit(0.0))
     compared = graph.compare_nodes(pairs, graph.as_nodes(graph.aggregate_nodes(nodes, membership)))
-    return connected_components(spark, compared.where(F.col("m") > least).select("a", "b")).toDF("node_id", "root")
+    return components_within(spark, compared.where(F.col("m") > least), ["group"]).select("node", "component").toDF("node_id", "root")
 
 
 def level_order(levels: DataFrame, by: str = "m") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradus.filters import DEFAULT, Filters
 from gradus.operators.blobs import adjacency, label_by_segments
-from gradus.operators.components import connected_components
+from gradus.operators.components import components_within
 from gradus.plans.scratch import Scratch, rounds
 
 ROOT = ("frame_id", "root")
@@ -49,9 +49,7 @@ def _gathered(regions: DataFrame) -> DataFrame:
 
 def _components(spark: SparkSession, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(frame_id, root, region, into) of the regions in pairs (a, b): the least region that they reach."""
-    key = lambda c: F.struct(*ROOT, F.col(c).alias("region"))
-    found = connected_components(spark, pairs.select(key("a").alias("a"), key("b").alias("b")))
-    return found.select("node.*", F.col("component.region").alias("into"))
+    return components_within(spark, pairs, list(ROOT)).toDF(*ROOT, "region", "into")
 
 
 def merge_weak(spark: SparkSession, regions: DataFrame, pairs: DataFrame, filters: Filters = DEFAULT) -> DataFrame:

@@ -203,13 +203,11 @@ def fixed_range(derps: DataFrame, rng: int, filters: Filters = DEFAULT) -> DataF
 
 def linked_clusters(spark, derps: DataFrame, rng: int = 1, filters: Filters = DEFAULT) -> DataFrame:
     """Single linkage over fixed-range links of positive match whose both ends match well on the mean."""
-    from gradus.operators.components import connected_components
+    from gradus.operators.components import components_within
 
     ends = fixed_range(derps, rng, filters).where(F.col("m") > filters.pp_M * 0.4).select(*LINE, "param", "pos")
     w = Window.partitionBy(*LINE, "param").orderBy("pos")
     links = derps.select(*LINE, "param", "pos", "i", F.lead("pos", rng).over(w).alias("other"), F.lead("i", rng).over(w).alias("j")).where("other is not null")
     good = links.where(inverse_match(F.col("j") - F.col("i"), filters.pp_M) > 0)
     good = good.join(ends, [*LINE, "param", "pos"]).join(ends.withColumnRenamed("pos", "other"), [*LINE, "param", "other"])
-    name = lambda c: F.struct(*LINE, "param", F.col(c).alias("pos"))
-    found = connected_components(spark, good.select(name("pos").alias("a"), name("other").alias("b")))
-    return found.select("node.*", F.col("component.pos").alias("first"))
+    return components_within(spark, good, [*LINE, "param"], "pos", "other").toDF(*LINE, "param", "pos", "first")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gradus.filters import DEFAULT, Filters
 from gradus.functions.compare import signed_min, wrapped
 from gradus.operators.blobs import STRIDE
-from gradus.operators.components import connected_components
+from gradus.operators.components import components_within
 from gradus.operators.stencil import PIXEL
 
 EDGE = ["frame_id", "blob_id"]
@@ -296,10 +296,8 @@ def compare_links(links: DataFrame, filters: Filters = DEFAULT) -> DataFrame:
 def slice_clusters(spark: SparkSession, links: DataFrame, filters: Filters = DEFAULT, by: str = "m") -> DataFrame:
     """Slices joined by links over the average, with the cluster's name: its smallest slice."""
     ave = filters.ave_slice_m if by == "m" else filters.ave_slice_d
-    key = lambda c: F.struct(*EDGE, F.col(c).alias("slice_id"))
     kept = links.where(F.col(by) > ave * F.col("c"))
-    found = connected_components(spark, kept.select(key("a").alias("a"), key("b").alias("b")))
-    return found.select("node.*", F.col("component.slice_id").alias("cluster_id"))
+    return components_within(spark, kept, EDGE).toDF(*EDGE, "slice_id", "cluster_id")
 
 
 def cluster_sums(clusters: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
@@ -333,7 +331,7 @@ def same_sign_chains(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     named = pairs.select(up.alias("up"), down.alias("down"), (F.col("dL") > 0).alias("sign"), F.struct("frame_id", (F.col("y") - 1).alias("y"), F.col("a_lo").alias("up"), F.col("lo").alias("down")).alias("pair"))
     a = named.select(F.col("down").alias("mid"), "sign", F.col("pair").alias("a"))
     b = named.select(F.col("up").alias("mid"), "sign", F.col("pair").alias("b"))
-    found = connected_components(spark, a.join(b, ["mid", "sign"]).select("a", "b"))
+    found = components_within(spark, a.join(b, ["mid", "sign"]).select("mid.frame_id", "a", "b"), ["frame_id"])
     return found.select("node.*", F.struct("component.y", "component.up", "component.down").alias("first"))
 
 
