@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gradus.operators import blobs, components
+from gradus.filters import Filters
+from gradus.operators import blobs, components, stencil
 
 KEYS = ["line_id", "fork"]
 
@@ -43,3 +45,19 @@ def test_struct_nodes_and_batches(spark, monkeypatch):
     node = lambda c: F.struct((F.col(c) + 0).alias("p"), F.lit(1).alias("q")).alias(c)
     got = components.components_within(spark, edges.select("g", node("u"), node("v")), ["g"], "u", "v").collect()
     assert {(r.g, r.node.p, r.component.p) for r in got} == {(g, k, (k - 1) // 10 * 10 + 1) for g in range(3) for k in range(1, 51)}
+
+
+def test_rings_around_some_pixels(spark):
+    rng = np.random.default_rng(3)
+    pixels = spark.createDataFrame([(f, y, x, int(rng.integers(256))) for f in range(2) for y in range(11) for x in range(12) if rng.random() > 0.02], "frame_id long, y int, x int, i long")
+    derts = stencil.gradient_3x3(pixels, Filters(ave_g=15))
+    whole = {(r.frame_id, r.y, r.x): (r.g, r.s) for r in stencil.ring_compare(pixels, derts, 3, Filters(ave_g=15), 2.5).collect()}
+    inner = derts.where("y % 2 = 0").select("frame_id", "y", "x", "i", "dy4", "dx4", F.lit(0).cast("long").alias("root"))
+    rows = pixels.groupBy("frame_id", "y").agg(F.collect_list("x").alias("row_x"), F.collect_list("i").alias("row_i"))
+    got = {(r.frame_id, r.y, r.x): (r.g, r.s) for r in blobs._ringed(rows, inner, 3, Filters(ave_g=15), 2.5).collect()}
+    assert got and got == {k: v for k, v in whole.items() if k[1] % 2 == 0}
+
+
+def test_regions_dont_connect():
+    y, x = (a.ravel() for a in np.mgrid[0:2, 0:4])
+    assert blobs._label_frame(y, x, np.ones(8, bool), x // 2).tolist() == [0, 0, 2, 2] * 2
