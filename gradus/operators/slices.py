@@ -23,10 +23,15 @@ from gradus.operators.stencil import PIXEL
 EDGE = ["frame_id", "blob_id"]
 
 
+def _dealt(side: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled, never broadcast: these tables grow with the pixels, and written ones are many times their file's size in the driver."""
+    return side.hint("merge")
+
+
 def edge_pixels(labelled: DataFrame, blobs: DataFrame, filters: Filters = DEFAULT) -> DataFrame:
     """Pixels of the negative blobs with G > ave_G * area."""
     edges = blobs.where(~F.col("s") & (F.col("G1000") > 1000 * filters.ave_G * F.col("area"))).select(*EDGE)
-    return labelled.join(edges, EDGE, "left_semi").select(*PIXEL, "blob_id", "i", "dy4", "dx4", "g")
+    return labelled.join(_dealt(edges), EDGE, "left_semi").select(*PIXEL, "blob_id", "i", "dy4", "dx4", "g")
 
 
 def edge_maxima(pixels: DataFrame) -> DataFrame:
@@ -37,8 +42,8 @@ def edge_maxima(pixels: DataFrame) -> DataFrame:
     sides = F.array(F.lit(-1), F.lit(1))
     asked = named.withColumn("side", F.explode(sides)).select(*PIXEL, "blob_id", "q", (F.col("y") + F.col("side") * F.col("sy")).alias("ny"), (F.col("x") + F.col("side") * F.col("sx")).alias("nx"))
     other = named.select("frame_id", "blob_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("q").alias("nq"))
-    beaten = asked.join(other, ["frame_id", "blob_id", "ny", "nx"]).where("q < nq").select(*PIXEL).distinct()
-    return named.join(beaten, PIXEL, "left_anti").select(*PIXEL, "blob_id", "dy4", "dx4")
+    beaten = asked.join(_dealt(other), ["frame_id", "blob_id", "ny", "nx"]).where("q < nq").select(*PIXEL).distinct()
+    return named.join(_dealt(beaten), PIXEL, "left_anti").select(*PIXEL, "blob_id", "dy4", "dx4")
 
 
 def interpolate(points: DataFrame, pixels: DataFrame, value: str = "i") -> DataFrame:
@@ -46,7 +51,7 @@ def interpolate(points: DataFrame, pixels: DataFrame, value: str = "i") -> DataF
     spread = lambda c: F.when(F.floor(c) == F.col(c), F.array(F.floor(c))).otherwise(F.array(F.floor(c), F.floor(c) + 1))
     corner = points.withColumn("y", F.explode(spread("py"))).withColumn("x", F.explode(spread("px")))
     k = (F.lit(1.0) - F.abs(F.col("y") - F.col("py"))) * (F.lit(1.0) - F.abs(F.col("x") - F.col("px")))
-    met = corner.withColumn("k", k).join(pixels.select(*PIXEL, "blob_id", F.col(value).alias("v")), [*PIXEL, "blob_id"])
+    met = corner.withColumn("k", k).join(_dealt(pixels.select(*PIXEL, "blob_id", F.col(value).alias("v"))), [*PIXEL, "blob_id"])
     return met.groupBy(*points.columns).agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias(value))
 
 
@@ -267,7 +272,7 @@ def compare_slices(found: DataFrame, filters: Filters = DEFAULT, rng: float = 1)
     """Linked slices at most 2 * rng apart (sum of coordinates): matches and differences of M, D, I, G, angle and L, their sums m and d, and c."""
     side = lambda c: found.where("kind = 'slice'").select(*EDGE, F.col("slice_id").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("y", "x", "I", "G", "Dy", "Dx", "M", "D", "L")))
     links = found.where("kind = 'link'").select(*EDGE, F.col("slice_id").alias("a"), F.col("other").alias("b"))
-    met = links.join(side("a"), [*EDGE, "a"]).join(side("b"), [*EDGE, "b"])
+    met = links.join(_dealt(side("a")), [*EDGE, "a"]).join(_dealt(side("b")), [*EDGE, "b"])
     met = met.where(F.abs(F.col("y_a") - F.col("y_b")) + F.abs(F.col("x_a") - F.col("x_b")) <= 2 * rng)
     rn = F.col("L_a") / F.col("L_b")
     m, d = {}, {}
@@ -287,7 +292,7 @@ def compare_links(links: DataFrame, filters: Filters = DEFAULT) -> DataFrame:
     d_ = [c for c in links.columns if c.startswith("d_")]
     low = links.where(F.col("d") / F.col("c") > filters.ave_slice_d).select(*EDGE, "a", "b", *(F.col(c).alias(f"l{c}") for c in d_))
     up = links.select(*EDGE, F.col("b").alias("a"), F.col("a").alias("top"), *(F.col(c).alias(f"u{c}") for c in d_))
-    met = low.join(up, [*EDGE, "a"])
+    met = low.join(_dealt(up), [*EDGE, "a"])
     m = sum((signed_min(F.col(f"l{c}"), F.col(f"u{c}")) for c in d_), F.lit(0.0))
     d = sum((F.abs(F.col(f"l{c}") - F.col(f"u{c}")) for c in d_), F.lit(0.0))
     return met.select(*EDGE, "b", "a", "top", m.alias("m"), d.alias("d"))
@@ -303,15 +308,15 @@ def slice_clusters(spark: SparkSession, links: DataFrame, filters: Filters = DEF
 def cluster_sums(clusters: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
     """Sums, box and number of slices of each cluster, its inner links' m and d (link_m, link_d), and how many links cross its border."""
     slices = found.where("kind = 'slice'")
-    whole = slices.join(clusters, [*EDGE, "slice_id"])
+    whole = slices.join(_dealt(clusters), [*EDGE, "slice_id"])
     key = [*EDGE, "cluster_id"]
     out = whole.groupBy(*key).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("I", "G", "Dy", "Dx", "M", "D", "L")), F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("yn"), F.max("x").alias("xn"))
     side = lambda c: clusters.select(*EDGE, F.col("slice_id").alias(c), F.col("cluster_id").alias(f"k_{c}"))
-    met = links.join(side("a"), [*EDGE, "a"], "left").join(side("b"), [*EDGE, "b"], "left")
+    met = links.join(_dealt(side("a")), [*EDGE, "a"], "left").join(_dealt(side("b")), [*EDGE, "b"], "left")
     inner = met.where("k_a = k_b").groupBy(*EDGE, F.col("k_a").alias("cluster_id")).agg(F.sum("m").alias("link_m"), F.sum("d").alias("link_d"))
     ends = met.where("k_a is distinct from k_b").select(*EDGE, F.explode(F.array("k_a", "k_b")).alias("cluster_id")).where("cluster_id is not null")
     border = ends.groupBy(*key).agg(F.count("*").alias("n_border"))
-    return out.join(inner, key, "left").join(border, key, "left").na.fill(0, ["n_border"])
+    return out.join(_dealt(inner), key, "left").join(_dealt(border), key, "left").na.fill(0, ["n_border"])
 
 
 def segment_slices(segments: DataFrame) -> DataFrame:
