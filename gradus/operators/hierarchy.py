@@ -25,15 +25,14 @@ def sequence_levels(spark: SparkSession, runs: DataFrame, filters: Filters = DEF
     scratch, out = Scratch(spark, "levels"), []
     current = runs.select("line_id", F.lit("").alias("path"), "fork", "seg", "L", "I", "D", "M", "Rdn", "x0")
     for level in rounds(2, levels):
-        # every group is a line of its own; a map leads back to what it stands for
-        keyed = current.withColumn("own", F.xxhash64("line_id", "path"))
-        names = keyed.select("own", "line_id", "path").distinct()
-        pps = params.second_level(keyed.drop("line_id", "path").withColumnRenamed("own", "line_id"), filters).withColumnRenamed("line_id", "own")
-        pps = scratch.save(pps.join(names, "own").drop("own").withColumn("level", F.lit(level)), f"level{level}")
-        out.append(pps)
-        group = Window.partitionBy("line_id", "path", "fork", "param", "sign_fork")
-        taken = pps.withColumns({"n": F.count("*").over(group), "sum_M": F.sum("M").over(group)}).where((F.col("n") >= 3) & (F.col("sum_M") > 4 * filters.pp_M))
-        current = taken.select("line_id", F.concat("path", "fork", "param").alias("path"), F.col("sign_fork").alias("fork"), "seg", "L", "I", "D", "M", "Rdn", "x0")
+        # every group is a line of its own, named by line and path; a level is one shuffle by it, and tells itself which groups are taken up
+        pps = params.second_level(current.withColumn("line_id", F.struct("line_id", "path")).drop("path"), filters)
+        group = Window.partitionBy("line_id", "fork", "param", "sign_fork")
+        pps = pps.withColumn("taken", (F.count("*").over(group) >= 3) & (F.sum("M").over(group) > 4 * filters.pp_M))
+        rest = [c for c in pps.columns if c not in ("line_id", "taken")]
+        pps = scratch.save(pps.select(*rest, "line_id.line_id", "line_id.path", F.lit(level).alias("level"), "taken"), f"level{level}")
+        out.append(pps.drop("taken"))
+        current = pps.where("taken").select("line_id", F.concat("path", "fork", "param").alias("path"), F.col("sign_fork").alias("fork"), "seg", "L", "I", "D", "M", "Rdn", "x0")
         if current.isEmpty():
             break
     return reduce(DataFrame.unionByName, out)
