@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from gradus.filters import DEFAULT, Filters
 from gradus.functions.compare import guarded, signed_min
 from gradus.operators import graph, params
 from gradus.operators.components import components_within
-from gradus.plans.scratch import Scratch, rounds
+from gradus.plans.scratch import Scratch, partitions, rounds
 
 
 def sequence_levels(spark: SparkSession, runs: DataFrame, filters: Filters = DEFAULT, levels: int | None = None) -> DataFrame:
@@ -110,17 +113,107 @@ def compare_hierarchies(levels: DataFrame) -> DataFrame:
     return met.groupBy("group").agg(F.count("*").alias("n_levels"), mean(signed_min("m", "m2") + signed_min("d", "d2")).alias("m"), mean(F.abs(F.col("m") - F.col("m2")) + F.abs(F.col("d") - F.col("d2"))).alias("d"))
 
 
+#: Entries of a range's lists held before they are summed up, and products of them summed up at once.
+HELD, AT_ONCE = 1 << 22, 1 << 21
+
+
+def _summed(a: np.ndarray, b: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of a pair brought together: the first value summed, the others kept."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    heads = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[heads], b[heads], np.add.reduceat(values[0][order], heads), *(v[order][heads] for v in values[1:])
+
+
+def _products(lists: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """Pairs (a, b, shared, t_a, t_b) of the lists of a range: each of a list's first sets, which have weights, with every set after it."""
+    flat = lambda c: np.concatenate([x[c].flatten().to_numpy(zero_copy_only=False) for x in lists])
+    sizes = lambda c: np.concatenate([x[c].value_lengths().to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
+    ids, t, w, size, own = flat("set_id"), flat("t"), flat("w"), sizes("set_id"), sizes("w")
+    sets, at = np.unique(ids, return_inverse=True)
+    total = np.empty(len(sets), t.dtype)
+    total[at] = t
+    row = np.repeat(np.arange(len(own)), own)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+    place, after = (np.cumsum(size) - size)[row] + nth, size[row] - nth - 1
+    order = np.argsort(at[place], kind="stable")
+    place, after, w, a = place[order], after[order], w[order], at[place[order]]
+    heads = np.flatnonzero(np.diff(a, prepend=-1))
+    block = np.cumsum(np.add.reduceat(after, heads)) // AT_ONCE
+    cuts = np.r_[heads[np.flatnonzero(np.diff(block, prepend=-1))], len(a)]
+    out = []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        n = after[lo:hi]
+        other = at[np.repeat(place[lo:hi] + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        code, weight = np.repeat((a[lo:hi] - a[lo]) * len(sets), n) + other, np.repeat(w[lo:hi], n)
+        cells = (a[hi - 1] - a[lo] + 1) * len(sets)
+        if cells <= 4 * len(code):  # a table of all cells, else only those met
+            met, shared = np.zeros(cells, bool), np.zeros(cells, w.dtype)
+            met[code] = True
+            np.add.at(shared, code, weight)
+            pair = np.flatnonzero(met)
+            shared = shared[pair]
+        else:
+            pair, to = np.unique(code, return_inverse=True)
+            shared = np.zeros(len(pair), w.dtype)
+            np.add.at(shared, to, weight)
+        i, j = a[lo] + pair // len(sets), pair % len(sets)
+        out.append((sets[i], sets[j], shared, total[i], total[j]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _range_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of range after range, from lists that come in order of their range."""
+
+    def pairs(done: list) -> Iterator[pa.RecordBatch]:
+        cols = done[0] if len(done) == 1 else _summed(*(np.concatenate(c) for c in zip(*done)))
+        for i in range(0, len(cols[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], ["a", "b", "shared", "t_a", "t_b"])
+
+    current, lists, held, done = None, [], 0, []
+    for batch in batches:
+        of = batch["range"].to_numpy()
+        cuts = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo == hi:
+                continue
+            if lists and (of[lo] != current or held >= HELD):
+                done.append(_products(lists))
+                lists, held = [], 0
+            if done and of[lo] != current:
+                yield from pairs(done)
+                done = []
+            current, part = of[lo], batch.slice(lo, hi - lo)
+            lists.append(part)
+            held += len(part["set_id"].flatten())
+    if lists:
+        done.append(_products(lists))
+    if done:
+        yield from pairs(done)
+
+
 def weighted_overlap(members: DataFrame) -> DataFrame:
     """For sets (set_id, member, w): pairs that share a member, with shared weight over unshared weight.
 
-    Pairs come from the members they share, never from a cross join.
+    Pairs come from the members they share, never from a cross join; the weights of
+    repeated rows add up, null ones count nothing. Sets are dealt to ranges. A member's list goes once to each
+    range that holds one of its sets, from the first such set on, and a pair is summed
+    where its lower set lies: lists are shuffled, not a row for each pair and member.
     """
-    total = members.groupBy("set_id").agg(F.sum("w").alias("t"))
-    right = members.select(F.col("set_id").alias("b"), "member")
-    shared = members.join(right, "member").where(F.col("set_id") < F.col("b")).groupBy(F.col("set_id").alias("a"), "b").agg(F.sum("w").alias("shared"))
-    side = lambda s: total.select(F.col("set_id").alias(s), F.col("t").alias(f"t_{s}"))
-    met = shared.join(side("a"), "a").join(side("b"), "b")
-    return met.select("a", "b", "shared", (F.col("shared") / guarded(F.col("t_a") + F.col("t_b") - 2 * F.col("shared"))).alias("overlap"))
+    ranges = partitions(members.sparkSession)
+    of_set = Window.partitionBy("set_id")
+    # whole sets lie in a range, and ranges ascend with set_id
+    sets = members.where("set_id IS NOT NULL").repartitionByRange(ranges, "set_id").groupBy("set_id", "member").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"))
+    sets = sets.withColumn("t", F.sum("w").over(of_set)).withColumn("range", F.spark_partition_id()).where("member IS NOT NULL")
+    lists = sets.groupBy("member").agg(F.sort_array(F.collect_list(F.struct("set_id", "range", "w", "t"))).alias("of")).where(F.size("of") > 1)
+    met = lists.withColumn("range", F.explode(F.array_distinct("of.range"))).withColumn("first", F.array_position("of.range", F.col("range")).cast("int"))
+    own = F.size(F.filter("of", lambda x: x["range"] == F.col("range")))
+    part = lambda c, n: F.slice(F.col("of")[c], F.col("first"), n).alias(c)
+    met = met.where(F.col("first") < F.size("of")).select("range", part("set_id", F.size("of")), part("t", F.size("of")), part("w", own))
+    kind = {f.name: f.dataType.simpleString() for f in sets.schema}
+    schema = f"a {kind['set_id']}, b {kind['set_id']}, shared {kind['w']}, t_a {kind['t']}, t_b {kind['t']}"
+    shared = met.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_range_pairs, schema)
+    return shared.select("a", "b", "shared", (F.col("shared") / guarded(F.col("t_a") + F.col("t_b") - 2 * F.col("shared"))).alias("overlap"))
 
 
 def prune_overlaps(membership: DataFrame, ave: float) -> DataFrame:

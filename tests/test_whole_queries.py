@@ -4,8 +4,11 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import duckdb
+import pyarrow as pa
 import pytest
 
+from gradus.operators import hierarchy
 from gradus.plans import graph_queries
 
 
@@ -26,6 +29,42 @@ def test_weighted_overlap_of_all_line_items(spark, tmp_path):
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
 
 
+def test_weighted_overlap_shuffles_lists_not_pairs(spark, tmp_path):
+    rng = random.Random(4)
+    some = lambda top: rng.choice([None, *range(-3, top)])
+    items = [(some(30) if i % 3 else 5, some(12)) for i in range(600)]
+    spark.createDataFrame(items, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = graph_queries.weighted_overlap(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 3
+    with duckdb.connect() as engine:
+        engine.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        want = engine.sql(graph_queries.ORACLES["weighted_overlap"]).fetchall()
+    got = [tuple(r) for r in found.collect()]
+    assert len(want) > 400 and sorted(got) == sorted(want)
+
+
+def test_pairs_of_ranges_in_parts(monkeypatch):
+    rng = random.Random(5)
+    total = {s: rng.randint(1, 99) for s in range(0, 400, 7)}
+    rows = []
+    for place in sorted(rng.randint(0, 3) for _ in range(60)):
+        ids = sorted(rng.sample([s for s in total if s >= 100 * place], rng.randint(2, 6)))
+        own = max(1, sum(s < 100 * place + 100 for s in ids))
+        rows.append((place, ids, [total[s] for s in ids], [rng.randint(1, 9) for _ in range(own)]))
+    want = Counter()
+    for place, ids, _, w in rows:
+        for i, x in enumerate(w):
+            for b in ids[i + 1 :]:
+                want[place, ids[i], b] += x
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 8])], ["range", "set_id", "t", "w"]) for i in range(0, len(rows), 8)]
+    for held, at_once in ((1 << 22, 1 << 21), (20, 3), (1, 1)):
+        monkeypatch.setattr(hierarchy, "HELD", held)
+        monkeypatch.setattr(hierarchy, "AT_ONCE", at_once)
+        got = [tuple(r.values()) for b in hierarchy._range_pairs(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == sorted((a, b, n, total[a], total[b]) for (_, a, b), n in want.items())
+
+
 def test_a_point_at_every_edge_pixel(spark):
     sf = "/root/testdata/sf0.001"
     value = {(r.frame_id, r.blob_id, r.y, r.x): r.i for r in graph_queries._edge_pixels(spark, sf).collect()}
