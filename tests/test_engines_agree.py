@@ -17,3 +17,15 @@ def test_thousandths_of_decimal_ties(spark):
     values = [-2113485.2375, -1063039.9625, -531294.7625, 0.0005, -0.0001, 1.5]
     got = [r.v for r in graph_queries._thousandths(spark.createDataFrame([(v,) for v in values], "v double")).collect()]
     assert got == [-2113485.237, -1063039.962, -531294.762, 0.001, 0.0, 1.5] and math.copysign(1, got[4]) == 1
+
+
+def test_angles_of_links_are_the_c_librarys(spark):
+    """Cosines and turns to the last digit: a link's difference multiplies it by up to 10^9 before it is rounded."""
+    nodes = [(0, k, 0.0, float(k), 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, float(k * k % 97 - 40), float(k * 31 % 89 - 50)) for k in range(60)]
+    names = ("group", "node_id", "y", "x", "c", "r", "span", "n", "M", "D", "I", "G", "dy", "dx")
+    table = spark.createDataFrame(nodes, ", ".join(f"{c} {'long' if c in ('group', 'node_id') else 'double'}" for c in names))
+    pairs = spark.createDataFrame([(0, a, b, 1.0) for a in range(60) for b in range(a + 1, 60)], "group long, a long, b long, dist double")
+    for r in graph.compare_nodes(pairs, table).collect():
+        turn = math.atan2(*nodes[r.a][-2:]) - math.atan2(*nodes[r.b][-2:])
+        turn = math.atan2(math.sin(turn), math.cos(turn))
+        assert (r.m_A, r.d_A) == ((math.cos(turn) + 1) / 2, turn / math.pi)
