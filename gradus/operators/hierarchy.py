@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -192,27 +195,108 @@ def _range_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(done)
 
 
+#: Entries of members' lists that a task packs at once, and rows of members that a range has at most where there are more ranges than partitions.
+PACKED, IN_RANGE = 1 << 20, 500_000
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """An array's bytes, the first of all values, then the second of all, …, compressed: small numbers take little."""
+    if values.dtype == object:
+        return pickle.dumps(values)
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: np.dtype, n: int) -> np.ndarray:
+    if kind == object:
+        return pickle.loads(data)
+    planes = np.frombuffer(pa.decompress(data, n * kind.itemsize, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+PARCEL = "range int, lists long, size binary, own binary, w binary, first binary, steps binary"
+
+
+def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members' lists (set_id, range, w by set_id) as a row for each range that holds one of their sets: all lists from their first such set on."""
+    names = [c.split()[0] for c in PARCEL.split(", ")]
+
+    def parcels(lists: list[pa.RecordBatch]) -> pa.RecordBatch:
+        of = pa.chunked_array([x["of"] for x in lists]).combine_chunks()
+        size, (ids, to, w) = of.value_lengths().to_numpy(), (of.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("set_id", "range", "w"))
+        start = np.cumsum(size) - size
+        head = np.ones(len(ids), bool)
+        head[1:] = to[1:] != to[:-1]
+        head[start] = True
+        head = np.flatnonzero(head)
+        own, left = np.diff(np.r_[head, len(ids)]), np.repeat(start + size, size)[head] - head
+        head, own, left = (c[left > 1] for c in (head, own, left))
+        order = np.argsort(to[head], kind="stable")
+        head, own, left = head[order], own[order], left[order]
+        rows = []
+        for part in np.split(np.arange(len(head)), np.flatnonzero(np.diff(to[head])) + 1):
+            flat = lambda n: np.repeat(head[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            set_, begin = ids[flat(left[part])], np.cumsum(left[part]) - left[part]
+            # only an integer's step from the one before it is sent
+            steps = set_ if set_.dtype.kind not in "iu" else np.diff(set_, prepend=set_[:1])
+            if set_.dtype.kind in "iu":
+                steps[begin] = 0
+            rows.append((to[head[part[0]]], len(part), *map(_packed, (left[part], own[part], w[flat(own[part])], set_[begin], steps))))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+
+    lists, held = [], 0
+    for batch in batches:
+        lists.append(batch)
+        held += len(batch["of"].flatten())
+        if held >= PACKED:
+            yield parcels(lists)
+            lists, held = [], 0
+    if held:
+        yield parcels(lists)
+
+
+def _listed(batches: Iterator[pa.RecordBatch], totals: str, set_kind: np.dtype, w_kind: np.dtype) -> Iterator[pa.RecordBatch]:
+    """The lists of parcels, with the sets' total weights out of the shared folder."""
+    sets = t = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if sets is None:
+                where, path = fs.FileSystem.from_uri(totals) if ":" in totals else (fs.LocalFileSystem(), totals)
+                table = pq.read_table(path, filesystem=where).sort_by("set_id")
+                sets, t = (table[c].to_numpy() for c in ("set_id", "t"))
+            size, own = (_unpacked(row[c], np.dtype(np.int64), row["lists"]) for c in ("size", "own"))
+            w, ids = _unpacked(row["w"], w_kind, own.sum()), _unpacked(row["steps"], set_kind, size.sum())
+            if set_kind.kind in "iu":
+                first, begin = _unpacked(row["first"], set_kind, len(size)), np.cumsum(size) - size
+                ids = np.cumsum(ids, dtype=set_kind)
+                ids += np.repeat(first - ids[begin], size)
+            lists = lambda n, c: pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), pa.array(c))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), row["range"])), lists(size, ids), lists(size, t[np.searchsorted(sets, ids)]), lists(own, w)], ["range", "set_id", "t", "w"])
+
+
 def weighted_overlap(members: DataFrame) -> DataFrame:
     """For sets (set_id, member, w): pairs that share a member, with shared weight over unshared weight.
 
     Pairs come from the members they share, never from a cross join; the weights of
     repeated rows add up, null ones count nothing. Sets are dealt to ranges. A member's list goes once to each
     range that holds one of its sets, from the first such set on, and a pair is summed
-    where its lower set lies: lists are shuffled, not a row for each pair and member.
+    where its lower set lies: lists are shuffled, not a row for each pair and member. They are packed, the
+    lists of a task and range in one row (some two bytes a set); total weights lie in the shared folder, 16 bytes a set.
     """
-    ranges = partitions(members.sparkSession)
-    of_set = Window.partitionBy("set_id")
+    spark = members.sparkSession
+    known = members.where("set_id IS NOT NULL")
+    ranges = max(partitions(spark), known.count() // IN_RANGE)
     # whole sets lie in a range, and ranges ascend with set_id
-    sets = members.where("set_id IS NOT NULL").repartitionByRange(ranges, "set_id").groupBy("set_id", "member").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"))
-    sets = sets.withColumn("t", F.sum("w").over(of_set)).withColumn("range", F.spark_partition_id()).where("member IS NOT NULL")
-    lists = sets.groupBy("member").agg(F.sort_array(F.collect_list(F.struct("set_id", "range", "w", "t"))).alias("of")).where(F.size("of") > 1)
-    met = lists.withColumn("range", F.explode(F.array_distinct("of.range"))).withColumn("first", F.array_position("of.range", F.col("range")).cast("int"))
-    own = F.size(F.filter("of", lambda x: x["range"] == F.col("range")))
-    part = lambda c, n: F.slice(F.col("of")[c], F.col("first"), n).alias(c)
-    met = met.where(F.col("first") < F.size("of")).select("range", part("set_id", F.size("of")), part("t", F.size("of")), part("w", own))
-    kind = {f.name: f.dataType.simpleString() for f in sets.schema}
+    sets = known.repartitionByRange(ranges, "set_id").groupBy("set_id", "member").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"))
+    scratch, summed = Scratch(spark, "overlap"), known.groupBy("set_id").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("t"))
+    scratch.save(summed, "totals")
+    dealt = sets.withColumn("range", F.spark_partition_id()).where("member IS NOT NULL")
+    lists = dealt.groupBy("member").agg(F.sort_array(F.collect_list(F.struct("set_id", "range", "w"))).alias("of")).where(F.size("of") > 1)
+    met = lists.select("of").mapInArrow(_parcels, PARCEL).repartition(ranges, "range").sortWithinPartitions("range")
+    kind = {f.name: f.dataType.simpleString() for f in [*sets.schema, *summed.schema]}
+    fixed = {"bigint": "i8", "int": "i4", "smallint": "i2", "tinyint": "i1", "double": "f8", "float": "f4"}
+    totals, set_kind, w_kind = scratch.path("totals"), *(np.dtype(fixed.get(kind[c], "O")) for c in ("set_id", "w"))
     schema = f"a {kind['set_id']}, b {kind['set_id']}, shared {kind['w']}, t_a {kind['t']}, t_b {kind['t']}"
-    shared = met.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_range_pairs, schema)
+    shared = met.mapInArrow(lambda batches: _range_pairs(_listed(batches, totals, set_kind, w_kind)), schema)
     return shared.select("a", "b", "shared", (F.col("shared") / guarded(F.col("t_a") + F.col("t_b") - 2 * F.col("shared"))).alias("overlap"))
 
 

@@ -1,11 +1,14 @@
 """Registered queries against brute force on small tables: nothing of the input may be left out."""
 
 import random
+import tempfile
 from collections import Counter
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from gradus.operators import hierarchy
@@ -75,3 +78,23 @@ def test_a_point_at_every_edge_pixel(spark):
     got = {(r.frame_id, r.blob_id, r.py, r.px): r.i for r in graph_queries.interpolated_points(spark, sf).collect()}
     assert got.keys() == want.keys() and len(want) > 100
     assert all(abs(got[k] - want[k]) < 0.501 for k in want)
+
+
+def test_weighted_overlap_sends_small_parcels(monkeypatch):
+    """A range's lists take some two bytes a set, not sixteen; what comes out is what went in."""
+    rng = random.Random(6)
+    total = {s: rng.randint(1, 999) for s in range(-5000, 55000)}
+    lists = [[{"set_id": s, "range": (s + 5000) // 600, "w": rng.randint(1, 3)} for s in sorted(rng.sample(sorted(total), 30))] for _ in range(400)]
+    sent = list(hierarchy._parcels(iter([pa.RecordBatch.from_pylist([{"of": x} for x in lists[i : i + 90]]) for i in range(0, 400, 90)])))
+    with tempfile.TemporaryDirectory() as folder:
+        pq.write_table(pa.table({"set_id": list(total), "t": list(total.values())}), f"{folder}/t.parquet")
+        got = [tuple(r.values()) for b in hierarchy._listed(iter(sent), folder, np.dtype("i8"), np.dtype("i8")) for r in b.to_pylist()]
+    want = []
+    for of in lists:
+        for i, x in enumerate(of[:-1]):
+            if not i or of[i - 1]["range"] != x["range"]:
+                ids = [e["set_id"] for e in of[i:]]
+                want.append((x["range"], ids, [total[s] for s in ids], [e["w"] for e in of[i:] if e["range"] == x["range"]]))
+    assert sorted(got) == sorted(want)
+    monkeypatch.setattr(hierarchy, "PACKED", 1)
+    assert sum(len(b) for b in hierarchy._parcels(iter([pa.RecordBatch.from_pylist([{"of": x}]) for x in lists]))) == len(want)
