@@ -20,6 +20,9 @@ from gradus.operators.components import components_within
 from gradus.plans.scratch import Scratch, partitions, rounds
 
 
+LEVEL = "fork string, param string, sign_fork string, seg long, L long, I double, D double, M double, Rdn long, x0 long, ix0 long, flay boolean, line_id long, path string, taken boolean"
+
+
 def sequence_levels(spark: SparkSession, runs: DataFrame, filters: Filters = DEFAULT, levels: int | None = None) -> DataFrame:
     """The second level's comparison applied again to its own groups.
 
@@ -31,12 +34,10 @@ def sequence_levels(spark: SparkSession, runs: DataFrame, filters: Filters = DEF
     scratch, out = Scratch(spark, "levels"), []
     current = runs.select("line_id", F.lit("").alias("path"), "fork", "seg", "L", "I", "D", "M", "Rdn", "x0")
     for level in rounds(2, levels):
-        # every group is a line of its own, named by line and path; a level is one shuffle by it, and tells itself which groups are taken up
-        pps = params.second_level(current.withColumn("line_id", F.struct("line_id", "path")).drop("path"), filters)
-        group = Window.partitionBy("line_id", "fork", "param", "sign_fork")
-        pps = pps.withColumn("taken", (F.count("*").over(group) >= 3) & (F.sum("M").over(group) > 4 * filters.pp_M))
-        rest = [c for c in pps.columns if c not in ("line_id", "taken")]
-        pps = scratch.save(pps.select(*rest, "line_id.line_id", "line_id.path", F.lit(level).alias("level"), "taken"), f"level{level}")
+        # a level is one shuffle by line; many lines are worked on at once, and each tells itself which of its groups are taken up
+        by_line = current.repartition("line_id").sortWithinPartitions("line_id", "path", "fork", "seg")
+        pps = by_line.mapInArrow(params.second_level_of_lines(filters), LEVEL).withColumn("level", F.lit(level))
+        pps = scratch.save(pps, f"level{level}")
         out.append(pps.drop("taken"))
         current = pps.where("taken").select("line_id", F.concat("path", "fork", "param").alias("path"), F.col("sign_fork").alias("fork"), "seg", "L", "I", "D", "M", "Rdn", "x0")
         if current.isEmpty():

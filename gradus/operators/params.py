@@ -7,6 +7,10 @@ Everything stays within a line.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +111,107 @@ def second_level(runs: DataFrame, filters: Filters = DEFAULT) -> DataFrame:
     return form_pps(redundancy(cross_compare(runs, filters)), filters)
 
 
+#: Rows of whole lines that are worked on at once.
+AT_ONCE = 1 << 15
+
+
+def _sweep(runs: pa.RecordBatch, filters: Filters) -> pa.RecordBatch:
+    """second_level() of whole lines, each step of it on all their rows at once; whether a group is taken up (at least three runs, summed match over 4 * pp_M) comes with its rows.
+
+    A value that isn't a number stands for null here, as no other comes up: sums pass it over, and it begins and ends a run.
+    """
+    pos, ix0, length = runs["seg"].to_numpy(), runs["x0"].to_numpy(), runs["L"].to_numpy().astype(float)
+    n, by_d = len(pos), np.asarray(runs["fork"].to_numpy(zero_copy_only=False) == "d")
+    new = np.ones(n, bool)
+    new[1:] = by_d[1:] != by_d[:-1]
+    for c in ("line_id", "path"):
+        code = runs[c].dictionary_encode("encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    group = np.cumsum(new) - 1
+    value = {"L": length} | {c: runs[c].to_numpy(zero_copy_only=False).astype(float) / length for c in "IDM"}
+    rdn_own, counted = runs["Rdn"].fill_null(0).to_numpy(), runs["Rdn"].is_valid().to_numpy(zero_copy_only=False)
+    there, p, d, m, s = {}, {}, {}, {}, {}
+    for name, ave in zip(PARAMS, filters.ave_params):
+        step = np.where(by_d, _step(name, "d"), _step(name, "m"))
+        to = np.minimum(np.arange(n) + step, n - 1)
+        a, b = value[name], value[name][to]
+        there[name] = (np.arange(n) + step < n) & (group[to] == group) & ~np.isnan(b)
+        p[name] = a + b
+        if name == "L":
+            d[name] = b / a
+            r = np.maximum(d[name], 1.0 / d[name])
+            m[name] = np.floor(r) * np.minimum(a, b) - (np.floor(r) * (r - np.floor(r))) / 2 - ave
+        else:
+            d[name] = b - a
+            m[name] = ave - np.abs(d[name]) if name == "I" else np.minimum(a, b) - np.abs(b - a) / 2 - ave
+        s[name] = np.where(there[name] & ~np.isnan(d[name]), np.where(by_d, np.abs(d[name]), m[name]), 0.0)
+    f = by_d.astype(np.int64)
+    rdn = {name: np.zeros(n, np.int64) for name in PARAMS}
+    for a, b, preset_a, preset_b in (("I", "L", f, 0), ("I", "D", f, 1 - f), ("I", "M", f, f), ("D", "M", 1 - f, f)):
+        stronger = s[a] > s[b]
+        rdn[a] += preset_a + ~stronger
+        rdn[b] += preset_b + stronger
+    stronger = s["L"] > np.where(by_d, s["M"], s["D"])
+    rdn["L"] += ~stronger
+    rdn["M"] += by_d * (1 + stronger)
+    rdn["D"] += ~by_d * (1 + stronger)
+    out = []
+    for k, name in enumerate(PARAMS):
+        at = np.flatnonzero(there[name])
+        if not len(at):
+            continue
+        of, r, void = group[at], np.where(counted[at], rdn[name][at] + rdn_own[at], 0), np.isnan(d[name][at])
+        own = np.ones(len(at), bool)
+        own[1:] = of[1:] != of[:-1]
+        for by, sign in (("m", m[name][at] > 0), ("d", d[name][at] > 0)):
+            change = own.copy()
+            change[1:] |= (sign[1:] != sign[:-1]) | void[1:] | void[:-1]
+            run, head = np.cumsum(change) - 1, np.flatnonzero(change)
+            # sums in order of place, as those over rows are
+            I, D, M = (np.where(void[head], np.nan, np.bincount(run, np.where(void, 0.0, x[name][at]))) for x in (p, d, m))
+            L, rdn_of = np.bincount(run), np.add.reduceat(r, head)
+            without = void[head] | (np.add.reduceat(counted[at].astype(int), head) == 0)
+            first = run[np.flatnonzero(own)]
+            part = np.cumsum(own[head]) - 1
+            v, cost = (np.abs(D), L * filters.pp_M * filters.pp_D) if by == "d" else (M, 0)
+            flay = v / (L * 0.7) < v - cost
+            taken = ((np.bincount(part) >= 3) & (np.bincount(part, np.nan_to_num(M)) > 4 * filters.pp_M))[part]
+            row, count = at[head], len(head)
+            out.append((row, np.full(count, k), np.full(count, by == "d"), np.arange(count) - first[part], L, I, D, M, rdn_of + L + L * flay, pos[row], ix0[row], flay, taken, void[head], without))
+    if not out:
+        out = [tuple(np.empty(0, t) for t in (int, int, bool, int, int, float, float, float, int, int, int, bool, bool, bool, bool))]
+    row, param, by, seg, L, I, D, M, Rdn, x0, ix0, flay, taken, void, without = (np.concatenate(c) for c in zip(*out))
+    named = lambda codes, names: pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int8)), pa.array(names)).cast(pa.string())
+    row = pa.array(row)
+    sums = [pa.array(x, mask=void) for x in (I, D, M)]
+    columns = [runs["fork"].take(row), named(param, PARAMS), named(by, ("m", "d")), pa.array(seg), pa.array(L), *sums, pa.array(Rdn, mask=without), pa.array(x0), pa.array(ix0)]
+    columns += [pa.array(flay, mask=void), runs["line_id"].take(row), runs["path"].take(row), pa.array(taken)]
+    return pa.RecordBatch.from_arrays(columns, ["fork", "param", "sign_fork", "seg", "L", "I", "D", "M", "Rdn", "x0", "ix0", "flay", "line_id", "path", "taken"])
+
+
+def second_level_of_lines(filters: Filters = DEFAULT) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: second_level() of runs that come by line, path, fork and place; a line's rows are held together."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        due = AT_ONCE
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < due:
+                continue
+            rows = pa.concat_batches(held)
+            line = rows["line_id"].dictionary_encode("encode").indices.to_numpy()
+            cut = int(np.flatnonzero(line != line[-1])[-1]) + 1 if line[0] != line[-1] else 0
+            if cut:
+                yield _sweep(rows.slice(0, cut), filters)
+            held = [rows.slice(cut)]
+            due = max(AT_ONCE, 2 * len(held[0]))  # a long line isn't looked at again for each batch
+        if sum(map(len, held)):
+            yield _sweep(pa.concat_batches(held), filters)
+
+    return sweep
+
+
 #: Weights of the parameters' matches where runs of different parameters are compared (fixed values, L, I, D, M).
 OVERLAP_WEIGHTS = (0.25, 0.5, 0.25, 0.5)
 
