@@ -1,13 +1,14 @@
 """Edges cut into slices across the gradient, their links and clusters of links.
 
 An edge is a negative blob of high gradient. Slices of stronger maxima go before
-weaker ones (ties by position), so an edge is one task, which works on arrays;
+weaker ones (ties by position), so an edge lies in one task, which works on arrays of many edges;
 all steps after it are joins and grouped sums.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -76,37 +77,49 @@ STEP = np.dtype([("walk", int), ("k", int), ("pixel", int), ("y", float), ("x",
 
 
 class _Edge:
-    """One edge's pixels, sorted by place, as arrays.
+    """The pixels of an edge, or of several that are worked on at once, sorted by place, as arrays.
 
-    A pixel's place is its number in the edge's box with a margin of two, so that neighbours never wrap.
+    A pixel's place is its number in its edge's box with a margin of two, so that neighbours never wrap; boxes follow
+    each other, so edges never meet.
     """
 
     def __init__(self, pdf: pd.DataFrame, filters: Filters):
         self.f = filters
         y, x = pdf.y.to_numpy(np.int64), pdf.x.to_numpy(np.int64)
-        self.y0, self.x0 = y.min() - 2, x.min() - 2
-        self.y_most, self.wide = y.max() + 2, x.max() + 3 - self.x0
-        place = (y - self.y0) * self.wide + x - self.x0
+        edge = pdf.groupby(EDGE).ngroup().to_numpy()
+        by_edge = pd.DataFrame({"y": y, "x": x}).groupby(edge).agg(["min", "max"]).to_numpy()
+        self.y0, self.x0 = by_edge[:, 0] - 2, by_edge[:, 2] - 2
+        self.y_most, self.wide = by_edge[:, 1] + 2, by_edge[:, 3] + 3 - self.x0
+        area = (self.y_most - self.y0 + 1) * self.wide
+        self.base = np.cumsum(area) - area
+        place = self.base[edge] + (y - self.y0[edge]) * self.wide[edge] + x - self.x0[edge]
         order = np.argsort(place)
-        self.place, self.y, self.x = place[order], y[order], x[order]
+        self.place, self.y, self.x, self.edge = place[order], y[order], x[order], edge[order]
+        self.number = None
+        if area.sum() <= 16 * len(place):  # a table of all places, else they are looked up among the pixels'
+            self.number = np.full(area.sum(), -1)
+            self.number[self.place] = np.arange(len(place))
         self.values = np.stack([pdf.i, pdf.g, pdf.dy4 / 4, pdf.dx4 / 4], 1).astype(float)[order]
         self.axis = self.values[:, 2:] / np.maximum(self.values[:, 1:2], 1e-7)
 
-    def at(self, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Numbers of the pixels at whole places, -1 outside the edge."""
-        y, x = y.astype(np.int64), x.astype(np.int64)
-        inside = (y >= self.y0) & (y <= self.y_most) & (x >= self.x0) & (x < self.x0 + self.wide)
-        key = np.where(inside, (y - self.y0) * self.wide + x - self.x0, -1)
+    def at(self, y: np.ndarray, x: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Numbers of the pixels of the edges at whole places, -1 outside them."""
+        y, x = y.astype(np.int64) - self.y0[edge], x.astype(np.int64) - self.x0[edge]
+        wide = self.wide[edge]
+        inside = (y >= 0) & (y <= (self.y_most - self.y0)[edge]) & (x >= 0) & (x < wide)
+        key = np.where(inside, self.base[edge] + y * wide + x, 0)  # a box begins with its margin, which has no pixel
+        if self.number is not None:
+            return self.number[key]
         n = np.minimum(np.searchsorted(self.place, key), len(self.place) - 1)
         return np.where(self.place[n] == key, n, -1)
 
-    def interpolated(self, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def interpolated(self, y: np.ndarray, x: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """Values between the existing ones of four corners; not a number where there is none."""
         total, out = np.zeros(len(y)), np.zeros((len(y), 4))
         fy, fx = np.floor(y), np.floor(x)
         for cy, ky in ((fy, 1 - y + fy), (fy + 1, y - fy)):
             for cx, kx in ((fx, 1 - x + fx), (fx + 1, x - fx)):
-                n = self.at(cy, cx)
+                n = self.at(cy, cx, edge)
                 k = np.where(n >= 0, ky * kx, 0.0)
                 total += k
                 out += k[:, None] * self.values[n]
@@ -116,7 +129,7 @@ class _Edge:
         """Pixels that neither neighbour along the axis exceeds, the strongest first, ties by place."""
         g, top = self.values[:, 1], np.ones(len(self.place), bool)
         for sign in (-1, 1):
-            n = self.at(np.rint(self.y + sign * self.axis[:, 0]), np.rint(self.x + sign * self.axis[:, 1]))
+            n = self.at(np.rint(self.y + sign * self.axis[:, 0]), np.rint(self.x + sign * self.axis[:, 1]), self.edge)
             top &= (n < 0) | (g[n] <= g)
         found = np.flatnonzero(top)
         return found[np.argsort(-g[found], kind="stable")]
@@ -132,16 +145,16 @@ class _Edge:
         walk = np.arange(2 * len(seeds))
         seed = np.repeat(seeds, 2)
         step = np.where(walk % 2, 1, -1)[:, None] * self.axis[seed]
-        y, x, prior, pixel = self.y[seed].astype(float), self.x[seed].astype(float), self.values[seed], seed
+        y, x, prior, pixel, edge = self.y[seed].astype(float), self.x[seed].astype(float), self.values[seed], seed, self.edge[seed]
         zero = np.zeros(len(seeds))
         rows = [(walk[::2], zero.astype(int), seeds, y[::2], x[::2], *prior[::2].T, zero, zero)]
         live, k = np.abs(step).max(1, initial=0) > 0, 0
         while live.any():
-            walk, step, prior, pixel, k = walk[live], step[live], prior[live], pixel[live], k + 1
+            walk, step, prior, pixel, edge, k = walk[live], step[live], prior[live], pixel[live], edge[live], k + 1
             y, x = y[live] + step[:, 0], x[live] + step[:, 1]
             # unit steps along a line come back to a rounded place only in the very next step
-            next_ = self.at(np.rint(y), np.rint(x))
-            now = self.interpolated(y, x)
+            next_ = self.at(np.rint(y), np.rint(x), edge)
+            now = self.interpolated(y, x, edge)
             like, turn = angle_likeness(prior[:, 2], prior[:, 3], now[:, 2], now[:, 3])
             m = np.minimum(prior[:, :2], now[:, :2]).sum(1) + like
             d = np.abs(prior[:, :2] - now[:, :2]).sum(1) + turn
@@ -183,7 +196,7 @@ class _Edge:
     def met(self, owner: np.ndarray) -> np.ndarray:
         """Slices that touch when all grow over the edge at once, by steps to four neighbours; cells claimed in the same round go to the strongest."""
         owner, pairs = owner.copy(), []
-        sides = [self.at(self.y + dy, self.x + dx) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))]
+        sides = [self.at(self.y + dy, self.x + dx, self.edge) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))]
         front = np.flatnonzero(owner >= 0)
         free = len(self.place)
         while len(front):
@@ -198,7 +211,8 @@ class _Edge:
             a, b = owner, owner[side]
             touch = (side >= 0) & (a >= 0) & (b >= 0) & (a != b)
             pairs.append(np.sort(np.stack([a[touch], b[touch]], 1), 1))
-        return np.unique(np.concatenate(pairs), axis=0)
+        pairs, n = np.concatenate(pairs), len(owner)
+        return np.stack(np.divmod(np.unique(pairs[:, 0] * n + pairs[:, 1]), n), 1)
 
 
 def uncrossed(slices: dict[str, np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -232,40 +246,66 @@ def uncrossed(slices: dict[str, np.ndarray], pairs: np.ndarray) -> np.ndarray:
 SLICE = "frame_id long, blob_id long, kind string, slice_id long, other long, y double, x double, ay double, ax double, I double, G double, Dy double, Dx double, M double, D double, L double"
 
 
+#: Pixels of whole edges that are worked on at once.
+AT_ONCE = 1 << 16
+
+
+def _sliced(pdf: pd.DataFrame, filters: Filters) -> pd.DataFrame:
+    """Rows of slice_edges() of the edges whose pixels these are; edges don't touch each other's arrays' entries."""
+    edge = _Edge(pdf, filters)
+    seeds = edge.maxima()
+    steps, owner = edge.grown(seeds)
+    rank, first, group = np.unique(steps["walk"] // 2, return_index=True, return_inverse=True)
+    own = seeds[rank]
+    ay, ax = edge.axis[own].T
+    kept = {"slice_id": edge.y[own] * STRIDE + edge.x[own], "ay": ay, "ax": ax, "L": np.bincount(group).astype(float)}
+    for name in ("I", "G", "Dy", "Dx", "M", "D"):
+        kept[name] = np.maximum(np.bincount(group, steps[name]), 1e-7)
+    last = np.flatnonzero(np.r_[steps["walk"][1:] != steps["walk"][:-1], True])
+    for c, axis in (("y", ay), ("x", ax)):
+        ends = np.stack([steps[c][first]] * 2)  # a walk without steps ends at the seed
+        ends[steps["walk"][last] % 2, group[last]] = steps[c][last]
+        kept[c], kept[f"e{c}0"], kept[f"e{c}1"] = ends.mean(0), ends[0] - axis, ends[1] + axis
+    pairs = uncrossed(kept, np.searchsorted(rank, edge.met(owner)))
+    order = np.empty(len(rank), int)
+    order[np.lexsort((kept["slice_id"], kept["x"], kept["y"]))] = np.arange(len(rank))
+    upper, lower = (np.where((order[pairs[:, 0]] > order[pairs[:, 1]]) == up, pairs[:, 0], pairs[:, 1]) for up in (True, False))
+    of = np.concatenate([edge.edge[own], edge.edge[own][upper]])
+    head = {c: v[of] for c, v in pdf[EDGE].drop_duplicates().sort_values(EDGE).to_dict("series").items() for v in [v.to_numpy()]}
+    columns, n = [c.split()[0] for c in SLICE.split(", ")], len(pairs)
+    out = {c: np.concatenate([kept[c], np.full(n, np.nan)]) for c in columns if c in kept and c != "slice_id"}
+    out["kind"] = ["slice"] * len(rank) + ["link"] * n
+    out["slice_id"] = np.concatenate([kept["slice_id"], kept["slice_id"][upper]])
+    out["other"] = pd.array([None] * len(rank) + kept["slice_id"][lower].tolist(), "Int64")
+    return pd.DataFrame(head | out)[columns]
+
+
 def slice_edges(pixels: DataFrame, filters: Filters = DEFAULT) -> DataFrame:
     """Slices ('slice' rows: centre, axis, sums) and their links ('link' rows: slice_id above other) of every edge.
 
-    A slice is named by its first maximum's place, as blobs are.
+    A slice is named by its first maximum's place, as blobs are. Edges come one after another to a task, which works on
+    many small ones at once.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        edge = _Edge(pdf, filters)
-        seeds = edge.maxima()
-        steps, owner = edge.grown(seeds)
-        rank, first, group = np.unique(steps["walk"] // 2, return_index=True, return_inverse=True)
-        own = seeds[rank]
-        ay, ax = edge.axis[own].T
-        kept = {"slice_id": edge.y[own] * STRIDE + edge.x[own], "ay": ay, "ax": ax, "L": np.bincount(group).astype(float)}
-        for name in ("I", "G", "Dy", "Dx", "M", "D"):
-            kept[name] = np.maximum(np.bincount(group, steps[name]), 1e-7)
-        last = np.flatnonzero(np.r_[steps["walk"][1:] != steps["walk"][:-1], True])
-        for c, axis in (("y", ay), ("x", ax)):
-            ends = np.stack([steps[c][first]] * 2)  # a walk without steps ends at the seed
-            ends[steps["walk"][last] % 2, group[last]] = steps[c][last]
-            kept[c], kept[f"e{c}0"], kept[f"e{c}1"] = ends.mean(0), ends[0] - axis, ends[1] + axis
-        pairs = uncrossed(kept, np.searchsorted(rank, edge.met(owner)))
-        order = np.empty(len(rank), int)
-        order[np.lexsort((kept["slice_id"], kept["x"], kept["y"]))] = np.arange(len(rank))
-        upper, lower = (np.where((order[pairs[:, 0]] > order[pairs[:, 1]]) == up, pairs[:, 0], pairs[:, 1]) for up in (True, False))
-        head = {"frame_id": pdf.frame_id.iloc[0], "blob_id": pdf.blob_id.iloc[0]}
-        columns, n = [c.split()[0] for c in SLICE.split(", ")], len(pairs)
-        out = {c: np.concatenate([kept[c], np.full(n, np.nan)]) for c in columns if c in kept and c != "slice_id"}
-        out["kind"] = ["slice"] * len(rank) + ["link"] * n
-        out["slice_id"] = np.concatenate([kept["slice_id"], kept["slice_id"][upper]])
-        out["other"] = pd.array([None] * len(rank) + kept["slice_id"][lower].tolist(), "Int64")
-        return pd.DataFrame(head | out)[columns]
-
-    return pixels.groupBy(*EDGE).applyInPandas(one, SLICE)
+    def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, due = [], AT_ONCE
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < due:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            before = np.flatnonzero((rows[EDGE] != rows[EDGE].iloc[-1]).any(axis=1))
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if cut:
+                yield _sliced(rows.iloc[:cut], filters)
+            held = [rows.iloc[cut:]]
+            due = max(AT_ONCE, 2 * len(held[0]))  # a large edge isn't looked at again for each batch
+        if sum(map(len, held)):
+            yield _sliced(pd.concat(held, ignore_index=True), filters)
+
+    # the window brings an edge's pixels together, without another shuffle where they already are
+    together = pixels.withColumn("_n", F.row_number().over(Window.partitionBy(*EDGE).orderBy("y", "x")))
+    return together.mapInPandas(sliced, SLICE)
 
 
 def compare_slices(found: DataFrame, filters: Filters = DEFAULT, rng: float = 1) -> DataFrame:

@@ -260,3 +260,18 @@ def test_a_frame_expands_along_its_whole_path(spark):
     tiles = [(0, 0, x, 1.0) for x in range(40)]
     got = graph.expand_frame(spark, spark.createDataFrame(tiles, "group long, ty int, tx int, v double").repartition(2), (0, 0), 0.9)
     assert {(r.tx, r.round) for r in got.where("ty = 0").collect()} >= {(x, x) for x in range(39)}
+
+
+def test_many_edges_at_once(spark, monkeypatch):
+    """Edges that are worked on together give the rows of each by itself, and a task does work on them together."""
+    edges = [some_edge(seed, 9 + seed).assign(frame_id=seed // 3, blob_id=seed % 3, g=lambda e: e.g.round(3)) for seed in range(9)]
+    plain = lambda found: sorted(tuple(None if pd.isna(v) else v for v in r) for r in found.itertuples(index=False))
+    want = sorted((r for e in edges for r in plain(slices._sliced(e, SLICES))), key=str)
+    assert sorted(plain(slices._sliced(pd.concat(edges).sample(frac=1, random_state=0), SLICES)), key=str) == want
+    assert len(want) > 100 and {r[2] for r in want} == {"slice", "link"}
+    pixels = spark.createDataFrame(pd.concat(edges).astype({"y": "int32", "x": "int32"}))
+    assert sorted(plain(slices.slice_edges(pixels, SLICES).toPandas()), key=str) == want
+    plan = slices.slice_edges(pixels, SLICES)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInPandas" in plan
+    monkeypatch.setattr(slices, "AT_ONCE", 40)
+    assert sorted(plain(slices.slice_edges(pixels, SLICES).toPandas()), key=str) == want
