@@ -197,7 +197,7 @@ def _range_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Entries of members' lists that a task packs at once, and rows of members that a range has at most where there are more ranges than partitions.
-PACKED, IN_RANGE = 1 << 20, 500_000
+PACKED, IN_RANGE = 1 << 20, 125_000
 
 
 def _packed(values: np.ndarray) -> bytes:
